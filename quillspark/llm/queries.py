@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, tokens, urlfilter
+from quillspark.llm import decontaminate, mixing, quality, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -75,6 +75,47 @@ FROM p
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    return found.select(
+        "doc_id",
+        c.n_words.alias("n_words"),
+        c.n_hit.alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"),
+        (c.n_hit > 0).alias("contaminated"),
+    )
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n,
+    unnest([array_to_string(w[s:s + least(len(w), 10) - 1], ' ') for s in range(1, len(w) - least(len(w), 10) + 2)]) AS win
+  FROM i WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s,
+    unnest([array_to_string(w[s:s + n - 1], ' ') for s in range(1, len(w) - n + 2)]) AS win
+  FROM d, ns WHERE len(w) >= n),
+hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def url_entries(spark: SparkSession) -> DataFrame:
     rows = [(h, p, v, True) for h, p, v in URL_RULES] + [(h, p, "block", False) for h, p in LISTED_URLS]
     return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
@@ -102,9 +143,23 @@ m AS (
 SELECT page_id, host, path, CASE WHEN is_rule THEN key END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE rn = 1
 """
 
+ACCEPTED = 0.7
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model, score_col="score", keep_text=False)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filters": op9_url_filters,
+    "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op4_mix_sources": OP4_SQL, "op9_url_filters": OP9_SQL}
+ORACLES = {"op4_mix_sources": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
