@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, mixing, neighbours, quality, tokens, urlfilter
+from quillspark.llm import decontaminate, mainhtml, mixing, neighbours, quality, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -80,6 +80,12 @@ FROM p
 """
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = mainhtml.extract(pages, text_col="text", keep_html=False)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -164,6 +170,7 @@ QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op7_main_text": op7_main_text,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
