@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, mainhtml, mixing, neighbours, quality, tokens, urlfilter
+from quillspark.llm import decontaminate, linededup, mainhtml, mixing, neighbours, quality, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -35,6 +35,33 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.load_pieces(tokens.DEFAULT_MODEL))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup_lines(docs, distance=2)
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_LETTERS = "etaoinsrhldu"
+OP3_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE strlen(line) >= 20 GROUP BY line),
+c AS (SELECT *, strlen(line) AS n, {', '.join(f"strlen(line) - strlen(replace(line, '{x}', '')) AS n_{x}" for x in _LETTERS)} FROM f),
+near AS (
+  SELECT y.line, min(x.first) AS before
+  FROM c y JOIN c x ON x.n BETWEEN y.n - 2 AND y.n + 2
+    AND {' AND '.join(f'abs(x.n_{x} - y.n_{x}) <= 2' for x in _LETTERS)}
+    AND x.first < y.first AND levenshtein(x.line, y.line) <= 2
+  GROUP BY y.line),
+k AS (SELECT f.line, coalesce(before, f.first) AS kept FROM f LEFT JOIN near USING (line)),
+g AS (SELECT l.doc_id, l.pos, l.line, coalesce((l.doc_id, l.pos) > k.kept, false) AS gone FROM l LEFT JOIN k USING (line))
+SELECT d.doc_id, CAST(count(g.line) AS BIGINT) AS n_lines, CAST(count(g.line) FILTER (gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(g.line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_counts(read_table(spark, sf_dir, "documents"), seed=MIX_SEED)
     return plan.select(
@@ -169,10 +196,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op7_main_text": op7_main_text,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op4_mix_sources": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
