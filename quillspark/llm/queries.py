@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, linededup, mainhtml, mixing, neighbours, quality, tokens, urlfilter
+from quillspark.llm import decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -107,6 +107,31 @@ FROM p
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = nearjoin.near_duplicates(docs, threshold=0.8, width=5)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + least(len(w), 5) - 1], ' ') for i in range(1, len(w) - least(len(w), 5) + 2)]) AS g
+  FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE m * 5 >= (na.n + nb.n - m) * 4),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT d.doc_id, min(r.root) AS class_id, CAST(coalesce(any_value(k.n), 0) AS BIGINT) AS n_links
+FROM d JOIN r USING (doc_id) LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = d.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = mainhtml.extract(pages, text_col="text", keep_html=False)
@@ -198,9 +223,10 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_main_text": op7_main_text,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
