@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, tokens, urlfilter
+from quillspark.llm import decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, repeats, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -132,6 +132,12 @@ GROUP BY d.doc_id
 """
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs, length=200, keep_text=False)
+    return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = mainhtml.extract(pages, text_col="text", keep_html=False)
@@ -224,6 +230,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_main_text": op7_main_text,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filters": op9_url_filters,
