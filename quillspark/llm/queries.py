@@ -138,6 +138,28 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
 
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, unnest(range(1, octet_length(b) - 198)) AS p, b FROM d WHERE octet_length(b) >= 200),
+w AS (SELECT doc_id, p, md5(b[p:p + 199]) AS h FROM g),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM m)),
+e AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) > 200 AS new FROM r),
+s AS (SELECT doc_id, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM e),
+t AS (SELECT doc_id, k, min(p) AS a, max(p) + 199 AS z FROM s GROUP BY doc_id, k),
+u AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, k = max(k) OVER (PARTITION BY doc_id) AS last FROM t),
+x AS (
+  SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans,
+    list((before, a) ORDER BY a) AS cuts, max(z) AS tail FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE
+    list_reduce(list_concat([''::BLOB], list_transform(cuts, lambda y: b[y[1] + 1:y[2] - 1])), lambda p, q: p || q) || b[tail + 1:] END) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = mainhtml.extract(pages, text_col="text", keep_html=False)
@@ -236,4 +258,4 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
