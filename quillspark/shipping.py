@@ -9,10 +9,12 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1_000  # rows of an Arrow batch: whole texts, so a worker's memory is bounded by few of them
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once per application."""
+    """Send the package's source to the executors, once per application, and keep Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
