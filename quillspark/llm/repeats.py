@@ -17,6 +17,7 @@ other and lose everything of at least ``length`` bytes; results depend on the te
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ from quillspark.llm.suffixes import shared_prefix, suffix_array
 
 GRAM = 64
 CHUNK = 1 << 20  # bytes of one text hashed at a time
-SORTED_BYTES = 4_000_000  # surroundings sorted at a time; a group is not divided
+SORTED_BYTES = 2_000_000  # surroundings sorted at a time; a group is not divided
+PARTS = 10  # ranges of windows around an anchor that are judged each on its own
 CROWDED = 50_000  # different surroundings of one anchor, from where they are dealt out
 _BASE = 0x5851F42D4C957F2D
 _powers: dict[str, np.ndarray] = {}
@@ -71,11 +73,16 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of anchors: every window of ``length`` bytes holds one with its least hash."""
+def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places and hashes of anchors: places in any window of ``length`` bytes that hold its least hash.
+
+    Which places of a window are anchors depends on the window alone, so equal windows have them alike.  Only in
+    periodic text, where very many places hold the same hash, needless ones are left out; the third value tells.
+    """
     width = length - gram + 1
     places: list[np.ndarray] = []
     hashes: list[np.ndarray] = []
+    loose = False
     for at in range(0, max(len(data) - length + 1, 0), CHUNK):
         h = gram_hashes(data[at : at + CHUNK + length - 1], gram)
         least = _sliding(h, width, True)
@@ -83,28 +90,26 @@ def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
         is_least = _sliding(np.concatenate([edge, least, edge]), width, False) == h
         found = np.nonzero(is_least)[0]
         if len(found) > 64 + 8 * len(h) // width:
-            found = _thinned(found, h, least, width)
+            loose = True
+            found = _thinned(found, h[found].tolist(), width)
         places.append(found + at)
         hashes.append(h[found])
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), False
     place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+    return place, np.concatenate(hashes)[first], loose
 
 
-def _thinned(found: np.ndarray, h: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """Of anchors with equal hashes (in periodic text) those that are needed: one per window."""
-    kept: list[int] = []
-    last: dict[int, int] = {}
-    values = h[found].tolist()
-    following: dict[int, int] = {}
-    ahead: dict[int, int] = {}
+def _thinned(found: np.ndarray, values: list[int], width: int) -> np.ndarray:
+    """Anchors without those whose neighbours with the same hash are in every window that they are in."""
+    following, ahead = [-1] * len(found), {}
     for i in range(len(found) - 1, -1, -1):
         following[i] = ahead.get(values[i], -1)
         ahead[values[i]] = i
+    kept: list[int] = []
+    last: dict[int, int] = {}
     for i, (place, value) in enumerate(zip(found.tolist(), values, strict=True)):
         before, after = last.get(value), following[i]
-        # needless if the windows with this least value that hold it all hold the one before or the one after
         if before is not None and after >= 0 and found[after] - before <= width - 1:
             continue
         kept.append(place)
@@ -126,52 +131,62 @@ def _anchor_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                 raw = (text or "").encode("utf-8", "replace")
                 if len(raw) < length:
                     continue
-                place, h = anchors(np.frombuffer(raw, np.uint8), length)
+                place, h, loose = anchors(np.frombuffer(raw, np.uint8), length)
                 start, end = _bounds(place, len(raw), length)
                 c = [xxhash.xxh3_64_intdigest(raw[s:e], seed=p - s) for s, e, p in zip(start.tolist(), end.tolist(), place.tolist(), strict=True)]
                 n = len(place)
-                out.append((h.view(np.int64), np.array(c, np.uint64).view(np.int64), np.full(n, key_a), np.full(n, key_b), place, np.full(n, len(raw))))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h", "c", "key_a", "key_b", "place", "size"])
+                out.append((h.view(np.int64), np.array(c, np.uint64).view(np.int64), np.full(n, key_a), np.full(n, key_b), place, np.full(n, len(raw)), np.full(n, int(loose))))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h", "c", "key_a", "key_b", "place", "size", "loose"])
 
     read = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text"))
-    return read.mapInArrow(batches, "h long, c long, key_a long, key_b long, place long, size long")
+    return read.mapInArrow(batches, "h long, c long, key_a long, key_b long, place long, size long, loose long")
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(g, key_a, key_b, start, many, bytes) per entry of ``wanted``; g is the group it is sorted in."""
-    per_text = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "place", "many", "ranges")).alias("places"))
+    """One row per entry of ``wanted`` and range of windows: g, the group it is sorted in, where it is from, its bytes,
+    where in them the anchor is, and how far before the anchor windows start."""
+    per_text = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "place", "many", "ranges", "loose")).alias("places"))
     per_text = per_text.select(F.col("key_a").alias("want_a"), F.col("key_b").alias("want_b"), "places")
     key_a, key_b = text_key(F.col(text_col))
     read = docs.select(key_a, key_b, F.col(text_col).alias("text"))
     read = read.join(per_text, (F.col("key_a") == F.col("want_a")) & (F.col("key_b") == F.col("want_b")))
     read = read.groupBy("key_a", "key_b").agg(F.first("text").alias("text"), F.first("places").alias("places"))
 
+    names = ["g", "key_a", "key_b", "start", "many", "bytes", "anchor", "low", "high"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+    spread = length - GRAM
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = length - GRAM
-        names = ["g", "key_a", "key_b", "start", "many", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for b in source:
             out: list[list] = [[] for _ in names]
             for key_a, key_b, text, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode("utf-8", "replace")
                 for x in places:
-                    place = x["place"]
-                    start, end = max(place - spread, 0), min(place + length, len(raw))
-                    for r in range(x["ranges"]):
+                    place, n = x["place"], x["ranges"]
+                    for low, high in _ranges(0, spread, n):
+                        first, last = max(low, place + length - len(raw)), min(high, place)
+                        if first > last:
+                            continue  # no window so far from the anchor
                         g = x["h"]
-                        if x["ranges"] > 1:
-                            # windows that start ``low`` to ``high`` bytes before the anchor
-                            low, high = r * (spread + 1) // x["ranges"], (r + 1) * (spread + 1) // x["ranges"] - 1
-                            if place < low or place - high + length > len(raw):
-                                continue
+                        if n > 1:
                             core = raw[place - low : place - high + length]
-                            g = np.uint64(xxhash.xxh3_64_intdigest(core, seed=r)).view(np.int64).item()
-                        for column, value in zip(out, (g, key_a, key_b, start, x["many"], raw[start:end]), strict=True):
+                            g = np.uint64(xxhash.xxh3_64_intdigest(core, seed=low)).view(np.int64).item()
+                        start = place - last
+                        row = (g, key_a, key_b, start, x["many"], raw[start : place - first + length], -1 if x["loose"] else place - start, low, high)
+                        for column, value in zip(out, row, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
-    return read.mapInArrow(batches, "g long, key_a long, key_b long, start long, many boolean, bytes binary")
+    return read.mapInArrow(
+        batches, "g long, key_a long, key_b long, start long, many boolean, bytes binary, anchor int, low int, high int"
+    )
+
+
+def _ranges(low: int, high: int, n: int) -> list[tuple[int, int]]:
+    """``low`` to ``high`` in ``n`` parts: how far before the anchor a window starts."""
+    cuts = [low + (high + 1 - low) * i // n for i in range(n + 1)]
+    return [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
 
 def sorted_repeats(parts: list[bytes], texts: np.ndarray, starts: np.ndarray, many: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -181,7 +196,8 @@ def sorted_repeats(parts: list[bytes], texts: np.ndarray, starts: np.ndarray, ma
     ``many`` marks parts that occur more than once.
     """
     sizes = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8)
+    data = raw.astype(np.int64) + 2
     ends = np.cumsum(sizes + 1) - 1
     data[ends] = 1
     begin = ends - sizes
@@ -191,7 +207,7 @@ def sorted_repeats(parts: list[bytes], texts: np.ndarray, starts: np.ndarray, ma
     order = order[within[order] + length <= sizes[part[order]]]  # whole windows
     if not len(order):
         return []
-    same = shared_prefix(data, order[:-1], order[1:], length)
+    same = shared_prefix(raw, order[:-1], order[1:], length)
     first = np.concatenate([[0], np.nonzero(~same)[0] + 1])
     owner = part[order]
     where = texts[owner] * (1 << 40) + starts[owner] + within[order]
@@ -206,11 +222,49 @@ def sorted_repeats(parts: list[bytes], texts: np.ndarray, starts: np.ndarray, ma
     return [(int(part[a]), int(within[a]), int(within[b]) + length) for a, b in runs]
 
 
+def _sifted(group: list[tuple], length: int) -> tuple[list[tuple], list[tuple[int, int, int, int]]]:
+    """What of a group of surroundings of one anchor has to be sorted, and spans that are repeats without.
+
+    The windows around an anchor are taken in ``PARTS`` ranges by how far before it they start.  The windows of a
+    range have a string in common; if that stands in one surrounding only, none of them is repeated.  If all that
+    they cover stands in two, all are.  Groups with anchors of periodic text are sorted as they are.
+    """
+    if len(group) < 2:
+        return [], []
+    if any(row[6] < 0 for row in group):
+        return [row[1:6] for row in group], []
+    parts, cores, wholes = [], Counter(), Counter()
+    for row in group:
+        raw, anchor, low, high = row[5:9]
+        for a, b in _ranges(low, high, min(PARTS, high - low + 1)):
+            first, last = max(a, anchor + length - len(raw)), min(b, anchor)
+            if first > last:
+                continue
+            core = (a, raw[anchor - a : anchor - b + length])
+            whole = (first, last, raw[anchor - last : anchor - first + length])
+            cores[core] += 1
+            wholes[whole] += 1
+            parts.append((row, core, whole))
+    to_sort, spans, stands = [], [], set()
+    for row, core, whole in parts:
+        if cores[core] < 2:
+            continue
+        start = row[3] + row[6] - whole[1]
+        if wholes[whole] > 1 and not row[4]:
+            spans.append((row[1], row[2], start, start + len(whole[2])))
+        if wholes[whole] == 1:
+            to_sort.append((row[1], row[2], start, row[4], whole[2]))
+        elif cores[core] > wholes[whole] and whole not in stands:
+            stands.add(whole)  # one for all, for others to be compared with
+            to_sort.append((row[1], row[2], start, True, whole[2]))
+    return to_sort, spans
+
+
 def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
     """(key_a, key_b, first, end) of repeats among the surroundings, group by group."""
 
     def settle(held: list[tuple]) -> list[tuple[int, int, int, int]]:
-        _, key_a, key_b, start, many, parts = zip(*held, strict=True)
+        key_a, key_b, start, many, parts = zip(*held, strict=True)
         ids: dict[tuple[int, int], int] = {}
         texts = np.array([ids.setdefault(k, len(ids)) for k in zip(key_a, key_b, strict=True)], np.int64)
         found = sorted_repeats(list(parts), texts, np.array(start, np.int64), np.array(many, bool), length)
@@ -218,24 +272,25 @@ def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        group: list[tuple] = []
         ready: list[tuple] = []
+        size, last = 0, None
 
         def close() -> None:
-            """The group is whole; one surrounding alone has no repeat."""
+            """The group is whole."""
             nonlocal size
-            if len(group) > 1:
-                held.extend(group)
-                size += sum(len(x[5]) for x in group)
+            to_sort, spans = _sifted(group, length)
+            ready.extend(spans)
+            held.extend(to_sort)
+            size += sum(len(x[4]) for x in to_sort)
             group.clear()
             if size >= SORTED_BYTES:
                 ready.extend(settle(held))
                 held.clear()
                 size = 0
 
-        group: list[tuple] = []
         for b in source:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 if row[0] != last:
                     close()
                     last = row[0]
@@ -267,13 +322,14 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200
     found = materialize(found, "repeated")
 
     mixed = found.where("mixed").groupBy("h", "c").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "place")).alias("at")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "place")).alias("at"), F.max("loose").alias("loose")
     )
     mixed = materialize(mixed, "mixed")
-    crowd = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWDED).select(F.col("h").alias("full"), "m")
-    wanted = mixed.join(crowd, F.col("h") == F.col("full"), "left")
+    # anchors of periodic text may stand elsewhere in equal windows, so their groups are not dealt out
+    crowd = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("loose").alias("x")).where((F.col("m") > CROWDED) & (F.col("x") == 0))
+    wanted = mixed.join(crowd.select(F.col("h").alias("full"), "m"), F.col("h") == F.col("full"), "left")
     ranges = F.when(F.col("m") > 20 * CROWDED, length - GRAM + 1).when(F.col("m").isNotNull(), 8).otherwise(1)
-    wanted = wanted.select("at.key_a", "at.key_b", "at.place", "h", (F.col("n") > 1).alias("many"), ranges.alias("ranges"))
+    wanted = wanted.select("at.key_a", "at.key_b", "at.place", "h", (F.col("n") > 1).alias("many"), ranges.alias("ranges"), "loose")
     parts = _surroundings(docs, wanted, text_col, length).repartition("g").sortWithinPartitions("g")
     fine = materialize(_sorted_spans(parts, length), "fine")
 

@@ -11,18 +11,35 @@ from __future__ import annotations
 import numpy as np
 
 
+def _ordered(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of rows of symbols; rows are packed into one number each where that is possible."""
+    bits = [max(int(c.max(initial=0)).bit_length(), 1) for c in columns]
+    if sum(bits) > 63:
+        return np.lexsort(columns[::-1])
+    return np.argsort(_packed(columns, bits))
+
+
+def _packed(columns: list[np.ndarray], bits: list[int]) -> np.ndarray:
+    key = columns[0]
+    for c, width in zip(columns[1:], bits[1:], strict=True):
+        key = (key << width) | c
+    return key
+
+
 def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
     """Rank of each row of symbols among the distinct rows, from 1, and their number."""
-    order = np.lexsort(columns[::-1])
+    if not len(columns[0]):
+        return np.zeros(0, np.int64), 0
+    order = _ordered(columns)
     new = np.zeros(len(order), bool)
-    new[:1] = True
+    new[0] = True
     for c in columns:
         sorted_c = c[order]
         new[1:] |= sorted_c[1:] != sorted_c[:-1]
     ranks = np.cumsum(new)
     out = np.empty(len(order), np.int64)
     out[order] = ranks
-    return out, int(ranks[-1]) if len(ranks) else 0
+    return out, int(ranks[-1])
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -43,14 +60,14 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         ranked[order] = np.arange(1, len(sample) + 1)
     else:
         ranked = np.empty(len(sample), np.int64)
-        ranked[np.argsort(names, kind="stable")] = np.arange(1, len(sample) + 1)
+        ranked[np.argsort(names)] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = ranked
     by_rank = np.empty(len(sample), np.int64)
     by_rank[ranked - 1] = sample
     by_rank = by_rank[by_rank < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort([rank[rest + 1], padded[rest]])]
+    rest = rest[_ordered([padded[rest], rank[rest + 1]])]
     return _merged(padded, rank, by_rank, rest)
 
 
@@ -67,8 +84,8 @@ def _merged(text: np.ndarray, rank: np.ndarray, sample: np.ndarray, rest: np.nda
             continue
         keys = [np.concatenate([text[own + k], text[rest + k]]) for k in range(kind)]
         keys.append(np.concatenate([rank[own + kind], rank[rest + kind]]))
-        side = np.concatenate([np.zeros(len(own), np.int8), np.ones(len(rest), np.int8)])
-        order = np.lexsort([side, *keys[::-1]])
+        side = np.concatenate([np.zeros(len(own), np.int64), np.ones(len(rest), np.int64)])
+        order = _ordered([*keys, side])
         seen = np.cumsum(side[order] == 0)
         found = np.empty(len(order), np.int64)
         found[order] = seen
@@ -84,15 +101,20 @@ def _merged(text: np.ndarray, rank: np.ndarray, sample: np.ndarray, rest: np.nda
     return out
 
 
-def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the suffixes at ``a`` and ``b`` agree in their first ``depth`` symbols, which must exist."""
-    n = len(text)
+def shared_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the suffixes of ``data`` (bytes) at ``a`` and ``b`` agree in their first ``depth`` bytes.
+
+    Eight bytes are compared at a time, from the far end on: there, neighbours in a suffix order differ first.
+    """
+    n = len(data)
     agree = (a + depth <= n) & (b + depth <= n)
-    step = 16
-    for at in range(0, depth, step):
+    words = np.zeros(n, np.uint64)
+    for k in range(min(8, depth)):
+        words[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+    last = max(depth - 8, 0)
+    for at in [last, *range(0, last, 8)]:
         rows = np.nonzero(agree)[0]
         if not len(rows):
             break
-        span = np.arange(at, min(at + step, depth))
-        agree[rows] = (text[a[rows, None] + span] == text[b[rows, None] + span]).all(axis=1)
+        agree[rows] = words[a[rows] + at] == words[b[rows] + at]
     return agree
