@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.config import AMOUNT_LABELS, DEFAULT, MONTHS, RoutingConfig
-from quillspark.functions.text import found, let, quote, rx, stem
+from quillspark.functions.text import folded, found, let, quote, rx, stem
 
 #: What the matchers accept.
 CURRENCY = {"$": r"\$\s*[\d,]+", "S/": r"\bS/\.?\s*[\d,]+", "€": r"€\s*[\d,]+|[\d,]+\s*€", "£": r"£\s*[\d,]+"}
@@ -142,8 +142,13 @@ def valid_amount(raw: Column) -> Column:
 
 
 def _labelled(text: Column, pattern: str, flags: str, labels: Sequence[str]) -> Column:
-    found_by = [F.regexp_extract(text, rx(quote(label) + pattern, flags), 1) for label in labels]
-    return F.array(*[F.replace(raw, F.lit(","), F.lit("")) for raw in found_by])
+    """By label, the number that the pattern finds after it; a label that does not occur costs no matching."""
+
+    def numbers(plain: Column) -> Column:
+        read = lambda label: F.replace(F.regexp_extract(text, rx(quote(label) + pattern, flags), 1), F.lit(","), F.lit(""))
+        return F.array(*[F.when(F.contains(plain, F.lit(label.lower())), read(label)).otherwise(F.lit("")) for label in labels])
+
+    return let(folded(text), numbers)
 
 
 def amount_strict(text: Column, labels: Sequence[str] = AMOUNT_LABELS) -> Column:
@@ -240,7 +245,8 @@ def issuer(text: Column, name: Column, issuers: Mapping[str, str] = DEFAULT.know
 def _first_issuer(places: Column, issuers: Mapping[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for key in reversed(sorted(issuers, key=len, reverse=True)):
-        out = F.when(places.rlike(rx(r"\b" + quote(_plain(key)))), F.lit(issuers[key])).otherwise(out)
+        starts_word = places.rlike(rx(r"\b" + quote(_plain(key))))
+        out = F.when(F.contains(places, F.lit(_plain(key))) & starts_word, F.lit(issuers[key])).otherwise(out)
     return out
 
 

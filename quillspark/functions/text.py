@@ -19,6 +19,11 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?U{flags}){pattern}"
 
 
+def folded(text: Column) -> Column:
+    """Lower case after upper case: holds every ASCII string that the text holds in any case."""
+    return F.lower(F.upper(text))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null without a match or with an empty group."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

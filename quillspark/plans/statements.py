@@ -66,6 +66,12 @@ FROM (
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, filename, text, c_mktsegment, o_custkey) per order."""
-    for name in ("orders", "customer"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    spread(spark.read.parquet(f"{sf_dir}/orders.parquet")).createOrReplaceTempView("orders")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
     return spark.sql(STATEMENT_SQL)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small file would give them to one task; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
