@@ -651,6 +651,35 @@ def stratified_sample(spark, sf_dir):
     return evaluation.stratified_sample(docs, "lang", "doc_id", 200).select("doc_id", "lang")
 
 
+@query(
+    f"""WITH {_AUDIT} SELECT path, CASE WHEN llm IS NULL THEN 'keyword' WHEN hybrid_backend LIKE 'hybrid-llm%' THEN 'LLM ✱ ' || c WHEN hybrid_backend = 'keyword-llm-low-conf' THEN 'kw (LLM low) ' || c
+  WHEN keyword_category = llm THEN 'agree ✓ ' || c ELSE 'kw LLM ' || c END AS badge
+ FROM (SELECT *, {_OPINION.replace('doc_id', 'CAST(path AS BIGINT)').replace('lang', 'truth_category')} AS llm,
+  printf('%.2f', {_TRUST.replace('doc_id', 'CAST(path AS BIGINT)')}) AS c FROM audit) WHERE skipped IS NULL"""
+)
+def backend_badges(spark, sf_dir):
+    a = _audit(spark, sf_dir).where("skipped is null")
+    badge = R.backend_badge(F.col("hybrid_backend"), F.col("keyword_category"), F.col("llm_category"), F.col("llm_confidence"), F.lit(None).cast("string"))
+    return a.select("path", badge.alias("badge"))
+
+
+@query(f"WITH p AS ({_PATHS}) SELECT path, CASE WHEN path LIKE '/docs/MACHINERY/%' THEN substr(path, 17) ELSE path END AS relative FROM p")
+def relative_path(spark, sf_dir):
+    for t in ("orders", "customer"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(_PATHS).select("path", R.relative_path(F.col("path"), F.lit("/docs/MACHINERY")).alias("relative"))
+
+
+_RULES = "SELECT DISTINCT c_mktsegment AS category, CAST(c_nationkey AS STRING) AS keyword FROM customer WHERE c_custkey %s 3 = %s"
+
+
+@query(f"WITH a AS ({_RULES % ('%', 0)}), b AS ({_RULES % ('%', 1)}) SELECT * FROM a UNION SELECT * FROM b")
+def keyword_rules_merged(spark, sf_dir):
+    """Keywords appended where absent."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(_RULES % ("%", 0)).unionByName(spark.sql(_RULES % ("%", 1))).dropDuplicates(["category", "keyword"])
+
+
 # ---------------------------------------------------------------- prompts and replies
 
 _TRIMMED = "trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
