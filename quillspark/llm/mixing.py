@@ -19,9 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SIZE_PATTERN
+from quillspark.llm.common import SIZE_PATTERN, materialize
 
 RANGE_ROWS = 50_000  # rows of one size that are numbered together
+BROADCAST_ROWS = 500_000  # documents whose numbers of copies are broadcast; those of more are joined by a shuffle
 
 
 def text_size(text: Column) -> Column:
@@ -99,12 +100,12 @@ def mix_counts(
     targets = source_targets(by_size, weights, ratio, cap, seed)
     sizes = _null_safe(sizes, targets, ["source"])
     pieces = F.ceil(F.col("rows") / F.lit(RANGE_ROWS)).cast("double")
-    width = F.col("high").cast("double") - F.col("low").cast("double") + 1
+    width = F.col("high").try_cast("double") - F.col("low").try_cast("double") + 1
     piece = F.when(
         F.col("id").isNotNull(),
-        F.floor((F.col("id").cast("double") - F.col("low").cast("double")) * pieces / width),
+        F.floor((F.col("id").try_cast("double") - F.col("low").try_cast("double")) * pieces / width),
     ).otherwise(F.lit(-1))
-    rows = _null_safe(slim, sizes, ["source", "size"]).withColumn("piece", piece.cast("long"))
+    rows = _null_safe(slim, sizes, ["source", "size"]).withColumn("piece", F.coalesce(piece.cast("long"), F.lit(-1)))
     counts = rows.groupBy("source", "size", "piece").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source", "size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("source", "size", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_piece"))
@@ -123,16 +124,22 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
     text_col = options.get("text_col", "text")
     plan = mix_counts(docs, **options).groupBy("id", "source", "size").agg(F.sort_array(F.collect_list("n_copies")).alias("n"))
+    plan = materialize(plan, "plan")
+    known = plan.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("n") > 1).alias("shared")).first()
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     at = lambda c: F.col(names[docs.columns.index(c)])
     held = held.select(
         F.struct(*names).alias("row"), at(id_col).alias("id"), at(source_col).alias("source"), text_size(at(text_col)).alias("size")
     )
-    joined = _null_safe(held, plan.where(F.exists("n", lambda x: x > 0)), ["id", "source", "size"])
-    # rows that repeat in id, source and size share the copies that these rows were given
-    nth = F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.xxhash64("row")))
-    joined = joined.select("row", F.element_at("n", nth).alias("times"))
+    keys = ["id", "source", "size"]
+    single = plan.where((F.size("n") == 1) & (F.col("n")[0] > 0)).select(*keys, F.col("n")[0].alias("times"))
+    joined = _null_safe(held, F.broadcast(single) if known.rows <= BROADCAST_ROWS else single, keys).select("row", "times")
+    if known.shared:
+        # rows that repeat in id, source and size share the copies that these rows were given
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+        shared = _null_safe(held, plan.where(F.size("n") > 1), keys)
+        joined = joined.unionByName(shared.select("row", F.element_at("n", nth).alias("times")))
     copies = joined.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     return copies.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])
 

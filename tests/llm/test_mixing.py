@@ -59,7 +59,9 @@ def test_same_places_whatever_the_ranges(spark, monkeypatch):
     assert {r.id: r.n_copies for r in mixing.mix_counts(docs).collect()} == one
 
 
-def test_mix_repeats_rows_and_keeps_columns(spark):
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_mix_repeats_rows_and_keeps_columns(spark, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", bound)
     rows = [(1, "a b", "x", 5), (1, "a b", "x", 5), (None, None, None, 6), (2, "", "y", 7), (3, "c", "y", None)]
     docs = make(spark, rows).withColumnRenamed("place", "size")
     got = mixing.mix(docs)
