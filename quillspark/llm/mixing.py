@@ -92,6 +92,7 @@ def mix_counts(
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size")
     )
+    slim = materialize(slim, "sizes")  # texts are read once
     by_size = slim.groupBy("source", "size").agg(
         F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high")
     )
