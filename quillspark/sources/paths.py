@@ -6,6 +6,7 @@ import posixpath
 from collections.abc import Mapping
 from typing import Any
 
+#: The default folder, and below the names of environment variables, keys and files.
 DEFAULT_FEEDBACK_DIR = "data/_feedback"
 
 
