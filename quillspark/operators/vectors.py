@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import blank, given, text_hash
 
 KEY = ("original_filename", "ts")
+BLOCK_ROWS = 256
 
 
 def norm(v: Column) -> Column:
@@ -28,13 +29,65 @@ def search(examples: DataFrame, query: Column, *, k: int = 5, category: str | No
     return kept.withColumn("score", cosine(F.col(vector_col), query)).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query") -> DataFrame:
-    """The ``k`` most similar examples of every query: each task ranks its own rows first, so no more than ``k`` rows
-    per query and task are exchanged."""
-    pairs = examples.crossJoin(queries.where(norm(F.col(query_col)) > 0))
-    scored = pairs.where(F.size(vector_col) == F.size(query_col)).select(query_id, F.col(id_col), cosine(F.col(vector_col), F.col(query_col)).alias("score"))
+def _blocks(rows: DataFrame, id_col: str, vector_col: str, names: tuple[str, str]) -> DataFrame:
+    """Ids and vectors as arrays of about ``BLOCK_ROWS`` rows of one length."""
+    n = F.lit(max(1, -(-rows.count() // BLOCK_ROWS)))
+    keyed = rows.where(F.size(vector_col) > 0).select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+    grouped = keyed.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("i"), n).alias("block")).agg(F.collect_list(F.struct("i", "v")).alias("rows"))
+    return grouped.select(F.col("rows.i").alias(names[0]), F.flatten("rows.v").alias(names[1]))
+
+
+def _best_of_blocks(k: int, earlier: bool):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def first(ids, score):
+            """The ``k`` best of every row: by score, then by id."""
+            at = np.argsort(ids, axis=1, kind="stable")
+            ids, score = np.take_along_axis(ids, at, 1), np.take_along_axis(score, at, 1)
+            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            return np.take_along_axis(ids, at, 1), np.take_along_axis(score, at, 1)
+
+        best, kinds = {}, None  # by block of queries
+        for batch in batches:
+            kinds = [batch.schema.field(c).type.value_type for c in (0, 2)]
+            for i in range(batch.num_rows):
+                query_ids, q, ids, e = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4))
+                if len(q) * len(ids) != len(e) * len(query_ids):  # vectors of other lengths
+                    continue
+                q, e = q.reshape(len(query_ids), -1), e.reshape(len(ids), -1)
+                length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(e, axis=1)[None, :]
+                with np.errstate(all="ignore"):
+                    score = np.where(length > 0, (q @ e.T) / length, 0.0).round(12)
+                if earlier:
+                    score[ids[None, :] >= query_ids[:, None]] = -np.inf
+                found = first(np.broadcast_to(ids, score.shape), score)
+                key = tuple(query_ids.tolist())
+                if key in best:
+                    found = first(*(np.concatenate(x, axis=1) for x in zip(best[key], found)))
+                best[key] = found
+        for key, (ids, score) in best.items():
+            row, at = np.nonzero(score > -np.inf)
+            columns = [pa.array(key, kinds[0]).take(pa.array(row)), pa.array(ids[row, at], kinds[1]), pa.array(score[row, at])]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
+    return run
+
+
+def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", earlier: bool = False) -> DataFrame:
+    """The ``k`` most similar examples of every query, by scores rounded to 12 places, ties by id; with ``earlier``
+    (ids are numbers) of the examples with a smaller id than the query.
+
+    Blocks of queries meet blocks of examples; each task keeps no more than ``k`` rows per query.
+    """
+    wanted = _blocks(queries.where(norm(F.col(query_col)) > 0), query_id, query_col, ("query_ids", "queries"))
+    pairs = wanted.crossJoin(_blocks(examples, id_col, vector_col, ("ids", "vectors")))
+    kinds = queries.schema[query_id].dataType.simpleString(), examples.schema[id_col].dataType.simpleString()
+    best = pairs.mapInArrow(_best_of_blocks(k, earlier), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    best = best.toDF(query_id, id_col, "score")
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -1,6 +1,43 @@
 """Registered queries take the whole of their tables, held against plain Python."""
 
+import math
+import random
+
 from quillspark import queries
+from quillspark.operators import vectors
+
+
+def nearest(rows, wanted, k):
+    def cosine(a, b):
+        length = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
+
+    out = {}
+    for q, v in wanted:
+        if any(v):
+            found = sorted((-round(cosine(v, w), 12), i) for i, w in rows if len(w) == len(v))
+            out |= {(q, n + 1): (i, round(-s, 6)) for n, (s, i) in enumerate(found[:k])}
+    return out
+
+
+def test_knn_batch_asks_for_every_fiftieth_row(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)], i % 3) for i in range(700)]
+    rows[100] = (100, [0.0] * 4, 0)
+    rows[11] = (11, [0.0] * 4, 0)
+    rows[150] = (150, rows[50][1], 0)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in queries.QUERIES["knn_batch"](spark, str(tmp_path)).collect()}
+    assert out == nearest([r[:2] for r in rows], [r[:2] for r in rows if r[0] % 50 == 0], 5)
+
+
+def test_search_batch_of_mixed_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [])]
+    examples = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    wanted = [("a", [2.0, 0.0]), ("b", [0.0, 0.0]), ("c", [0.0, 1.0, 1.0])]
+    found = vectors.search_batch(examples, spark.createDataFrame(wanted, "query_id string, query array<float>"), k=2)
+    out = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in found.collect()}
+    assert out == nearest([r for r in rows if r[1]], wanted, 2)
 
 
 def test_approved_set_takes_every_order(spark, tmp_path):
