@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import blank, given, text_hash
+from quillspark.scratch import materialize
 
 KEY = ("original_filename", "ts")
 BLOCK_ROWS = 256
@@ -90,6 +91,22 @@ def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def few_shots(docs: DataFrame, decisions: DataFrame, embed, line: Column, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, shots): the lines of the ``k`` decisions with a smaller id that are nearest to a document, nearest first.
+
+    Documents are embedded by their first 2500 characters, decisions as ``index`` does; blank texts have no vector, and
+    documents without a vector or an earlier decision have no row.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    filled = ~blank(F.trim(text))
+    store = decisions.where(filled).select(F.col(id_col).alias("vec_id"), embed(F.left(F.trim(text), F.lit(6000))).alias("embedding"))
+    asked = docs.where(filled).select(F.col(id_col).alias("query_id"), embed(F.left(text, F.lit(2500))).alias("query"))
+    found = search_batch(materialize(store, "store"), materialize(asked, "asked"), k=k, earlier=True)
+    lines = decisions.select(F.col(id_col).alias("vec_id"), line.alias("line"))
+    shots = found.join(lines, "vec_id").groupBy(F.col("query_id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("shots"))
+    return shots.select(id_col, F.col("shots.line").alias("shots"))
+
+
 def upsert(store: DataFrame, rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """``store`` with the rows of a later batch added, or in the place of those with the same key; of rows of one
     batch with one key the last by ``seq`` (where there is one) stays."""

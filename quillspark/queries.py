@@ -12,7 +12,7 @@ from quillspark.functions import extraction as X
 from quillspark.functions import replies as L
 from quillspark.functions import routing as R
 from quillspark.functions import text as T
-from quillspark.operators import collisions, evaluation, feedback, folders, history, markers, vectors
+from quillspark.operators import backends, collisions, evaluation, feedback, folders, history, markers, vectors
 from quillspark.plans.plan import plan
 from quillspark.plans.statements import STATEMENT_SQL, statements
 from quillspark.scratch import materialize
@@ -695,12 +695,13 @@ def excerpt_trim(spark, sf_dir):
 
 @query()
 def prompt_build(spark, sf_dir):
-    """Prompts with the nearest earlier decisions as examples; held against examples in the tests."""
+    """Prompts with the nearest earlier decisions as examples, by stub vectors; held against brute force in the tests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    example = L.neighbour_line(F.col("text"), F.col("lang"), F.col("source"))
-    shots = docs.where("doc_id < 3").agg(F.array_sort(F.collect_list(example)).alias("shots"), F.array_sort(F.collect_set("source")).alias("issuers"))  # three rows
+    line = L.neighbour_line(F.col("text"), F.col("lang"), F.col("source"))
+    shots = vectors.few_shots(docs, docs, backends.stub_embedding(), line)
+    issuers = docs.select("source").distinct().agg(F.array_sort(F.collect_set("source")).alias("issuers"))
     prompt = L.user_prompt(F.col("text"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("shots"), F.col("issuers"))
-    return docs.crossJoin(F.broadcast(shots)).select("doc_id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt"))
+    return docs.join(shots, "doc_id", "left").crossJoin(F.broadcast(issuers)).select("doc_id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt"))
 
 
 _ANSWER = """CASE doc_id % 6 WHEN 0 THEN '{"category": " ' || lang || ' ", "issuer": "N/A", "confidence": 0.5, "reasons": ["a ", " "], "more": 1}'
