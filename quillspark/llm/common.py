@@ -30,5 +30,13 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("key_a"), F.xxhash64(F.lit("second"), t, F.length(t)).alias("key_b")]
 
 
+def numbered(docs: DataFrame, *results: str) -> tuple[DataFrame, list[str], list[tuple[str, str]]]:
+    """``docs`` with its columns called c0, c1, ..., these names, and (name, old name) of those to keep: a column that
+    is called like one of ``results`` gives way to it."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    taken = {r.lower() for r in results}
+    return docs.toDF(*names), names, [(n, c) for n, c in zip(names, docs.columns, strict=True) if c.lower() not in taken]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

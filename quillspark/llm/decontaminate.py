@@ -13,7 +13,7 @@ beyond that the same joins shuffle.
 Defined cases: null texts and texts without words have no windows and no hits; repeated rows and copies of a text
 share one result; items that repeat or share windows are all reported; a null item id counts as no item, though its
 windows hit; with no items nothing is hit; columns of ``docs`` are kept whatever their names, the result is in one
-struct column.
+struct column, and takes the place of a column of that name; a text of any length is judged whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, materialize, text_key
+from quillspark.llm.common import ascii_lower, materialize, numbered, text_key
 
 BROADCAST_WINDOWS = 500_000  # of at most ``span`` words each
 #: Words before lower-casing A-Z: the same words, as capitals are no bounds either way.  Java matches a class of
@@ -35,6 +35,12 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CASED_WORD), F.lit(0))
 
 
+def _lowered(word: Column) -> Column:
+    """A word with A-Z lower-cased.  The full mapping does just that to words in ASCII, and is faster; in others it
+    would depend on the letters around."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
+
+
 def _window(w: Column, at: Column, length: Column) -> Column:
     """The words of a window as one string, A-Z lower-cased."""
     return ascii_lower(F.concat_ws(" ", F.slice(w, at + 1, length)))
@@ -56,12 +62,8 @@ def _starts(prints: Column, length: int) -> Column:
 
 
 def _prints(df: DataFrame, lengths: list[int], span: int, gram: int) -> DataFrame:
-    """Adds ``prints``: an array by window length, of the fingerprints by window start, from a text ``t``.
-
-    They are taken from the text lower-cased in full: that is fast, keeps the bounds of words (beyond ASCII every
-    character is part of a word), and equal windows stay equal; windows are compared with only A-Z lower-cased.
-    """
-    df = df.withColumn("h", F.transform(_words(F.lower("t")), lambda x: F.xxhash64(x)))
+    """Adds ``prints``: an array by window length, of the fingerprints by window start, from a text ``t``."""
+    df = df.withColumn("h", F.transform(_words(F.col("t")), lambda x: F.xxhash64(_lowered(x))))
     if span in lengths:
         df = df.withColumn("g", _run_hash(F.col("h"), gram)).withColumn("m", _least(F.col("g"), span - gram + 1))
     parts = [F.col("m") if n == span else _run_hash(F.col("h"), n) for n in lengths]
@@ -118,7 +120,7 @@ def find_hits(
     return hits.select("key_a", "key_b", "start", "length", "item").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text", info_col: str = "contamination", **options) -> DataFrame:
     """``docs`` with a struct column ``contamination``: n_words, n_hit (words in any hit) and the hitting items."""
     hits = find_hits(docs, items, text_col=text_col, **options)
     places = F.transform(F.col("runs"), lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1))
@@ -128,15 +130,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     per_text = per_text.select(
         F.col("key_a").alias("hit_a"), F.col("key_b").alias("hit_b"), F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_hit"), "items"
     )
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    # a table of its own, so that the join below is between two plain shuffles, where a hot text is split, or a broadcast
+    per_text = materialize(per_text, "hits")
+    held, names, kept = numbered(docs, info_col)
     text = F.col(names[docs.columns.index(text_col)])
     key_a, key_b = text_key(text)
     n_words = F.coalesce(F.regexp_count(text, F.lit(CASED_WORD)), F.lit(0)).cast("long")
-    read = docs.toDF(*names).select(*names, key_a, key_b, n_words.alias("n_words"))
+    read = held.select(*[n for n, _ in kept], key_a, key_b, n_words.alias("n_words"))
     joined = read.join(per_text, (F.col("key_a") == F.col("hit_a")) & (F.col("key_b") == F.col("hit_b")), "left")
     result = F.struct(
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], result.alias("contamination"))
+    return joined.select(*[F.col(n).alias(c) for n, c in kept], result.alias(info_col))

@@ -61,3 +61,22 @@ def test_no_python_on_the_main_path(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     plan = decontaminate.contamination(d, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_capitals_whose_lower_case_depends_on_neighbours(spark):
+    """A capital sigma, a dotted I, and points and quotes that end words but not the reach of case mapping."""
+    item = "alpha beta gamma delta ΟΔΟΣ Αθήνα epsilon zeta eta theta"
+    docs = [item.replace(" ", sep) for sep in (" ", ".", "'", "·", ":", "\u00ad ")]
+    docs += [item.upper(), item.replace("ΟΔΟΣ", "ΟΔΟς"), item.replace("alpha", "ALPHA").replace("eta", "ETA")]
+    check(spark, docs, [(1, item), (2, "İstanbul KELVIN \u212a I.İ'Σ.Σ"), (3, "Σ")])
+    check(spark, ["a.Σ'b", "Σ Σ. Σ", "İ i̇ I", "İSTANBUL kelvin \u212a i.İ'Σ.Σ"], [(2, "İstanbul KELVIN \u212a I.İ'Σ.Σ"), (3, "Σ.Σ"), (4, "i İ")])
+
+
+def test_very_long_text_and_clashing_names(spark):
+    passage = " ".join(f"word{i}" for i in range(10))
+    docs = [(1, "filler " * 300_000 + passage, 5, "x", 1), (2, None, None, None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, Contamination int, hit_a string, key_a int")
+    out = {r.doc_id: r for r in decontaminate.contamination(d, spark.createDataFrame([(9, passage)], "item_id long, text string")).collect()}
+    assert out[1].__fields__ == ["doc_id", "text", "hit_a", "key_a", "contamination"]
+    assert (out[1].contamination.n_words, out[1].contamination.n_hit, out[1].hit_a, out[1].key_a) == (300_010, 10, "x", 1)
+    assert tuple(out[2].contamination) == (0, 0, [])
