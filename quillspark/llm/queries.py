@@ -46,11 +46,11 @@ OP3_SQL = f"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-f AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE strlen(line) >= 20 GROUP BY line),
+f AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line),
 c AS (SELECT *, strlen(line) AS n, {', '.join(f"strlen(line) - strlen(replace(line, '{x}', '')) AS n_{x}" for x in _LETTERS)} FROM f),
 near AS (
   SELECT y.line, min(x.first) AS before
-  FROM c y JOIN c x ON x.n BETWEEN y.n - 2 AND y.n + 2
+  FROM c y JOIN c x ON x.n BETWEEN y.n - 2 AND y.n + 2 AND x.n > 2 AND y.n > 2
     AND {' AND '.join(f'abs(x.n_{x} - y.n_{x}) <= 2' for x in _LETTERS)}
     AND x.first < y.first AND levenshtein(x.line, y.line) <= 2
   GROUP BY y.line),
