@@ -209,7 +209,8 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def url_entries(spark: SparkSession) -> DataFrame:
     rows = [(h, p, v, True) for h, p, v in URL_RULES] + [(h, p, "block", False) for h, p in LISTED_URLS]
-    return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
+    names = ("host", "path", "verdict", "is_rule")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +228,16 @@ h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM u),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', ''), '[.]$', '') AS c_host,
+         CASE WHEN path = '' THEN '/' ELSE path END AS c_path
+  FROM h),
 m AS (
-  SELECT h.page_id, h.host, h.path, e.verdict, e.host || e.path AS key, e.is_rule,
-    row_number() OVER (PARTITION BY h.page_id ORDER BY e.is_rule DESC NULLS LAST, length(e.host || e.path) DESC) AS rn
-  FROM h LEFT JOIN e ON (h.host = e.host OR ends_with(h.host, '.' || e.host)) AND starts_with(h.path, e.path))
+  SELECT c.page_id, c.host, c.path, e.verdict, e.host || e.path AS key, e.is_rule,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY e.is_rule DESC NULLS LAST, length(e.host || e.path) DESC) AS rn
+  FROM c LEFT JOIN e ON CASE WHEN e.is_rule
+    THEN (c.host = e.host OR ends_with(c.host, '.' || e.host)) AND starts_with(c.path, e.path)
+    ELSE c.host <> '' AND (c_host = e.host OR ends_with(c_host, '.' || e.host)) AND starts_with(c_path, e.path) END)
 SELECT page_id, host, path, CASE WHEN is_rule THEN key END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE rn = 1
 """
 
