@@ -3,19 +3,25 @@
 Every page is parsed into blocks of text under containers.  A container is known by its generalised path: the tags
 and classes from the root down, digits in classes replaced.  The best-scored path of each page is its vote; the
 votes are counted per host in Spark, and every page is then extracted again with the paths that won on its host:
-the first of them that has text on the page, or the page's own best where none has.
+the first of them whose score on the page is a fair share of that of the page's own best, else the latter.
 
-Score of a path: characters of running text below it, less twice those of links and of short pieces; articles and
-main parts count half as much again.  Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and the like are left out before scoring, by tag, role, and the words of class and id; of a header inside an article
-the headings stay.
+Score of a path: characters of running text and of headings below it, less twice those of links and of other short
+pieces; articles and main parts count half as much again.  Menus, headers, footers, comments, scripts and the like are
+left out before scoring, by tag and role; of a header inside an article the headings stay.
+
+Forms, and parts whose class or id holds a word for sidebars, notices, adverts and so on, are suspects only: templates
+wrap whole pages in such parts, too.  A page takes a suspect for content if an article or main part lies in it, or if
+there is none elsewhere and it holds most of the page's text and few links.  That is a vote as well: a host's pages
+decide together which suspect paths are left out.
 
 Text: character references are decoded, a line break and cell bounds are white space, white space within a block
 becomes one space, blocks are trimmed and joined in page order by an empty line.  Nothing else is dropped.
 
 Defined cases: null and empty pages give an empty text; a page without a container counts as one; null URLs and URLs
 without ``://`` share the host ''; a part left open ends with its parent or the page, an open script or comment with
-the page; repeated pages vote as often as they occur; columns of ``pages`` pass through whatever their names.
+the page; repeated pages vote as often as they occur; of equally scored paths the deepest wins; pages may be of any
+length; columns of ``pages`` pass through whatever their names, but for one that is called like the result, which
+takes its place; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, numbered
 from quillspark.llm.urlfilter import host_of
 
 MIN_SHARE = 0.1  # of a host's votes, for a path to win; so at most ten paths win
 BROADCAST_HOSTS = 100_000  # hosts with paths up to MAX_PATH_CHARS are broadcast, more are joined by a shuffle
 MAX_BROADCAST_CHARS = 64_000_000
 SHORT = 40
+FAIR_SHARE = 0.2  # of the score of a page's own best path, for a winning path to be taken
+MAIN, CONTENT, CLUTTER = range(3)  # what a vote says of a path
 
 #: What HTML's elements are.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -47,9 +55,10 @@ INLINE = frozenset(
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption legend summary pre address option thead tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What is left out.
-LEFT_OUT_TAGS = frozenset("nav footer aside form noscript template button select option svg math object canvas audio video dialog menu datalist fieldset".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-LEFT_OUT_WORDS = frozenset(
+LEFT_OUT_TAGS = frozenset("nav footer aside noscript template button select option svg math object canvas audio video dialog menu datalist".split())
+LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+SUSPECT_TAGS = frozenset(["form", "fieldset"])
+SUSPECT_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead ad ads adv advert adverts advertisement advertising sponsor "
     "sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager toolbar widget "
@@ -59,6 +68,7 @@ HEADER_WORDS = frozenset(["header"])
 #: Parts that only a whole name can leave out, those names, and words that turn a name into a remark.
 WHOLE = frozenset("html body article main".split())
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 QUALIFIERS = frozenset("has with without no is".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""")
@@ -73,19 +83,49 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Page:
-    """Blocks of one page: (path number, text, characters inside links); paths by number, with their parents."""
+    """Blocks of one page: (path number, text, characters inside links, whether it is a heading); paths by number, with
+    their parents.  Suspects are known by number: their path, whether an article is inside."""
 
     def __init__(self, source: str | None):
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.numbers: dict[tuple[int, str], int] = {}
-        self.blocks: list[tuple[int, str, int]] = []
+        self.every: list[tuple[int, str, int, bool]] = []
+        self.within: list[tuple[int, ...]] = []  # by block, the suspects around it
+        self.suspects: list[tuple[str, list[bool]]] = []
         if source:
             self._read(source)
+        self.blocks = self.every
+        self.judged = self._judged()
+
+    def _judged(self) -> dict[str, bool]:
+        """By path of a suspect, whether it is content, as far as this page can tell."""
+        if not self.suspects:
+            return {}
+        plain, linked, total, outside = [0] * len(self.suspects), [0] * len(self.suspects), 0, False
+        for (path, text, links, _), around in zip(self.every, self.within, strict=True):
+            total += max(len(text) - links, 0)
+            outside = outside or not around and self._in_article(path)
+            for i in around:
+                plain[i] += max(len(text) - links, 0)
+                linked[i] += links
+        found: dict[str, bool] = {}
+        for i, (path, article) in enumerate(self.suspects):
+            content = article[0] or (not outside and 2 * plain[i] > total and linked[i] < plain[i])
+            found[path] = found.get(path, False) or content
+        return found
+
+    def settle(self, content: dict[str, bool]) -> None:
+        """Leave out the blocks in suspects that are no content."""
+        fine = [content.get(path, False) for path, _ in self.suspects]
+        self.blocks = [b for b, around in zip(self.every, self.within, strict=True) if all(fine[i] for i in around)]
+
+    def _in_article(self, path: int) -> bool:
+        return any(x in ("article", "main") for x in re.split(r"[/.]", self.paths[path]))
 
     def _read(self, source: str) -> None:
-        # an open element: tag, path number, left out (0 no, 1 but for headings, 2 yes)
-        stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        # an open element: tag, path number, left out (0 no, 1 but for headings, 2 yes), suspects around
+        stack: list[tuple[str, int, int, tuple[int, ...]]] = [("", 0, 0, ())]
         pieces: list[str] = []
         links: list[str] = []
         in_link = False
@@ -95,7 +135,8 @@ class Page:
             if pieces:
                 text = " ".join("".join(pieces).split())
                 if text:
-                    self.blocks.append((stack[-1][1], text, sum(map(len, links))))
+                    self.every.append((stack[-1][1], text, sum(map(len, links)), stack[-1][0] in HEADINGS))
+                    self.within.append(stack[-1][3])
                 pieces.clear()
             links.clear()
 
@@ -132,7 +173,7 @@ class Page:
             if tag in INLINE:
                 if tag == "a":
                     in_link = not closing
-                if not closing and stack[-1][2] < 2 and found[3] and self._left_out(tag, found[3]):
+                if not closing and stack[-1][2] < 2 and found[3] and (self._left_out(tag, found[3]) or self._suspect(tag, found[3])):
                     # an inline part that is left out lasts to its own end tag
                     close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                     at = close.end() if close else at
@@ -156,17 +197,23 @@ class Page:
                 if stack[-1][0] in ("li", "dd") and tag not in LEAVES:
                     break  # lists and parts may stand inside a list item
                 stack.pop()
-            _, path, out = stack[-1]
+            _, path, out, around = stack[-1]
             out = max(out, self._left_out(tag, found[3], path)) if out < 2 else out
             if out == 1 and tag in HEADINGS:
                 out = 0
-            if tag not in LEAVES:
-                path = self._path(path, tag, found[3])
-            stack.append((tag, path, out))
+            own = self._path(path, tag, found[3]) if tag not in LEAVES else path
+            if out < 2 and self._suspect(tag, found[3]):
+                named = own if own != path else self._path(path, tag, found[3])
+                around = (*around, len(self.suspects))
+                self.suspects.append((self.paths[named], [False]))
+            if out < 2 and tag in ("article", "main"):
+                for i in around:
+                    self.suspects[i][1][0] = True
+            stack.append((tag, own, out, around))
         flush()
 
     @staticmethod
-    def _text(text: str, top: tuple[str, int, int], pieces: list[str], links: list[str], in_link: bool) -> None:
+    def _text(text: str, top: tuple[str, int, int, tuple[int, ...]], pieces: list[str], links: list[str], in_link: bool) -> None:
         if top[2]:
             return
         if "&" in text:
@@ -176,27 +223,43 @@ class Page:
             links.append(text.strip())
 
     def _left_out(self, tag: str, attributes: str, path: int = 0) -> int:
-        inside = any(x in ("article", "main") for x in re.split(r"[/.]", self.paths[path]))
         if tag in LEFT_OUT_TAGS:
             return 2
         if tag == "header":
-            return 1 if inside else 2
+            return 1 if self._in_article(path) else 2
         if not attributes or "=" not in attributes:
             return 0
         named = _attributes(attributes)
         if named.get("role", "").lower() in LEFT_OUT_ROLES:
             return 2
-        names = [n for k in ("class", "id") if k in named for n in named[k].split()]
         if tag in WHOLE:
-            return 2 if COMMENT_NAMES & {n.lower() for n in names} else 0
+            return 2 if COMMENT_NAMES & {n.lower() for n in self._names(named)} else 0
+        words = self._words(named)
+        if words & COMMENT_WORDS:
+            return 2
+        found = words & SUSPECT_WORDS
+        return 1 if found and found <= HEADER_WORDS and self._in_article(path) else 0
+
+    def _suspect(self, tag: str, attributes: str) -> bool:
+        if tag in SUSPECT_TAGS:
+            return True
+        if tag in WHOLE or not attributes or "=" not in attributes:
+            return False
+        named = _attributes(attributes)
+        return bool(self._words(named) & SUSPECT_WORDS) or named.get("role", "").lower() == "form"
+
+    @staticmethod
+    def _names(named: dict[str, str]) -> list[str]:
+        return [n for k in ("class", "id") if k in named for n in named[k].split()]
+
+    def _words(self, named: dict[str, str]) -> set[str]:
+        """The words of class and id, but for names with a word that turns them into a remark."""
         words: set[str] = set()
-        for name in names:
+        for name in self._names(named):
             own = {w.lower() for w in _WORD.findall(name)}
             if not own & QUALIFIERS:
                 words |= own
-        if words & LEFT_OUT_WORDS:
-            return 1 if inside and words & LEFT_OUT_WORDS <= HEADER_WORDS else 2
-        return 0
+        return words
 
     def _path(self, parent: int, tag: str, attributes: str) -> int:
         classes = sorted({_DIGITS.sub("#", c) for c in _attributes(attributes).get("class", "").split()})
@@ -211,9 +274,9 @@ class Page:
     def scores(self) -> dict[int, float]:
         """Score of every path that has text below it."""
         found: dict[int, float] = {}
-        for path, text, linked in self.blocks:
+        for path, text, linked, heading in self.blocks:
             plain = max(len(text) - linked, 0)
-            good = plain if len(text) >= SHORT else 0
+            good = plain if len(text) >= SHORT or heading else 0
             gain = good - 2.0 * (min(linked, len(text)) + (0 if good or text[-1:] in ".!?:;" else min(plain, SHORT) / 4))
             while path >= 0:
                 found[path] = found.get(path, 0.0) + gain
@@ -223,9 +286,9 @@ class Page:
                 found[path] = 1.5 * score
         return found
 
-    def best(self) -> tuple[str, float] | None:
+    def best(self, scores: dict[int, float] | None = None) -> tuple[str, float] | None:
         """The best path and its score; of equal ones the deepest."""
-        scores = self.scores()
+        scores = self.scores() if scores is None else scores
         if not scores:
             return None
         top = max(scores, key=lambda p: (scores[p], self.paths[p].count("/"), self.paths[p]))
@@ -235,61 +298,84 @@ class Page:
         inside = [False] * len(self.paths)
         for i, p in enumerate(self.paths):
             inside[i] = p == path or (self.parents[i] >= 0 and inside[self.parents[i]])
-        return "\n\n".join(text for at, text, _ in self.blocks if inside[at])
+        return "\n\n".join(text for at, text, *_ in self.blocks if inside[at])
 
 
 def votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, votes, score): how many pages of the host have this as their best path."""
+    """(host, path, says, votes, score): on how many pages of the host this is the best path, or a suspect that is
+    content, or one that is not."""
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
-    def best(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            rows = [(h, *found) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (found := Page(t).best())]
-            host, path, score = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"]
-            )
+            rows = [(h, *vote) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for vote in _page_votes(t)]
+            host, path, says, score = zip(*rows, strict=True) if rows else ((), (), (), ())
+            arrays = [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(says, pa.int32()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "says", "score"])
 
-    cast = read.mapInArrow(best, "host string, path string, score double")
-    return cast.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
+    cast = read.mapInArrow(batches, "host string, path string, says int, score double")
+    return cast.groupBy("host", "path", "says").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
+
+
+def _page_votes(source: str | None) -> Iterator[tuple[str, int, float]]:
+    page = Page(source)
+    for path, content in page.judged.items():
+        yield path, CONTENT if content else CLUTTER, 0.0
+    page.settle(page.judged)
+    best = page.best()
+    if best:
+        yield best[0], MAIN, best[1]
 
 
 def winning_paths(cast: DataFrame) -> DataFrame:
-    """(host, paths): the paths with at least ``MIN_SHARE`` of the host's votes, most votes first."""
-    total = cast.groupBy("host").agg(F.sum("votes").alias("total"))
-    won = cast.join(total, "host").where(F.col("votes") >= F.col("total") * MIN_SHARE)
+    """(host, paths, content): the paths with at least ``MIN_SHARE`` of the host's votes, most votes first, and the
+    suspects that most pages take for content."""
+    main = cast.where(F.col("says") == MAIN)
+    total = main.groupBy("host").agg(F.sum("votes").alias("total"))
+    won = main.join(total, "host").where(F.col("votes") >= F.col("total") * MIN_SHARE)
     ordered = F.sort_array(F.collect_list(F.struct("votes", "score", "path")), asc=False)
-    return won.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    won = won.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    sided = F.sum(F.when(F.col("says") == CONTENT, F.col("votes")).otherwise(-F.col("votes")))
+    fine = cast.where(F.col("says") != MAIN).groupBy("host", "path").agg(sided.alias("more")).where("more > 0")
+    fine = fine.groupBy(F.col("host").alias("fine_host")).agg(F.array_sort(F.collect_list("path")).alias("content"))
+    joined = won.join(fine, F.col("host") == F.col("fine_host"), "left")
+    return joined.select("host", "paths", F.coalesce("content", F.array().cast("array<string>")).alias("content"))
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "main_text", keep_html: bool = True) -> DataFrame:
     """``pages`` with the main text of each; ``keep_html=False`` leaves the source out."""
     winners = materialize(winning_paths(votes(pages, url_col=url_col, html_col=html_col)), "paths")
-    bound = winners.agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("paths", F.lit(0), lambda a, p: a + F.length(p))).alias("chars")).first()
+    chars = F.aggregate(F.concat("paths", "content"), F.lit(0), lambda a, p: a + F.length(p))
+    bound = winners.agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).first()
     if bound.n <= BROADCAST_HOSTS and (bound.chars or 0) <= MAX_BROADCAST_CHARS:
         winners = F.broadcast(winners)
-    names = [f"c{i}" for i in range(len(pages.columns))]
-    read = pages.toDF(*names)
+    read, names, kept = numbered(pages, text_col)
     url, page = (names[pages.columns.index(c)] for c in (url_col, html_col))
-    winners = winners.select(F.col("host").alias("won_host"), "paths")
-    read = read.join(winners, host_of(F.col(url)) == F.col("won_host"), "left").drop("won_host")
-    kept = [n for n in names if keep_html or n != page]
+    read = read.join(winners, host_of(F.col(url)) == F.col("host"), "left").drop("host")
+    kept = [(n, c) for n, c in kept if keep_html or n != page]
 
     def again(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            texts = [main_text(t, paths or ()) for t, paths in zip(b.column(page).to_pylist(), b.column("paths").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+            rows = zip(*(b.column(n).to_pylist() for n in (page, "paths", "content")), strict=True)
+            texts = pa.array([main_text(t, paths or (), content) for t, paths, content in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kept), texts], names=[*(n for n, _ in kept), "text"])
 
-    fields = [T.StructField(n, read.schema[n].dataType) for n in kept]
+    fields = [T.StructField(n, read.schema[n].dataType) for n, _ in kept]
     out = read.mapInArrow(again, T.StructType([*fields, T.StructField("text", T.StringType())]))
-    return out.toDF(*[pages.columns[names.index(n)] for n in kept], text_col)
+    return out.toDF(*[c for _, c in kept], text_col)
 
 
-def main_text(source: str | None, paths: list[str] | tuple[str, ...]) -> str:
+def main_text(source: str | None, paths: list[str] | tuple[str, ...], content: list[str] | None = None) -> str:
+    """The text of a page by a host's winning paths and the suspects that are content there; without a host's, by the
+    page's own."""
     page = Page(source)
+    page.settle(page.judged if content is None else dict.fromkeys(content, True))
+    scores = page.scores()
+    own = page.best(scores)
+    if not own:
+        return ""
+    known = {page.paths[i]: score for i, score in scores.items()}
     for path in paths:
-        text = page.text_under(path)
-        if text:
-            return text
-    own = page.best()
-    return page.text_under(own[0]) if own else ""
+        if path in known and (known[path] >= FAIR_SHARE * own[1] or path == own[0]):
+            return page.text_under(path)
+    return page.text_under(own[0])
