@@ -8,12 +8,15 @@ share of true neighbours within reach is at least ``recall``.  Visits go on past
 visited hold too few rows.
 
 Copies of a vector share one entry, which keeps its smallest ``k + 1`` ids: no other id can be among the results.
-Leaves and the queries that visit them are cut into blocks of bounded size before they meet.
-
-Defined cases: vectors that are null, empty or zero, that hold null or non-finite components, or whose double norm
-is not finite, take no part, nor do rows without an id or of another than the most frequent dimension; rows that
-repeat both id and vector count once; a query has fewer than ``k`` results only if there are fewer candidates;
-no valid rows give no results.
+Neighbouring leaves are packed into groups of at most ``BLOCK_ROWS`` rows, so that a query's vector goes once to a
+group with the leaves that it visits there; larger leaves, and the queries of a group, are cut into blocks of bounded
+size before they meet.
+
+Defined cases: vectors that are null, empty or zero, or that hold null or non-finite components, take no part, nor do
+rows without an id or of another than the most frequent dimension; vectors are scaled by a power of two before they
+are squared, so that no length overflows; rows that repeat both id and vector count once; ties go to the smaller id; a
+query has fewer than ``k`` results only if there are fewer candidates; no valid rows give no results; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ LEAF_SAMPLE = 24  # sampled vectors to a leaf
 BRANCHES = 8
 CALIBRATION_QUERIES = 200
 BLOCK_ROWS = 4_096
+QUERIES_AT_ONCE = 256
 SLACK = 1e-9  # of matrix products against the scores that are returned
 
 
@@ -74,7 +78,13 @@ class Tree:
                     heapq.heappush(heap, (away, child))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine and keeps squares in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -124,11 +134,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part."""
     v = F.col("v")
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0").where(F.coalesce(fine, F.lit(False)))
-    rows = rows.where((norm > 0) & (norm < F.lit(float("inf"))))
+    rows = rows.where(F.exists("v", lambda x: x != 0))
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("v") == (top[0].n if top else 0))
 
@@ -172,47 +181,61 @@ def search(
     test = asked.groupBy("q").agg(F.first("v").alias("v"), F.min("id").alias("own")).orderBy(F.xxhash64("q")).limit(CALIBRATION_QUERIES).toPandas()
     width = _calibrate(indexed, test, tree, size, k, recall)
 
-    def reached(q: np.ndarray) -> list[int]:
-        out, ids = [], 0
+    group = _packed(size)
+
+    def reached(q: np.ndarray) -> dict[int, list[int]]:
+        """The leaves to visit, by group."""
+        out: dict[int, list[int]] = {}
+        leaves = ids = 0
         for leaf in tree.visits(q):
             if leaf in size:
-                if len(out) >= width and ids > k:
+                if leaves >= width and ids > k:
                     break
-                out.append(leaf)
+                out.setdefault(group[leaf], []).append(leaf)
+                leaves += 1
                 ids += held[leaf]
         return out
 
     def visited(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            leaves = [reached(x) for x in unit(_matrix(b.column("v")))]
-            take = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
-            flat = pa.array([leaf for x in leaves for leaf in x], pa.int32())
-            yield pa.RecordBatch.from_arrays([flat, b.column("q").take(take), b.column("v").take(take)], names=["leaf", "q", "v"])
-
-    visits = materialize(distinct.mapInArrow(visited, f"leaf int, q long, v {types['v']}"), "visits")
-    asks = {r.leaf: r.n for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
-    blocks = [(leaf, -(-size[leaf] // BLOCK_ROWS), -(-n // BLOCK_ROWS)) for leaf, n in asks.items()]
-    cut = F.broadcast(entries.sparkSession.createDataFrame(blocks, "leaf int, rb int, qb int"))  # a row per leaf
+            found = [reached(x) for x in unit(_matrix(b.column("v")))]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            columns = [pa.array([g for x in found for g in x], pa.int32()), b.column("q").take(take), pa.array([y for x in found for y in x.values()], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "q", "leaves"])
+
+    spark = entries.sparkSession
+    spread = distinct.repartition(2 * spark.sparkContext.defaultParallelism, "q")
+    visits = materialize(spread.mapInArrow(visited, "g int, q long, leaves array<int>"), "visits")
+    asks = {r.g: r.n for r in visits.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per group
+    rows_of: dict[int, int] = {}
+    for leaf, n in size.items():
+        rows_of[group[leaf]] = rows_of.get(group[leaf], 0) + n
+    blocks = [(leaf, g, -(-rows_of[g] // BLOCK_ROWS), -(-asks[g] // BLOCK_ROWS)) for leaf, g in group.items() if g in asks]
+    cut = spark.createDataFrame(blocks, "leaf int, g int, rb int, qb int")  # a row per leaf
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(cut, "leaf").withColumn("r", F.pmod(F.xxhash64("v"), F.col("rb")).cast("int"))
-    left = left.select("leaf", "r", every("qb").alias("a"), "ids", "v")
-    right = visits.join(cut, "leaf").withColumn("a", F.pmod(F.col("q"), F.col("qb")).cast("int"))
-    right = right.select("leaf", "a", every("rb").alias("r"), "q", "v")
+    left = indexed.join(F.broadcast(cut), "leaf").withColumn("r", F.pmod(F.xxhash64("v"), F.col("rb")).cast("int"))
+    left = left.select("g", "r", every("qb").alias("a"), "leaf", "ids", "v")
+    right = visits.join(F.broadcast(cut.drop("leaf").distinct()), "g").withColumn("a", F.pmod(F.col("q"), F.col("qb")).cast("int"))
+    right = right.select("g", "a", every("rb").alias("r"), "q", "leaves").join(distinct, "q")
 
     def met(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"q": [], "ids": [], "score": []}
         if len(these) and len(those):
-            x, y = np.array(these["v"].tolist(), np.float64), np.array(those["v"].tolist(), np.float64)
-            ids = these["ids"].tolist()
+            x, y = scaled(np.array(these["v"].tolist(), np.float64)), scaled(np.array(those["v"].tolist(), np.float64))
+            ids, (leaves, leaf) = these["ids"].tolist(), np.unique(these["leaf"].to_numpy(), return_inverse=True)
             lengths = np.linalg.norm(x, axis=1)
-            for q, query, products in zip(those["q"], y, unit(y) @ unit(x).T, strict=True):
-                for score, at in _best(query, x, lengths, products, ids, k + 1):
-                    out["q"].append(q)
-                    out["ids"].append(ids[at])
-                    out["score"].append(score)
+            unit_x, asked, wanted = unit(x), those["q"].tolist(), those["leaves"].tolist()
+            for at in range(0, len(y), QUERIES_AT_ONCE):
+                some = y[at : at + QUERIES_AT_ONCE]
+                inside = np.stack([np.isin(leaves, wanted[at + i])[leaf] for i in range(len(some))])
+                for i, products in enumerate(np.where(inside, unit(some) @ unit_x.T, -np.inf)):
+                    for score, row in _best(some[i], x, lengths, products, ids, k + 1):
+                        out["q"].append(asked[at + i])
+                        out["ids"].append(ids[row])
+                        out["score"].append(score)
         return pd.DataFrame(out)
 
-    keys = ["leaf", "a", "r"]
+    keys = ["g", "a", "r"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(met, f"q long, ids {types['ids']}, score double")
     found = found.select("q", "score", F.explode("ids").alias("id"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
@@ -223,13 +246,24 @@ def search(
     return out.where(F.col("rank") <= k)
 
 
+def _packed(size: dict[int, int]) -> dict[int, int]:
+    """Leaves by number, so neighbours in the tree, put into groups of at most ``BLOCK_ROWS`` rows, or of one leaf."""
+    out, group, rows = {}, 0, 0
+    for leaf in sorted(size):
+        if rows and rows + size[leaf] > BLOCK_ROWS:
+            group, rows = group + 1, 0
+        out[leaf] = group
+        rows += size[leaf]
+    return out
+
+
 def _best(query: np.ndarray, x: np.ndarray, lengths: np.ndarray, products: np.ndarray, ids: list, n: int) -> list[tuple[float, int]]:
-    """The ``n`` nearest rows: shortlisted by ``products``, scored on the original vectors, ties by first id."""
-    if len(products) > n:
+    """The ``n`` nearest rows: shortlisted by ``products``, scored on the vectors, ties by first id; rows whose product
+    is minus infinity are none."""
+    near = np.nonzero(products > -np.inf)[0]
+    if len(near) > n:
         least = np.partition(products, len(products) - n)[len(products) - n]
         near = np.nonzero(products >= least - SLACK)[0]
-    else:
-        near = np.arange(len(products))
     scores = (x[near] * query).sum(axis=1) / (lengths[near] * np.sqrt((query * query).sum()))
     ranked = sorted(zip((-scores).tolist(), [ids[i][0] for i in near], near.tolist(), strict=True))
     return [(-s, at) for s, _, at in ranked[:n]]
@@ -239,13 +273,13 @@ def _calibrate(indexed: DataFrame, test: pd.DataFrame, tree: Tree, size: dict[in
     """How many leaves to visit so that this share of the test queries' true neighbours is reached."""
     if not len(test):
         return 1
-    y = np.array(test["v"].tolist(), np.float64)
+    y = scaled(np.array(test["v"].tolist(), np.float64))
     id_list = to_arrow_type(indexed.schema["ids"].dataType)
 
     def nearest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[tuple]] = [[] for _ in y]
         for b in source:
-            x = _matrix(b.column("v"))
+            x = scaled(_matrix(b.column("v")))
             if not len(x):
                 continue
             ids, leaf, lengths = b.column("ids").to_pylist(), b.column("leaf").to_pylist(), np.linalg.norm(x, axis=1)

@@ -74,3 +74,14 @@ def test_recall_on_the_whole_table(spark):
         pytest.skip("no test data")
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(path).collect()]
     assert recall_of(spark, rows) >= 0.9
+
+
+def test_huge_tiny_long_and_clashing(spark):
+    """Squares of these doubles leave the range; a vector of many dimensions; other columns are not looked at."""
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1e300, -1e300]), (3, [5e-324, 0.0]), (4, [3.0, 3.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, leaf int")
+    got = sorted((r.rank, r.vec_id, round(r.score, 12)) for r in neighbours.search(df, df.where("vec_id = 0")).collect())
+    assert [(r, i) for r, i, _ in got] == [(1, 1), (2, 4), (3, 3), (4, 2)]
+    assert [s for *_, s in got] == [1.0, 1.0, round(0.5**0.5, 12), 0.0]
+    rng = np.random.default_rng(4)
+    assert recall_of(spark, [(i, rng.normal(size=3000)) for i in range(120)]) == 1.0
