@@ -8,10 +8,13 @@ is sorted by the difference-cover algorithm (``suffixes``) down to ``length`` by
 neighbour in that order are repeats.
 
 Anchors that extremely many different surroundings share are dealt out by what stands around them: every window
-around the anchor falls into one of several ranges, and all windows of a range have a longer string in common.
+around the anchor falls into one of several ranges, and all windows of a range have a longer string in common.  In
+periodic text, where that does not hold, the windows of such anchors are dealt out each on its own, by 128 bits.
 
-Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; rows that repeat are copies of each
-other and lose everything of at least ``length`` bytes; results depend on the text alone.
+Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; texts may be of any length; rows that
+repeat are copies of each other and lose everything of at least ``length`` bytes; results depend on the text alone;
+columns of ``docs`` pass through whatever their names, but for those that are called like the results, which take their
+place; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, text_key
+from quillspark.llm.common import materialize, numbered, text_key
 from quillspark.llm.shingles import _mixed
 from quillspark.llm.suffixes import shared_prefix, suffix_array
 
@@ -36,6 +39,7 @@ CHUNK = 1 << 20  # bytes of one text hashed at a time
 SORTED_BYTES = 2_000_000  # surroundings sorted at a time; a group is not divided
 PARTS = 10  # ranges of windows around an anchor that are judged each on its own
 CROWDED = 50_000  # different surroundings of one anchor, from where they are dealt out
+BROADCAST_ROWS = 300_000  # anchors
 _BASE = 0x5851F42D4C957F2D
 _powers: dict[str, np.ndarray] = {}
 
@@ -306,6 +310,37 @@ def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(batches, "key_a long, key_b long, first long, end long")
 
 
+def _single_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(key_a, key_b, first, end) of the windows in surroundings that stand at more than one place, or in surroundings
+    that do."""
+    names = ["w_a", "w_b", "key_a", "key_b", "first", "many"]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            out: list[list] = [[] for _ in names]
+            for key_a, key_b, start, many, raw in zip(*(b.column(n).to_pylist() for n in ("key_a", "key_b", "start", "many", "bytes")), strict=True):
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(len(raw) - length + 1)), np.int64).reshape(-1, 2)
+                n = len(digests)
+                for column, values in zip(out, (digests[:, 0], digests[:, 1], np.full(n, key_a), np.full(n, key_b), start + np.arange(n), np.full(n, many)), strict=True):
+                    column.append(values)
+                if sum(map(len, out[0])) >= 100_000:
+                    yield windows(out)
+                    out = [[] for _ in names]
+            yield windows(out)
+
+    def windows(out: list[list]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) if c else np.zeros(0, bool if n == "many" else np.int64) for n, c in zip(names, out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    single = rows.mapInArrow(batches, "w_a long, w_b long, key_a long, key_b long, first long, many boolean")
+    single = materialize(single, "windows")
+    where = F.struct("key_a", "key_b", "first")
+    often = single.groupBy("w_a", "w_b").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("many").alias("m"))
+    often = materialize(often.where("m or low <> high").select("w_a", "w_b"), "often")
+    found = single.where("not many").join(often, ["w_a", "w_b"], "left_semi")
+    return found.select("key_a", "key_b", "first", (F.col("first") + length).alias("end"))
+
+
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key_a", "key_b", "first", "end"])
@@ -325,13 +360,18 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "place")).alias("at"), F.max("loose").alias("loose")
     )
     mixed = materialize(mixed, "mixed")
-    # anchors of periodic text may stand elsewhere in equal windows, so their groups are not dealt out
-    crowd = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("loose").alias("x")).where((F.col("m") > CROWDED) & (F.col("x") == 0))
-    wanted = mixed.join(crowd.select(F.col("h").alias("full"), "m"), F.col("h") == F.col("full"), "left")
-    ranges = F.when(F.col("m") > 20 * CROWDED, length - GRAM + 1).when(F.col("m").isNotNull(), 8).otherwise(1)
-    wanted = wanted.select("at.key_a", "at.key_b", "at.place", "h", (F.col("n") > 1).alias("many"), ranges.alias("ranges"), "loose")
-    parts = _surroundings(docs, wanted, text_col, length).repartition("g").sortWithinPartitions("g")
+    crowd = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("loose").alias("x")).where(F.col("m") > CROWDED)
+    crowd = materialize(crowd.select(F.col("h").alias("full"), "m", "x"), "crowd")
+    wanted = mixed.join(F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd, F.col("h") == F.col("full"), "left")
+    periodic = F.coalesce(F.col("x") == 1, F.lit(False))
+    ranges = F.when(F.col("m").isNull() | periodic, 1).when(F.col("m") > 20 * CROWDED, length - GRAM + 1).otherwise(8)
+    wanted = wanted.select("at.key_a", "at.key_b", "at.place", "h", (F.col("n") > 1).alias("many"), ranges.alias("ranges"), "loose", periodic.alias("periodic"))
+    # the least place of equal surroundings stands for them, but only places as such tell windows in periodic text apart
+    parts = _surroundings(docs, wanted.where("not periodic"), text_col, length).repartition("g").sortWithinPartitions("g")
     fine = materialize(_sorted_spans(parts, length), "fine")
+    wanted = wanted.where("periodic")
+    if not wanted.isEmpty():
+        fine = fine.unionByName(_single_windows(_surroundings(docs, wanted, text_col, length), length))
 
     often = mixed.where("n > 1").select(F.col("h").alias("r"), F.col("c").alias("s"))
     equal = found.where("not mixed").unionByName(
@@ -352,14 +392,16 @@ def remove_repeats(
     """
     spans = repeated_spans(docs, text_col=text_col, length=length).distinct().groupBy("key_a", "key_b")
     spans = spans.agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    spans = spans.select(F.col("key_a").alias("span_a"), F.col("key_b").alias("span_b"), "spans")
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    # a table of its own, so that the rows of a text with very many copies are split
+    spans = materialize(spans.select(F.col("key_a").alias("span_a"), F.col("key_b").alias("span_b"), "spans"), "spans")
+    held, names, labels = numbered(docs, "repeats", *([kept_col] * keep_text))
     text = names[docs.columns.index(text_col)]
     key_a, key_b = text_key(F.col(text))
-    read = docs.toDF(*names).select(*names, key_a, key_b)
+    read = held.select(*names, key_a, key_b)
     read = read.join(spans, (F.col("key_a") == F.col("span_a")) & (F.col("key_b") == F.col("span_b")), "left")
     read = read.select(*names, "spans")
-    kept = [n for n in names if keep_text or n != text]
+    labels = [(n, c) for n, c in labels if keep_text or n != text]
+    kept = [n for n, _ in labels]
     own = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
     fields = [T.StructField(n, read.schema[n].dataType) for n in kept]
     fields += [T.StructField("kept", T.BinaryType())] * keep_text + [T.StructField("repeats", own)]
@@ -377,7 +419,7 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
     out = read.mapInArrow(batches, T.StructType(fields))
-    return out.toDF(*[docs.columns[names.index(n)] for n in kept], *([kept_col] * keep_text), "repeats")
+    return out.toDF(*[c for _, c in labels], *([kept_col] * keep_text), "repeats")
 
 
 def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

@@ -90,3 +90,25 @@ def test_every_window_has_an_anchor_of_its_least_hash():
             inside = (place >= i) & (place <= i + 200 - repeats.GRAM)
             assert (h[inside] == own).any()
         assert len(place) < len(data) // 8
+
+
+def test_crowded_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWDED", 3)
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        unit = rng.choice(["ab", "abc", "a", "abcdefgh" * 9])
+        texts.append(rng.choice(["", "xy", "0123"]) + (unit * 600)[rng.randrange(9) : rng.randrange(150, 700)] + rng.choice(["", "z", str(rng.random())]))
+    check(spark, texts)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    rows = [(1, long + long[:300], "x", 1, "p"), (2, None, None, None, None), (3, "short", "y", 2, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Repeats string, kept int, spans string")
+    out = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
+    assert out[1].__fields__ == ["doc_id", "text", "kept", "spans", "kept_bytes", "repeats"]
+    assert (out[1].repeats.n_bytes, out[1].repeats.n_removed, out[1].repeats.n_spans) == (1_500_300, 600, 2)
+    assert (out[1].kept, out[3].spans, out[2].kept_bytes) == (1, "q", bytearray())
