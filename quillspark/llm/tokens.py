@@ -11,11 +11,14 @@ The shipped vocabularies hold no unigram model.  The operator therefore takes (p
 uses the 32k-piece SentencePiece vocabulary and its scores *as* a unigram model, and the tests hold the counts
 against the ``tokenizers`` library's unigram model over the same pairs.
 
-Defined cases: null and empty texts have 0 tokens; one very long word costs time in proportion to its length.
+Defined cases: null and empty texts have 0 tokens; one very long word costs time in proportion to its length, and
+memory only for the longest piece; repeated rows get equal counts; null ids pass through; other columns are not looked
+at; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -53,6 +56,7 @@ class WordCounts(dict):
             if piece:
                 self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.longest = max((len(piece) for piece, *_ in pieces), default=1) or 1
         self.unknown = min((s for _, s, _ in pieces), default=0.0) - UNKNOWN_PENALTY
         self.by_bytes = sum(kind == "byte" for *_, kind in pieces) == 256
 
@@ -65,40 +69,34 @@ class WordCounts(dict):
         return found
 
     def segment(self, word: str) -> int:
-        n = len(word)
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)  # pieces of the best path, runs of unknowns not yet weighed
-        run = [0] * (n + 1)  # bytes of the run of unknowns that ends here, else 0
-        best[0] = 0.0
-        ends = self._ends(word)
-        for end in range(1, n + 1):
+        # by end position, of the last ``longest`` ones: best score, pieces of the best path (runs of unknowns not yet
+        # weighed), bytes of the run of unknowns that ends here, else 0
+        kept = self.longest + 1
+        best, count, run = [0.0] * kept, [0] * kept, [0] * kept
+        matches = self.matches.iter(word)  # in order of their ends
+        ahead = next(matches, None)
+        for end in range(1, len(word) + 1):
             top, pieces, bytes_run = None, 0, 0
-            single = False
-            for length, score in ends.get(end, ()):  # longest first, so only a better score replaces
-                single = single or length == 1
-                candidate = best[end - length] + score
+            here: list[tuple[int, float]] = []
+            while ahead is not None and ahead[0] == end - 1:
+                here.append(ahead[1])
+                ahead = next(matches, None)
+            here.sort(key=lambda m: -m[0])
+            for length, score in here:  # longest first, so only a better score replaces
+                before = (end - length) % kept
+                candidate = best[before] + score
                 if top is None or candidate > top:
-                    top, pieces, bytes_run = candidate, count[end - length] + 1, 0
-            if not single:
-                candidate = best[end - 1] + self.unknown
+                    top, pieces, bytes_run = candidate, count[before] + 1, 0
+            if not here or here[-1][0] > 1:
+                before = (end - 1) % kept
+                candidate = best[before] + self.unknown
                 if top is None or candidate > top:
                     size = len(word[end - 1].encode("utf-8", "replace"))
-                    top, before = candidate, run[end - 1]
-                    bytes_run = before + size
-                    if self.by_bytes:
-                        pieces = count[end - 1] + size
-                    else:
-                        pieces = count[end - 1] + (not before)
-            best[end], count[end], run[end] = top, pieces, bytes_run
-        return count[n]
-
-    def _ends(self, word: str) -> dict[int, list[tuple[int, float]]]:
-        ends: dict[int, list[tuple[int, float]]] = {}
-        for last, match in self.matches.iter(word):
-            ends.setdefault(last + 1, []).append(match)
-        for found in ends.values():
-            found.sort(key=lambda m: -m[0])
-        return ends
+                    top, bytes_run = candidate, run[before] + size
+                    pieces = count[before] + (size if self.by_bytes else not run[before])
+            at = end % kept
+            best[at], count[at], run[at] = top, pieces, bytes_run
+        return count[len(word) % kept]
 
     def text(self, text: str | None) -> int:
         if not text:
@@ -109,7 +107,7 @@ class WordCounts(dict):
         return sum(map(self.__getitem__, [MARK + w for w in words]))
 
 
-_LOADED: dict[tuple[str, int], WordCounts] = {}
+_LOADED: dict[str, WordCounts] = {}  # the last vocabulary used, by its digest
 
 
 def count_tokens(
@@ -120,7 +118,7 @@ def count_tokens(
         raise ValueError(f"vocabulary of {len(pieces)} pieces; the bound is {BROADCAST_PIECES}")
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(list(pieces))
-    key = (spark.sparkContext.applicationId, id(shared))
+    key = hashlib.sha256(repr(list(pieces)).encode()).hexdigest()
     id_field = docs.schema[id_col]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

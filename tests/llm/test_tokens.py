@@ -65,3 +65,14 @@ def test_operator_over_nulls_and_repeats(spark):
     got = sorted(tokens.count_tokens(docs, pieces).collect(), key=str)
     assert [tuple(r) for r in got] == sorted([(1, 3), (1, 3), (None, 0), (2, 0)], key=lambda r: f"Row(doc_id={r[0]}")
     assert tokens.count_tokens(docs.limit(0), pieces).count() == 0
+
+
+def test_one_very_long_word_and_repeated_vocabularies(spark):
+    pieces = [("<unk>", 0.0, "other"), ("▁", -1.0, "normal"), ("ab", -1.0, "normal"), ("a", -2.0, "normal"), ("b", -2.5, "normal")]
+    others = [("<unk>", 0.0, "other"), ("▁", -1.0, "normal"), ("a", -2.0, "normal"), ("b", -2.5, "normal")]
+    rows = [(1, "ab" * 500_000, "x"), (1, "ab" * 500_000, "x"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    for _ in range(2):  # a worker must not mix the vocabularies up
+        assert sorted(r.n_tokens for r in tokens.count_tokens(df, pieces).collect()) == [0, 500_001, 500_001]
+        assert sorted(r.n_tokens for r in tokens.count_tokens(df, others).collect()) == [0, 1_000_001, 1_000_001]
+    assert tokens.count_tokens(df.limit(0), pieces).count() == 0
