@@ -4,12 +4,14 @@ Every document of a source is expected ``target / source size`` times.  Within a
 in a fixed order (size, then id); the prefix sum of the expected copies, shifted by one random offset, crosses
 some integers at each document, and the document is emitted once per integer crossed.
 
-The prefix sum is computed in three levels so that a source (or a size within it) of any weight is spread over
-tasks: distinct sizes within a source, id ranges within a size, rows within an id range.
+The prefix sum is computed in two levels, so that a source, or a size within it, of any weight is spread over tasks:
+the table is dealt out in ranges of that order, whatever the ids are, and rows are counted by size and range; then rows
+are numbered within a range.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; null ids come first
 within their size; rows that repeat in all of source, size and id are interchangeable; an empty table gives no
-rows; a source whose texts are all empty has target 0 and is not taken.
+rows; a source whose texts are all empty has target 0 and is not taken; texts may be of any length; columns of ``docs``
+pass through ``mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import SIZE_PATTERN, materialize
 
-RANGE_ROWS = 50_000  # rows of one size that are numbered together
+RANGE_ROWS = 50_000  # rows that are numbered together
 BROADCAST_ROWS = 500_000  # documents whose numbers of copies are broadcast; those of more are joined by a shuffle
 
 
@@ -93,26 +95,18 @@ def mix_counts(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size")
     )
     slim = materialize(slim, "sizes")  # texts are read once
-    by_size = slim.groupBy("source", "size").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high")
-    )
-    earlier = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = by_size.select("*", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before_size"))
-    targets = source_targets(by_size, weights, ratio, cap, seed)
-    sizes = _null_safe(sizes, targets, ["source"])
-    pieces = F.ceil(F.col("rows") / F.lit(RANGE_ROWS)).cast("double")
-    width = F.col("high").try_cast("double") - F.col("low").try_cast("double") + 1
-    piece = F.when(
-        F.col("id").isNotNull(),
-        F.floor((F.col("id").try_cast("double") - F.col("low").try_cast("double")) * pieces / width),
-    ).otherwise(F.lit(-1))
-    rows = _null_safe(slim, sizes, ["source", "size"]).withColumn("piece", F.coalesce(piece.cast("long"), F.lit(-1)))
-    counts = rows.groupBy("source", "size", "piece").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("source", "size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "size", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_piece"))
-    rows = _null_safe(rows, counts, ["source", "size", "piece"])
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id").asc_nulls_first()]
+    n_ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-slim.count() // RANGE_ROWS))
+    ranged = materialize(slim.repartitionByRange(n_ranges, *order).withColumn("piece", F.spark_partition_id()), "ranges")
+    by_piece = materialize(ranged.groupBy("source", "size", "piece").agg(F.count(F.lit(1)).alias("rows")), "pieces")
+    targets = source_targets(by_piece, weights, ratio, cap, seed)
+    # rows by size, and a few more where a size spans ranges
+    earlier = Window.partitionBy("source").orderBy("size", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = by_piece.select("source", "size", "piece", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    counts = materialize(_null_safe(counts, targets, ["source"]), "counts")
+    rows = _null_safe(ranged, F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, ["source", "size", "piece"])
     within = Window.partitionBy("source", "size", "piece").orderBy(F.col("id").asc_nulls_first())
-    place = F.col("before_size") + F.col("before_piece") + F.row_number().over(within) - 1
+    place = F.col("before") + F.row_number().over(within) - 1
     rows = rows.select("id", "source", "size", "source_size", "target", "copies", "shift", place.alias("place"))
     crossed = F.floor((F.col("place") + 1) * F.col("copies") + F.col("shift")) - F.floor(
         F.col("place") * F.col("copies") + F.col("shift")

@@ -70,3 +70,30 @@ def test_mix_repeats_rows_and_keeps_columns(spark, monkeypatch, bound):
     assert got.count() == sum(r.n_copies for r in plan)
     assert mixing.mix(docs.limit(0)).count() == 0
     assert all(r.target == 0 for r in plan if r.source_size == 0)
+
+
+@pytest.mark.parametrize("ranges", [50_000, 7])
+def test_ids_that_are_no_numbers(spark, monkeypatch, ranges):
+    """Places follow source, size and id, whatever the ids are and however the rows are dealt out."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", ranges)
+    rows = [(f"id-{i * 7919 % 400:03d}" if i else None, "w " * (1 + i % 3), "ab"[i % 4 == 0], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, place int")
+    out = mixing.mix_counts(df).collect()
+    seen = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.source, r["size"], r.id or "")):
+        seen[r.source].append(r)
+    for found in seen.values():
+        each = found[0].target / found[0].source_size
+        crossed, total = 0, 0.0
+        for r in found:
+            crossed, total = crossed + r.n_copies, total + each
+            assert abs(crossed - total) <= 1
+    again = {(r.id, r.source, r["size"]): r.n_copies for r in mixing.mix_counts(df.repartition(3)).collect()}
+    assert again == {(r.id, r.source, r["size"]): r.n_copies for r in out}
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rows = [(1, "word " * 400_000, "a", 1, 2), (2, "word", "a", 3, 4), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, n_copies int")
+    out = mixing.mix(df).collect()
+    assert out and all(len(r) == 5 and (r.times, r.n_copies) == {1: (1, 2), 2: (3, 4)}[r.doc_id] for r in out)
