@@ -13,7 +13,8 @@ connected components.
 
 Defined cases: null texts and texts without words are similar to nothing; texts of fewer words than a shingle are
 one shingle; rows that repeat count as documents of their own; a group's id is the least id among its documents
-(null ids only if there is no other).
+(null ids only if there is no other); texts may be of any length; columns of ``docs`` pass through ``keep_one`` whatever
+their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ TOLERANCE = 1e-6
 BLOCK = 512
 PAIRS_AT_ONCE = 100_000
 DENSE_CELLS = 16_000_000
+BROADCAST_ROWS = 300_000  # of a few numbers
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -264,7 +266,7 @@ def near_duplicates(
     rows = materialize(_class_rows(docs, id_col, text_col, width), "signatures")
     with_words = rows.where("a is not null")
     classes = with_words.groupBy("a", "b").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b")).alias("text"),
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "id")).alias("text"),
         F.first("signature").alias("signature"), F.first("bands").alias("bands"),
     )
     classes = materialize(classes, "classes")
@@ -284,8 +286,8 @@ def near_duplicates(
     members = members.select(
         *group, "place", "c.a", "c.b", F.when(F.col("place") == 0, F.col("pairs")).alias("pairs")
     )
-    needed = members.select("a", "b").distinct().join(classes.select("a", "b", "text", "n"), ["a", "b"])
-    sets = _sets(docs, needed, text_col, width)
+    needed = materialize(members.select("a", "b").distinct().join(classes.select("a", "b", "text", "n"), ["a", "b"]), "needed")
+    sets = _sets(docs, needed, id_col, text_col, width)
     to_verify = members.join(sets, ["a", "b"]).repartition(*group).sortWithinPartitions(*group)
     links = materialize(_links(to_verify, threshold), "links")
 
@@ -299,6 +301,8 @@ def near_duplicates(
     named = joined.join(least, "root").select(
         F.col("a").alias("class_a"), F.col("b").alias("class_b"), "root", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+    # a table of its own, so that the documents of a class with very many of them are split
+    named = materialize(named, "named")
     out = rows.select("id", "key_a", "key_b", "a", "b").join(named, (F.col("a") == F.col("class_a")) & (F.col("b") == F.col("class_b")), "left")
     return out.select(
         "id",
@@ -310,12 +314,15 @@ def near_duplicates(
     )
 
 
-def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(a, b, n, set) of the classes in ``needed``, from the text that stands for each."""
-    wanted = needed.select("a", "b", "n", F.col("text.key_a").alias("want_a"), F.col("text.key_b").alias("want_b"))
+def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(a, b, n, set) of the classes in ``needed``, from the document that stands for each; its copies are not moved."""
+    wanted = needed.select("a", "b", "n", *[F.col(f"text.{c}").alias(f"want_{c}") for c in ("key_a", "key_b", "id")])
+    if needed.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     key_a, key_b = text_key(F.col(text_col))
-    texts = docs.select(key_a, key_b, F.col(text_col).alias("text"))
-    texts = texts.join(wanted, (F.col("key_a") == F.col("want_a")) & (F.col("key_b") == F.col("want_b")))
+    texts = docs.select(key_a, key_b, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    same = [F.col("key_a") == F.col("want_key_a"), F.col("key_b") == F.col("want_key_b"), F.col("id").eqNullSafe(F.col("want_id"))]
+    texts = texts.join(wanted, same)
     texts = texts.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("text").alias("text"))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,3 +115,20 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 203: 203, 204: 203, 205: 203}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(str(i) for i in range(150_000))
+    rows = [(1, long, "x", 1), (2, long + " more", "y", 2), (3, None, "z", 3), (None, long, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string, root int")
+    out = {r.id: (r.class_id, r.n_links) for r in nearjoin.near_duplicates(df).collect()}
+    assert out == {1: (1, 2), 2: (1, 2), None: (1, 2), 3: (3, 0)}
+    kept = nearjoin.keep_one(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.class_id, r.root) for r in kept] == [(1, "x", 1), (3, "z", 3)]
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "BROADCAST_ROWS", 0)
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + (" end" if i % 3 else "")) for i in range(30)] + [(99, "one of its own, with words enough")]
+    out = {r.id: (r.class_id, r.n_links) for r in nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: (0, 29) for i in range(30)} | {99: (99, 0)}
