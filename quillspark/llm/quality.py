@@ -11,7 +11,8 @@ adds table entries for whole Arrow batches.
 
 Defined cases: a null text is scored like an empty one, which gets a score; rows whose label is null are not learned
 from; repeated rows get equal scores; a null id is never held out; without any labelled rows all scores are
-``PRIOR``; columns of ``docs`` with any names pass through ``score_documents``.
+``PRIOR``; texts may be of any length; columns of ``docs`` with any names pass through ``score_documents``, but for one
+that is called like the score, which takes its place; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.common import numbered
+
 MAX_TRAINING_ROWS = 20_000
 MAX_BINS = 32
 PAIR_BINS = 8
@@ -228,16 +231,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "quality_score", keep_text: bool = True) -> DataFrame:
     """``docs`` with a score from 0 to 1 per row; ``keep_text=False`` leaves the text out."""
-    kept = [c for c in docs.columns if keep_text or c != text_col]
-    at = docs.columns.index(text_col)
-    fields = [docs.schema.fields[docs.columns.index(c)] for c in kept]
-    schema = T.StructType([*fields, T.StructField(score_col, T.DoubleType())])
-    places = [docs.columns.index(c) for c in kept]
+    held, names, kept = numbered(docs, score_col)
+    text = names[docs.columns.index(text_col)]
+    kept = [(n, c) for n, c in kept if keep_text or n != text]
+    schema = T.StructType([*(held.schema[n] for n, _ in kept), T.StructField("score", T.DoubleType())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            score = model.score(feature_rows(b.column(at).to_pylist()))
-            columns = [*(b.column(i) for i in places), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, score_col])
+            score = model.score(feature_rows(b.column(text).to_pylist()))
+            columns = [*(b.column(n) for n, _ in kept), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(n for n, _ in kept), "score"])
 
-    return docs.mapInArrow(batches, schema)
+    return held.mapInArrow(batches, schema).toDF(*[c for _, c in kept], score_col)

@@ -60,3 +60,27 @@ def test_held_out_accuracy(spark):
     assert (rows.predicted == rows.quality).mean() > 0.97
     clean = rows[rows.quality == 1]
     assert clean.predicted.mean() > 0.99
+
+
+def plain_score(model, text):
+    """The score from the definition, table by table."""
+    x = quality.features_of(text)
+    total = model.base
+    for value, cuts, table in zip(x, model.cuts, model.tables, strict=True):
+        total += table[sum(1 for c in cuts if value >= c)]
+    for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+        total += table[sum(1 for c in model.coarse[a] if x[a] >= c), sum(1 for c in model.coarse[b] if x[b] >= c)]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_whole_query_against_plain_scores_and_clashing_names(spark):
+    texts = [None, "", "word " * 400_000, "One plain sentence.", "one plain sentence.", "$$$ || BUY !!! " * 9] + [f"Text {i}, of {i % 7} kinds. " * (1 + i % 5) for i in range(60)]
+    rows = [(i, t, 0.5, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Quality_Score double, score string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 2), 0) for i in range(6, 66)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    out = {r.doc_id: r for r in quality.score_documents(docs, model).collect()}
+    assert out[0].__fields__ == ["doc_id", "text", "score", "quality_score"] and out[0].score == "x"
+    assert out[0].quality_score == out[1].quality_score
+    for i, t in enumerate(texts):
+        assert abs(out[i].quality_score - plain_score(model, t)) < 1e-12
