@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary local one."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset and all runs on one machine (tests), a
+    temporary local one.  On a cluster each executor would write to its own disk there, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)

@@ -9,12 +9,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
-BATCH_ROWS = 1_000  # rows of an Arrow batch: whole texts, so a worker's memory is bounded by few of them
+BATCH_ROWS, BATCH_BYTES = 1_000, 32_000_000  # of an Arrow batch of whole texts, where the session does not set them
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once per application, and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Send the package's source to the executors, once per application, and keep Arrow batches small: by rows, and by
+    bytes for long texts.  What the session itself has set for them stays."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not spark.conf._jconf.contains(key):
+            spark.conf.set(key, str(value))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
