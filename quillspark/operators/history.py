@@ -83,8 +83,8 @@ def escaped(cell: Column) -> Column:
 
 
 def to_markdown(entries: DataFrame) -> DataFrame:
-    """(day, markdown) per day: a heading, and a section with a table per run; needs day, time, action_mode, position
-    and the table's cells under the names of a parsed entry."""
+    """(day, body, markdown) per day: a section with a table per run, and the same under the day's heading; needs day,
+    time, action_mode, position and the table's cells under the names of a parsed entry."""
     cells = [F.col("position").cast("string")] + [escaped(F.col(c)) for c in ("original_filename", "category", "issuer", "new_filename", "amount", "destination")]
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     runs = entries.groupBy("day", "time", "action_mode").agg(
@@ -96,4 +96,16 @@ def to_markdown(entries: DataFrame) -> DataFrame:
     table = F.lit("| " + " | ".join(COLUMNS) + " |\n|" + " --- |" * len(COLUMNS))
     section = F.concat_ws("\n", head, F.lit(""), table, F.col("rows"), F.lit(""))
     days = runs.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "action_mode", section.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
-    return days.select("day", F.concat(F.lit("## "), F.col("day"), F.lit("\n\n"), F.col("body")).alias("markdown"))
+    return days.select("day", "body", F.concat(F.lit("## "), F.col("day"), F.lit("\n\n"), F.col("body")).alias("markdown"))
+
+
+def with_section(text: str, day: str, body: str) -> str:
+    """A history's text with a run's section at the end of its day; a day that is new comes last."""
+    lines = text.rstrip("\n").split("\n")
+    starts = [i for i, line in enumerate(lines) if line.startswith("## ") and day in line]
+    if not starts:
+        return "\n".join([*lines, "", f"## {day}", "", body.rstrip("\n"), ""])
+    end = next((i for i in range(starts[-1] + 1, len(lines)) if lines[i].startswith("## ")), len(lines))
+    while lines[end - 1] == "":
+        end -= 1
+    return "\n".join([*lines[:end], "", body.rstrip("\n"), "", *lines[end:]]).rstrip("\n") + "\n"

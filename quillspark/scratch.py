@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -32,3 +33,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ordinals(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, written, with a column ``name``: the number of each row from 0 in ``order``.
+
+    Rows are dealt out in ranges of the order and numbered within them; only the sizes of the ranges, a few numbers,
+    meet in one task.  Rows that tie are numbered in any order.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return joined.withColumn(name, (F.col("_before") + nth - 1).cast("long")).drop("_range", "_before")

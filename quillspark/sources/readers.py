@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import base_name, control_free
@@ -46,14 +46,38 @@ def read_texts(spark: SparkSession, path: str, extract: Callable[[bytes], str],
     return read.select("path", base_name(F.col("path")).alias("name"), control_free(F.col("text")).alias("text"), "extract_error")
 
 
+def lines_in_order(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, line_no, line) of text files, lines numbered from 0; files are read in parts, never as one value.
+
+    Rows of a part keep their order and parts are ordered by where they start, so that numbers are counted by part.
+    """
+    read = spark.read.option("pathGlobFilter", glob).text(path)
+    read = read.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    sizes = read.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("file", "part").orderBy("at"))
+    numbered = read.withColumn("nth", nth).join(sizes, ["file", "part"])
+    return numbered.select("file", (F.col("before") + F.col("nth") - 1).cast("long").alias("line_no"), "line")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log records in line order (``seq``): blank and malformed lines are passed over, a missing file is empty."""
+    """Log records, JSON lines, with ``seq``: what a record says itself, as those written by ``sinks.append_log`` do,
+    else the number of its line, files one after the other by name.  Blank and malformed lines are passed over, a
+    missing file is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"seq long, {LOG_SCHEMA}")
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    parsed = lines.where(F.trim("line") != "").select("file", "at", F.from_json("line", f"{LOG_SCHEMA}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
+    lines = lines_in_order(spark, path).where(F.trim("line") != "")
+    parsed = lines.select("file", "line_no", F.from_json("line", f"seq long, {LOG_SCHEMA}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
     fine = parsed.where("r._corrupt_record is null and r is not null")
-    return fine.select(F.col("at").cast("long").alias("seq"), "r.*").drop("_corrupt_record")
+    own = fine.where("r.seq is null").groupBy("file").agg((F.max("line_no") + 1).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    own = own.select(F.col("file").alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    joined = fine.join(own, F.col("file") == F.col("of"), "left")
+    seq = F.coalesce("r.seq", F.col("before") + F.col("line_no")).cast("long")
+    return joined.select(seq.alias("seq"), F.col("r").dropFields("seq", "_corrupt_record").alias("r")).select("seq", "r.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +86,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, glob: str = "*PROCESSED_PDFS*.md") -> DataFrame:
-    """(file, value) of history files read whole: one file, or those of a folder whose names fit."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", "*" if path.endswith(".md") else glob)
-    return reader.text(path).select(F.input_file_name().alias("file"), "value")
+    """(file, line_no, line) of one history file, or of those of a folder whose names fit."""
+    return lines_in_order(spark, path, "*" if path.endswith(".md") else glob)
 
 
 def read_examples(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
@@ -74,11 +97,31 @@ def read_examples(spark: SparkSession, path: str, category: str | None = None) -
     return kept.where(F.size("embedding") == F.col("dim"))
 
 
-def read_tracked(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".py", ".md", ".yaml", ".yml", ".toml", ".txt", ".gitignore")) -> DataFrame:
-    """(path, text) of text files by suffix, for the marker scan."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
-    named = read.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return named.where(F.exists(F.array(*[F.lit(s) for s in suffixes]), lambda s: F.endswith(F.col("path"), s)))
+#: Names of text files, by their ends, and a script that the marker scan passes over.
+TRACKED_SUFFIXES = (".py", ".md", ".yaml", ".yml", ".toml", ".txt", ".gitignore")
+
+
+def read_tracked(spark: SparkSession, path: str, suffixes: tuple[str, ...] = TRACKED_SUFFIXES, tracked: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) of text files by suffix, each read whole, for the marker scan.
+
+    Only files of these suffixes are opened.  With ``tracked`` (a column ``path``, relative to the folder) only those
+    in it; files whose path ends with one of ``skip`` are passed over.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}")
+    named = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    for s in skip:
+        named = named.where(~F.endswith("path", F.lit(s)))
+    if tracked is None:
+        return named
+    root = path.rstrip("/") + "/"
+    below = F.substring_index("path", root, -1)
+    return named.join(tracked.select(F.col("path").alias("_tracked")).distinct(), below == F.col("_tracked"), "left_semi")
+
+
+def review(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+    """The first ``n`` entries of a manifest, in the order in which they were written."""
+    lines = lines_in_order(spark, path).where(F.trim("line") != "").orderBy("file", "line_no").limit(n)
+    return lines.select("file", "line_no", F.from_json("line", MANIFEST_SCHEMA, {"mode": "FAILFAST"}).alias("r")).orderBy("file", "line_no").select("r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

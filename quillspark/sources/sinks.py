@@ -6,11 +6,12 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import history, vectors
-from quillspark.sources.readers import MANIFEST_SCHEMA, exists
+from quillspark.scratch import ordinals
+from quillspark.sources.readers import MANIFEST_SCHEMA, exists, read_log
 
 CSV_COLUMNS = ("filename", "category", "issuer", "owner", "account", "date", "amount", "ocr_confidence", "routed_to", "timestamp")
 
@@ -32,68 +33,114 @@ def append_manifest(entries: DataFrame, csv_path: str, json_path: str, columns:
 
 
 def append_log(records: DataFrame, path: str) -> int:
-    """Append records as Parquet with line numbers that go on from the last; returns how many."""
-    spark = records.sparkSession
-    last = spark.read.parquet(path).agg(F.max("seq")).first()[0] if exists(spark, path) else None
-    order = [c for c in ("seq", "ts", "original_filename") if c in records.columns]
-    numbered = records.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # one batch of decisions
-    numbered = numbered.withColumn("seq", F.col("_n").cast("long") + (last if last is not None else -1)).drop("_n")
-    numbered.write.mode("append").parquet(path)
+    """Append records as JSON lines, to a folder, with ``seq`` that goes on from the last; returns how many.
+
+    Records are ordered by seq, time and name, as far as they have them.  One writer at a time is assumed."""
+    last = read_log(records.sparkSession, path).agg(F.max("seq")).first()[0]
+    order = [F.col(c) for c in ("seq", "ts", "original_filename") if c in records.columns]
+    numbered = ordinals(records, order, "log_line")
+    written = numbered.withColumn("seq", F.col("log_line") + F.lit(-1 if last is None else last) + 1).drop("log_line")
+    written.write.mode("append").json(path)
     return numbered.count()
 
 
-def write_history(entries: DataFrame, path: str) -> None:
-    """Entries as Markdown, a file per run of the job, days in order."""
-    days = history.to_markdown(entries).orderBy("day").select(F.col("markdown").alias("value"))
-    days.write.mode("append").text(path)
+def write_history(entries: DataFrame, path: str, *, title: str = "# Processed PDFs") -> None:
+    """Add the entries of a run to one Markdown file: a title if it is new, a heading for a day that has none, and the
+    run's section at the end of its day.
+
+    A run is what one person has approved; its sections, one row per day and run, come to the driver.  The file is
+    written beside the old one, then takes its place.
+    """
+    text = f"{title}\n"
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    for day, body in history.to_markdown(entries).select("day", "body").orderBy("day").collect():
+        text = history.with_section(text, day, body)
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with open(beside, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(beside, path)
 
 
 def merge_examples(rows: DataFrame, path: str) -> None:
-    """Merge rows into stored examples: the new version is written beside the old, then takes its place.
+    """Merge rows into stored examples: the new version is written beside the old, which is put aside, not deleted,
+    until the new one has its place.  A merge that was cut short is made good by the next.
 
     One writer at a time is assumed."""
     spark = rows.sparkSession
-    merged = vectors.upsert(spark.read.parquet(path), rows) if exists(spark, path) else vectors.upsert(rows.limit(0), rows)
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    merged.write.parquet(beside)
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-old")
+    if not fs.exists(place) and fs.exists(aside):
+        fs.rename(aside, place)
+    merged = vectors.upsert(spark.read.parquet(path), rows) if exists(spark, path) else vectors.upsert(rows.limit(0), rows)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-{uuid.uuid4().hex}")
+    merged.write.parquet(new.toString())
+    fs.delete(aside, True)
+    if fs.exists(place):
+        fs.rename(place, aside)
+    fs.rename(new, place)
+    fs.delete(aside, True)
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
     audit.write.mode("overwrite").json(path)
 
 
-def export_log(log: DataFrame, path: str) -> None:
-    """The whole log as JSON lines, in order."""
-    log.orderBy("seq").write.mode("overwrite").json(path)
-
-
-def apply_plan(rows: list[tuple[str, str]], *, archive: str | None = None, rename: bool = False) -> list[tuple[str, str | None]]:
-    """Move or copy files of an approved batch on the driver: (source, target) to (source, error or None).
-
-    A batch is what one person has just approved; a file's failure does not stop the others."""
-    out: list[tuple[str, str | None]] = []
+def export_log(log: DataFrame, path: str, *, array: bool = False) -> None:
+    """The whole log as JSON lines, in order; with ``array`` the parts, one after the other, are one JSON array."""
+    if not array:
+        log.orderBy("seq").write.mode("overwrite").json(path)
+        return
+    record = F.to_json(F.struct(*log.columns))
+    ends = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    if ends.low is None:
+        log.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
+        return
+    first = F.when(F.col("seq") == ends.low, F.lit("[")).otherwise(F.lit(" "))
+    last = F.when(F.col("seq") == ends.high, F.lit("]")).otherwise(F.lit(","))
+    log.orderBy("seq").select(F.concat(first, record, last).alias("value")).write.mode("overwrite").text(path)
+
+
+def apply_plan(rows: list[tuple[str, str]], *, archive: str | None = None, rename: bool = False) -> list[tuple[str, str | None, str | None]]:
+    """Move or copy files of an approved batch on the driver: (source, target) to (source, where it is now or None,
+    error or None).
+
+    A batch is what one person has just approved; a file's failure does not stop the others.  Targets are settled once
+    more against what is on disk by now and against each other: a name that is taken gets the next free number."""
+    out: list[tuple[str, str | None, str | None]] = []
+    taken: set[str] = set()
     for source, target in rows:
         try:
             os.makedirs(os.path.dirname(target), exist_ok=True)
+            here = os.path.exists(source) and os.path.exists(target) and os.path.samefile(source, target)
+            target = target if here else _free(target, taken)
             if rename:
                 os.rename(source, target)
             else:
                 shutil.copy2(source, target)
                 if archive:
                     os.makedirs(archive, exist_ok=True)
-                    shutil.copy2(source, os.path.join(archive, os.path.basename(source)))
+                    shutil.copy2(source, _free(os.path.join(archive, os.path.basename(source)), set()))
                 os.unlink(source)
-            out.append((source, None))
+            taken.add(target)
+            out.append((source, target, None))
         except OSError as problem:
-            out.append((source, str(problem)))
+            out.append((source, None, str(problem)))
     return out
 
 
+def _free(target: str, taken: set[str]) -> str:
+    head, tail = os.path.splitext(target)
+    n, candidate = 2, target
+    while candidate in taken or os.path.exists(candidate):
+        candidate, n = f"{head} - {n}{tail}", n + 1
+    return candidate
+
+
 def spark_session(name: str = "quillspark") -> SparkSession:
     """A session with adaptive execution, and UTC so that dates do not depend on the machine."""
     return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()

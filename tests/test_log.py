@@ -22,7 +22,7 @@ def test_read_log_passes_over_bad_lines(spark, tmp_path):
     good = {"event": "confirmed", "original_filename": "a.pdf", "extra": {"k": "v"}}
     (tmp_path / "log.jsonl").write_text(json.dumps(good) + "\n\n{bad\n" + json.dumps(good | {"event": "parked"}) + "\n")
     got = readers.read_log(spark, str(tmp_path / "log.jsonl")).orderBy("seq").collect()
-    assert [r.event for r in got] == ["confirmed", "parked"] and got[0].extra == {"k": "v"}
+    assert [(r.seq, r.event) for r in got] == [(0, "confirmed"), (3, "parked")] and got[0].extra == {"k": "v"}
     assert readers.read_log(spark, str(tmp_path / "none.jsonl")).count() == 0
 
 
@@ -31,8 +31,93 @@ def test_append_goes_on_counting(spark, tmp_path):
     rows = spark.createDataFrame([("x", "1"), ("y", "2")], "original_filename string, ts string")
     records = rows.select(*feedback.record(F.lit("confirmed"), F.col("original_filename"), F.lit("t" * 3000), ts=F.col("ts"), note=F.lit(" why ")))
     assert sinks.append_log(records, path) == 2 and sinks.append_log(records, path) == 2
-    got = spark.read.parquet(path).orderBy("seq").collect()
-    assert [r.seq for r in got] == [0, 1, 2, 3] and len(got[0].text_excerpt) == 2000 and got[0].note == "why"
+    got = readers.read_log(spark, path).orderBy("seq").collect()
+    assert [(r.seq, r.original_filename) for r in got] == [(0, "x"), (1, "y"), (2, "x"), (3, "y")] and len(got[0].text_excerpt) == 2000 and got[0].note == "why"
+
+
+def test_append_read_parked(spark, tmp_path):
+    """What is latest follows the order in which records were appended, however they are read and dealt out."""
+    path = str(tmp_path / "log")
+    for at, (event, name) in enumerate([("parked", "a"), ("parked", "b"), ("unparked", "a"), ("parked", "a"), ("confirmed", "b"), ("parked", "c")]):
+        rows = spark.createDataFrame([(event, name)], "e string, n string")
+        sinks.append_log(rows.select(*feedback.record(F.col("e"), F.col("n"), F.lit("t"), ts=F.lit(f"2024-01-0{6 - at}"))), path)
+    got = readers.read_log(spark, path).repartition(3, F.rand(1))
+    assert sorted(r.seq for r in got.collect()) == list(range(6))
+    assert {(r.original_filename, r.seq) for r in feedback.parked(got).collect()} == {("a", 3), ("c", 5)}
+    assert [r.seq for r in feedback.tail(got, 2).collect()] == [5, 4]
+
+
+def test_line_numbers_over_parts_and_files(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"event": "parked", "original_filename": f"{name}{i}", "note": "x" * 200}) + "\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = readers.lines_in_order(spark, str(tmp_path)).collect()
+        assert all(json.loads(r.line)["original_filename"] == f"{r.file[-7]}{r.line_no}" for r in lines) and len(lines) == 1000
+        got = {r.seq: r.original_filename for r in readers.read_log(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: f"a{i}" for i in range(500)} | {500 + i: f"b{i}" for i in range(500)}
+
+
+def test_tracked_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.py", "sub/b.md", "c.bin", "d.py"):
+        (tmp_path / name).write_text("one\nlong number 1234567\n")
+    got = readers.read_tracked(spark, str(tmp_path), skip=("d.py",))
+    found = markers.scan(got, [(r"\b\d{6,}\b", "number")], id_col="path").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.line_no) for r in found) == [("a.py", 2), ("b.md", 2)]
+    listed = spark.createDataFrame([("sub/b.md",)], "path string")
+    assert [r.path[-4:] for r in readers.read_tracked(spark, str(tmp_path), tracked=listed).collect()] == ["b.md"]
+
+
+def test_merge_examples_outlives_a_cut(spark, tmp_path):
+    path = str(tmp_path / "examples")
+    make = lambda rows: spark.createDataFrame(rows, "original_filename string, ts string, category string, embedding array<float>, dim int")
+    sinks.merge_examples(make([("a", "1", "x", [1.0], 1), ("b", "1", "y", [2.0], 2)]), path)
+    sinks.merge_examples(make([("a", "1", "z", [3.0], 1)]), path)
+    assert sorted((r.original_filename, r.category) for r in spark.read.parquet(path).collect()) == [("a", "z"), ("b", "y")]
+    assert [(r.original_filename, r.category) for r in readers.read_examples(spark, path, "z").collect()] == [("a", "z")]
+    (tmp_path / "examples").rename(tmp_path / "examples-old")  # as a merge that was cut short leaves it
+    sinks.merge_examples(make([("c", "1", "x", [1.0], 1)]), path)
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "examples-old").exists()
+
+
+def test_history_file_days_and_title(spark, tmp_path):
+    path = str(tmp_path / "out" / "PROCESSED_PDFS.md")
+    make = lambda day, time, name: spark.createDataFrame(
+        [(day, time, "move", 1, name, "Bills", None, "new.pdf", "$1.00", "Bills/FPL")],
+        "day string, time string, action_mode string, position int, original_filename string, category string, issuer string, new_filename string, amount string, destination string",
+    )
+    for day, time, name in (("2024-01-02", "10:00", "a.pdf"), ("2024-01-03", "09:00", "b|c.pdf"), ("2024-01-02", "11:00", "d.pdf"), ("2024-01-03", "12:00", "e.pdf")):
+        sinks.write_history(make(day, time, name), path)
+    text = open(path).read()
+    assert text.startswith("# Processed PDFs\n") and text.count("# Processed PDFs") == 1 and text.count("## 2024-01-02") == 1 and text.count("## 2024-01-03") == 1
+    got = history.parse(readers.read_history(spark, path)).orderBy("line_no").collect()
+    assert [(r.original_filename, r.day) for r in got] == [("a.pdf", "2024-01-02"), ("d.pdf", "2024-01-02"), ("b|c.pdf", "2024-01-03"), ("e.pdf", "2024-01-03")]
+
+
+def test_manifest_export_and_apply(spark, tmp_path):
+    entries = spark.createDataFrame([(f"f{i}.pdf", "Bills", "x", "o", "1", "2024-01-01", "1.00", 0.5, "r", "t", "moved") for i in range(30)], readers.MANIFEST_SCHEMA)
+    sinks.append_manifest(entries.coalesce(1), str(tmp_path / "csv"), str(tmp_path / "json"))
+    assert readers.read_manifest(spark, str(tmp_path / "json")).count() == 30
+    assert [r.filename for r in readers.review(spark, str(tmp_path / "json")).collect()] == [f"f{i}.pdf" for i in range(20)]
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == list(sinks.CSV_COLUMNS)
+    events = log(spark, [("parked", "a"), ("skipped", 'b"')])
+    for rows in (events, events.limit(0), events.limit(1)):
+        sinks.export_log(rows, str(tmp_path / "export"), array=True)
+        parts = "".join(p.read_text() for p in sorted((tmp_path / "export").glob("part-*")))
+        assert [x["original_filename"] for x in json.loads(parts)] == [r.original_filename for r in rows.orderBy("seq").collect()]
+    for name in ("a.pdf", "b.pdf", "there.pdf"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "to").mkdir()
+    (tmp_path / "to" / "x.pdf").write_text("old")
+    to = str(tmp_path / "to" / "x.pdf")
+    done = sinks.apply_plan([(str(tmp_path / "a.pdf"), to), (str(tmp_path / "none.pdf"), to), (str(tmp_path / "b.pdf"), to)], archive=str(tmp_path / "old"))
+    assert [d[1] and d[1].rsplit("/", 1)[1] for d in done] == ["x - 2.pdf", None, "x - 3.pdf"] and done[1][2]
+    assert (tmp_path / "to" / "x.pdf").read_text() == "old" and (tmp_path / "to" / "x - 3.pdf").read_text() == "b.pdf" and (tmp_path / "old" / "a.pdf").exists()
+    assert sinks.apply_plan([(str(tmp_path / "there.pdf"), str(tmp_path / "y.pdf"))], rename=True)[0][1].endswith("y.pdf")
 
 
 HISTORY = """# Log
@@ -55,7 +140,7 @@ HISTORY = """# Log
 
 def test_history(spark, tmp_path):
     (tmp_path / "2026 PROCESSED_PDFS.md").write_text(HISTORY)
-    entries = history.parse(history.lines_of(readers.read_history(spark, str(tmp_path))))
+    entries = history.parse(readers.read_history(spark, str(tmp_path)))
     got = [(r.original_filename, r.issuer, r.new_filename, r.amount, r.day, r.action_mode) for r in entries.orderBy("line_no").collect()]
     assert got == [
         ("a | b.pdf", None, "new.pdf", "$1.00", "2026-05-15", "move"), ("c.pdf", "FPL", "c.pdf", None, "2026-05-15", "rename"), ("c.pdf", "FPL", "x", None, "2026-05-25", "move"),
