@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import ascii_lower, materialize, numbered, text_key
 
 BROADCAST_WINDOWS = 500_000  # of at most ``span`` words each
+BROADCAST_TEXTS, BROADCAST_CHARS = 100_000, 16_000_000  # texts with hits, and the characters of their items
 #: Words before lower-casing A-Z: the same words, as capitals are no bounds either way.  Java matches a class of
 #: listed ranges several times faster than the equal class of all others.
 CASED_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
@@ -132,6 +133,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     )
     # a table of its own, so that the join below is between two plain shuffles, where a hot text is split, or a broadcast
     per_text = materialize(per_text, "hits")
+    bound = per_text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.array_join("items", ","))).alias("chars")).first()
+    if bound.n <= BROADCAST_TEXTS and (bound.chars or 0) <= BROADCAST_CHARS:
+        per_text = F.broadcast(per_text)
     held, names, kept = numbered(docs, info_col)
     text = F.col(names[docs.columns.index(text_col)])
     key_a, key_b = text_key(text)
