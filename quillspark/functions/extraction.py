@@ -5,7 +5,8 @@ Every function takes columns and returns a column; nothing is collected and no P
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,11 +37,33 @@ OWNER = (
     r"(?:Cardholder|Account Holder|Account Owner|Holder)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)",
 )
 HEADER_CHARS, FOOTER_CHARS = 1500, 1000
+NAMED_WHOLE = r"^(\d{4})(\d{2})(\d{2})(?:[_\-]|$)"
+NAMED_FULL = r"^(\d{4})[\-._](\d{1,2})[\-._](\d{1,2})(?:\D|$)"
+NAMED_SHORT = r"^(\d{4})[\-._](\d{1,2})(?:\D|$)"
+#: Strings of which a text that a pattern matches holds one; they are cheap to look for.
+HINTS = {
+    PERIOD: ("billing period", "service period", "statement period"),
+    ACCOUNT_FULL: ("account", "acct"),
+    ACCOUNT_ENDING: ("ending", "last"),
+    ACCOUNT_SHORT: ("account", "acct"),
+    BIRTH_LABEL: ("birth", "born", "dob", "d.ob", "do.b", "d.o.b"),
+}
+
+
+def _hinted(folded_text: Column, pattern: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(folded_text, F.lit(x)) for x in HINTS[pattern]])
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` groups of the first match, empty without one; the pattern is matched no more once it fails."""
+    first = F.regexp_extract(text, pattern, 0)
+    return let(first, lambda m: F.when(m == "", F.array(*[F.lit("")] * n)).otherwise(F.array(*[F.regexp_extract(text, pattern, g) for g in range(1, n + 1)])))
 
 
 def currency(text: Column) -> Column:
     """The sign that stands by most numbers; the dollar if none does or none has more."""
-    counts = F.struct(*[F.regexp_count(text, F.lit(rx(p))).alias(f"n{i}") for i, p in enumerate(CURRENCY.values())])
+    count = lambda sign, p: F.when(F.contains(text, F.lit(sign)), F.regexp_count(text, F.lit(rx(p)))).otherwise(F.lit(0))
+    counts = F.struct(*[count(sign, p).alias(f"n{i}") for i, (sign, p) in enumerate(CURRENCY.items())])
     return let(counts, lambda c: _most_frequent({sign: c[f"n{i}"] for i, sign in enumerate(CURRENCY)}))
 
 
@@ -68,15 +91,14 @@ def _fits(month: Column, day: Column | None = None) -> Column:
 
 def date_from_filename(name: Column) -> Column:
     """The date a file name starts with: YYYYMMDD, year-month-day or year-month."""
-    s = stem(F.coalesce(name, F.lit("")))
-    part = lambda p, g: F.regexp_extract(s, rx(p), g)
-    whole = r"^(\d{4})(\d{2})(\d{2})(?:[_\-]|$)"
-    full = r"^(\d{4})[\-._](\d{1,2})[\-._](\d{1,2})(?:\D|$)"
-    short = r"^(\d{4})[\-._](\d{1,2})(?:\D|$)"
-    forms = [
-        F.when(_fits(part(p, 2), part(p, 3)), _iso(part(p, 1), part(p, 2), part(p, 3))) for p in (whole, full)
-    ]
-    return F.coalesce(*forms, F.when(_fits(part(short, 2)), _iso(part(short, 1), part(short, 2), F.lit("1"))))
+
+    def read(s: Column) -> Column:
+        whole = let(_groups(s, rx(NAMED_WHOLE), 3), lambda g: F.when(_fits(g[1], g[2]), _iso(g[0], g[1], g[2])))
+        full = let(_groups(s, rx(NAMED_FULL), 3), lambda g: F.when(_fits(g[1], g[2]), _iso(g[0], g[1], g[2])))
+        short = let(_groups(s, rx(NAMED_SHORT), 2), lambda g: F.when(_fits(g[1]), _iso(g[0], g[1], F.lit("1"))))
+        return F.when(s.rlike(rx(r"^\d{4}")), F.coalesce(whole, full, short))
+
+    return let(stem(F.coalesce(name, F.lit(""))), read)
 
 
 def _starts(pieces: Column, matches: Column) -> Column:
@@ -90,15 +112,17 @@ def _starts(pieces: Column, matches: Column) -> Column:
     return F.aggregate(indices, begin, step, lambda acc: acc["at"])
 
 
-def without_birth_dates(text: Column) -> Column:
-    """Blanks dates within 200 characters of a date-of-birth label; everything keeps its place."""
+def without_birth_dates(text: Column, plain: Column | None = None) -> Column:
+    """Blanks dates within 200 characters of a date-of-birth label; everything keeps its place.  ``plain`` is the text
+    as ``folded`` gives it, where that is known already."""
     pieces, dates = F.split(text, rx(BIRTH_DATE), -1), F.regexp_extract_all(text, F.lit(rx(BIRTH_DATE)), F.lit(0))
     label_pieces = F.split(text, rx(BIRTH_LABEL, "i"), -1)
     labels = _starts(label_pieces, F.regexp_extract_all(text, F.lit(rx(BIRTH_LABEL, "i")), F.lit(0)))
     near = lambda at: F.exists(labels, lambda x: F.abs(at - x) <= BIRTH_REACH)
     blanked = F.zip_with(dates, _starts(pieces, dates), lambda d, at: F.when(near(at), F.repeat(F.lit(" "), F.length(d))).otherwise(d))
     joined = F.array_join(F.zip_with(pieces, blanked, lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
-    return F.when(text.rlike(rx(BIRTH_LABEL, "i")), joined).otherwise(text)
+    hinted = _hinted(folded(text) if plain is None else plain, BIRTH_LABEL)
+    return F.when(hinted & text.rlike(rx(BIRTH_LABEL, "i")), joined).otherwise(text)
 
 
 def _month(name: Column) -> Column:
@@ -106,19 +130,24 @@ def _month(name: Column) -> Column:
     return F.try_element_at(table, F.lower(name))
 
 
-def date_from_text(text: Column, *, blanked: bool = False) -> Column:
+def date_from_text(text: Column, *, blanked: bool = False, plain: Column | None = None) -> Column:
     """Start of a period, else a named date, else a numeric one, else ISO, else the first year on its own.
 
     Only the first named date counts: if its word is no month, named dates are passed over.  Numeric dates are read
     month first where that is possible, and the first possible one counts.  Periods take the year from their end.
     """
-    return let(text if blanked else without_birth_dates(text), _date_from_blanked)
+    plain = folded(text) if plain is None else plain
+    both = F.struct((text if blanked else without_birth_dates(text, plain)).alias("t"), plain.alias("p"))
+    return let(both, lambda x: _date_from_blanked(x["t"], x["p"]))
 
 
-def _date_from_blanked(t: Column) -> Column:
-    part = lambda p, g, f="": F.regexp_extract(t, rx(p, f), g)
-    period = F.when(_month(part(PERIOD, 1, "i")).isNotNull(), _iso(part(PERIOD, 3, "i"), _month(part(PERIOD, 1, "i")), part(PERIOD, 2, "i")))
-    named = F.when(_month(part(NAMED_DATE, 1, "i")).isNotNull(), _iso(part(NAMED_DATE, 3, "i"), _month(part(NAMED_DATE, 1, "i")), part(NAMED_DATE, 2, "i")))
+def _date_from_blanked(t: Column, plain: Column) -> Column:
+    part = lambda p, g: F.regexp_extract(t, rx(p), g)
+    by_name = lambda p: let(
+        _groups(t, rx(p, "i"), 3), lambda g: F.when(g[0] != "", let(_month(g[0]), lambda m: F.when(m.isNotNull(), _iso(g[2], m, g[1]))))
+    )
+    period = F.when(_hinted(plain, PERIOD), by_name(PERIOD))
+    named = by_name(NAMED_DATE)
     every = lambda g: F.regexp_extract_all(t, F.lit(rx(NUMERIC_DATE)), F.lit(g))
     dates = F.arrays_zip(every(1).alias("a"), every(2).alias("b"), every(3).alias("y"))
     read = F.transform(
@@ -126,8 +155,8 @@ def _date_from_blanked(t: Column) -> Column:
         lambda d: F.when(_fits(d["a"], d["b"]), _iso(d["y"], d["a"], d["b"])).when(_fits(d["b"], d["a"]), _iso(d["y"], d["b"], d["a"])),
     )
     numeric = F.get(F.filter(read, lambda d: d.isNotNull()), 0)
-    iso = F.when(part(ISO_DATE, 1) != "", F.concat_ws("-", part(ISO_DATE, 1), part(ISO_DATE, 2), part(ISO_DATE, 3)))
-    year = F.when(part(BARE_YEAR, 1) != "", F.concat(part(BARE_YEAR, 1), F.lit("-01-01")))
+    iso = F.nullif(part(ISO_DATE, 0), F.lit(""))
+    year = let(part(BARE_YEAR, 1), lambda y: F.when(y != "", F.concat(y, F.lit("-01-01"))))
     return F.coalesce(period, named, numeric, iso, year)
 
 
@@ -138,26 +167,27 @@ def year_only(date: Column, text: Column) -> Column:
 
 
 def valid_amount(raw: Column) -> Column:
-    return F.coalesce(F.replace(raw, F.lit(","), F.lit("")).try_cast("double") >= 1.0, F.lit(False))
+    # an empty string is no number either way, but a cast that fails is dear
+    return F.when(raw != "", F.coalesce(F.replace(raw, F.lit(","), F.lit("")).try_cast("double") >= 1.0, F.lit(False))).otherwise(F.lit(False))
 
 
-def _labelled(text: Column, pattern: str, flags: str, labels: Sequence[str]) -> Column:
-    """By label, the number that the pattern finds after it; a label that does not occur costs no matching."""
+def _labelled(text: Column, pattern: str, flags: str, labels: Sequence[str], plain: Column | None = None) -> Column:
+    """By label that occurs, the number that the pattern finds after it, or an empty string."""
 
     def numbers(plain: Column) -> Column:
         read = lambda label: F.replace(F.regexp_extract(text, rx(quote(label) + pattern, flags), 1), F.lit(","), F.lit(""))
-        return F.array(*[F.when(F.contains(plain, F.lit(label.lower())), read(label)).otherwise(F.lit("")) for label in labels])
+        return F.array_compact(F.array(*[F.when(F.contains(plain, F.lit(label.lower())), read(label)) for label in labels]))
 
-    return let(folded(text), numbers)
+    return let(folded(text) if plain is None else plain, numbers)
 
 
-def amount_strict(text: Column, labels: Sequence[str] = AMOUNT_LABELS) -> Column:
-    """The number right after the first occurrence of each label."""
-    return _labelled(text, r"[:\s]*" + SIGN + NUMBER, "i", labels)
+def amount_strict(text: Column, labels: Sequence[str] = AMOUNT_LABELS, plain: Column | None = None) -> Column:
+    """The numbers right after the first occurrences of labels, in the order of the labels."""
+    return _labelled(text, r"[:\s]*" + SIGN + NUMBER, "i", labels, plain)
 
 
 def amount_loose(text: Column, labels: Sequence[str] = AMOUNT_LABELS) -> Column:
-    """The number after ``=`` or ``:`` within 150 characters of each label, rules and spaces collapsed."""
+    """The numbers after ``=`` or ``:`` within 150 characters of labels, rules and spaces collapsed."""
     short = F.regexp_replace(text, r"([-=_.])\1{2,}", "$1")
     short = F.regexp_replace(short, rx(r"\s+"), " ")
     return let(short, lambda t: _labelled(t, r".{0,150}?[=:]\s*" + SIGN + NUMBER, "is", labels))
@@ -168,54 +198,51 @@ def first_valid(candidates: Column) -> Column:
 
 
 def _any_zero(candidates: Column) -> Column:
-    return F.exists(candidates, lambda c: F.coalesce(c.try_cast("double") == 0, F.lit(False)))
+    return F.exists(candidates, lambda c: F.when(c != "", F.coalesce(c.try_cast("double") == 0, F.lit(False))).otherwise(F.lit(False)))
 
 
-def amount(text: Column, labels: Sequence[str] = AMOUNT_LABELS) -> Column:
+def amount(text: Column, labels: Sequence[str] = AMOUNT_LABELS, plain: Column | None = None) -> Column:
     """Struct of amount and amount_zero: labelled, else loosely labelled; a labelled zero stops the search, else the
     first number with a sign and cents, if it is at least 1."""
-    bare = F.replace(F.regexp_extract(text, rx(BARE_AMOUNT), 1), F.lit(","), F.lit(""))
     one = lambda value, zero: F.struct(value.alias("amount"), zero.alias("amount_zero"))
+    signed = F.contains(text, F.lit("$")) | F.contains(text, F.lit("S/"))
+    bare = F.when(signed, F.replace(F.regexp_extract(text, rx(BARE_AMOUNT), 1), F.lit(","), F.lit("")))
+
+    def unlabelled(zero: Column) -> Column:
+        found = let(bare, lambda b: F.when(valid_amount(b), b))
+        return F.when(zero, one(F.lit(None).cast("string"), F.lit(True))).otherwise(one(found, F.lit(False)))
 
     def loosely(strict: Column) -> Column:
-        return let(amount_loose(text, labels), lambda loose: labelled(strict, loose))
-
-    def labelled(strict: Column, loose: Column) -> Column:
-        zero = _any_zero(strict) | _any_zero(loose)
-        return (
-            F.when(first_valid(loose).isNotNull(), one(first_valid(loose), F.lit(False)))
-            .when(zero, one(F.lit(None).cast("string"), F.lit(True)))
-            .otherwise(one(F.when(valid_amount(bare), bare), F.lit(False)))
-        )
-
-    return let(
-        amount_strict(text, labels),
-        lambda strict: F.when(first_valid(strict).isNotNull(), one(first_valid(strict), F.lit(False))).otherwise(loosely(strict)),
-    )
+        return let(amount_loose(text, labels), lambda loose: labelled(loose, lambda: unlabelled(_any_zero(strict) | _any_zero(loose))))
+
+    def labelled(numbers: Column, otherwise: Callable[[], Column]) -> Column:
+        return let(first_valid(numbers), lambda v: F.when(v.isNotNull(), one(v, F.lit(False))).otherwise(otherwise()))
 
+    return let(amount_strict(text, labels, plain), lambda strict: labelled(strict, lambda: loosely(strict)))
 
-def account(text: Column) -> Column:
+
+def account(text: Column, plain: Column | None = None) -> Column:
     """Struct of value, masked and digits: a full number, an ending, a masked number, or four digits by a label."""
-    part = lambda p, g, f: F.regexp_extract(text, rx(p, f), g)
-    parts = ("full", "ending", "masked", "short")
-    read = [part(p, g, f) for p, g, f in ((ACCOUNT_FULL, 1, "i"), (ACCOUNT_ENDING, 2, "i"), (ACCOUNT_MASKED, 1, ""), (ACCOUNT_SHORT, 1, "i"))]
-    shown = F.coalesce(_int(part(ACCOUNT_ENDING, 1, "i")), F.lit(4))
-    return let(F.struct(*[c.alias(n) for n, c in zip(parts, read, strict=True)]), lambda p: _account(*[p[n] for n in parts], shown))
-
-
-def _account(full: Column, ending: Column, masked: Column, short: Column, shown: Column) -> Column:
-    one = lambda v, m, d: F.struct(v.alias("value"), F.lit(m).alias("masked"), d.cast("int").alias("digits"))
-    return (
-        F.when(full != "", one(full, False, F.length(full)))
-        .when(ending != "", one(ending, True, shown))
-        .when(masked != "", one(masked, True, F.length(masked)))
-        .when(short != "", one(short, True, F.lit(4)))
-        .otherwise(one(F.lit(None).cast("string"), False, F.lit(0)))
-    )
+    plain = folded(text) if plain is None else plain
+
+    def read(x: Column) -> Column:
+        part = lambda p, g, f: F.regexp_extract(text, rx(p, f), g)
+        hinted = lambda p, g: F.when(_hinted(x, p), part(p, g, "i")).otherwise(F.lit(""))
+        none = F.lit(None).cast("string")
+        one = lambda v, m, d: F.struct(v.alias("value"), F.lit(m).alias("masked"), d.cast("int").alias("digits"))
+        short = let(hinted(ACCOUNT_SHORT, 1), lambda v: F.when(v != "", one(v, True, F.lit(4))).otherwise(one(none, False, F.lit(0))))
+        masked = let(part(ACCOUNT_MASKED, 1, ""), lambda v: F.when(v != "", one(v, True, F.length(v))).otherwise(short))
+        shown = F.coalesce(_int(part(ACCOUNT_ENDING, 1, "i")), F.lit(4))
+        ending = let(hinted(ACCOUNT_ENDING, 2), lambda v: F.when(v != "", one(v, True, shown)).otherwise(masked))
+        return let(hinted(ACCOUNT_FULL, 1), lambda v: F.when(v != "", one(v, False, F.length(v))).otherwise(ending))
+
+    return let(plain, read)
 
 
 def owner(text: Column) -> Column:
-    return F.coalesce(*[found(text, rx(p)) for p in OWNER])
+    greeted = F.contains(text, F.lit("Dear")) | F.contains(text, F.lit("Greetings"))
+    held = F.contains(text, F.lit("older")) | F.contains(text, F.lit("Owner"))
+    return F.coalesce(F.when(greeted, found(text, rx(OWNER[0]))), F.when(held, found(text, rx(OWNER[1]))))
 
 
 def normalized(text: Column) -> Column:
@@ -252,12 +279,14 @@ def _first_issuer(places: Column, issuers: Mapping[str, str]) -> Column:
 
 def metadata(text: Column, name: Column, config: RoutingConfig = DEFAULT) -> Column:
     """All extracted fields as one struct."""
-    return let(F.struct(F.coalesce(text, F.lit("")).alias("t"), name.alias("n")), lambda x: _metadata(x["t"], x["n"], config))
+    known = lambda t: F.struct(t.alias("t"), name.alias("n"), folded(t).alias("p"))
+    return let(let(F.coalesce(text, F.lit("")), known), lambda x: _metadata(x["t"], x["n"], x["p"], config))
 
 
-def _metadata(t: Column, name: Column, config: RoutingConfig) -> Column:
-    dated = let(F.coalesce(date_from_filename(name), date_from_text(t)), lambda d: F.struct(d.alias("date"), year_only(d, t).alias("year_only")))
-    parts = F.struct(dated.alias("d"), amount(t, config.amount_labels).alias("m"), account(t).alias("a"))
+def _metadata(t: Column, name: Column, plain: Column, config: RoutingConfig) -> Column:
+    found = F.coalesce(date_from_filename(name), date_from_text(t, plain=plain))
+    dated = let(found, lambda d: F.struct(d.alias("date"), year_only(d, t).alias("year_only")))
+    parts = F.struct(dated.alias("d"), amount(t, config.amount_labels, plain).alias("m"), account(t, plain).alias("a"))
     return let(parts, lambda p: _fields(p["d"], p["m"], p["a"], t, name, config))
 
 
@@ -274,5 +303,3 @@ def _fields(dated: Column, money: Column, number: Column, t: Column, name: Colum
         owner(t).alias("owner"),
         issuer(t, name, config.known_issuers).alias("issuer"),
     )
-
-

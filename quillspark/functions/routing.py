@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.config import BANK, CREDIT_CARDS, DEFAULT, TAXES, UNCATEGORIZED, RoutingConfig
-from quillspark.functions.text import base_name, blank, given, stem, suffix
+from quillspark.functions.text import base_name, blank, given, let, stem, suffix
 
 #: Folders that are no issuers, and top folders that a tree scan passes over.
 NON_ISSUERS = ("_ Closed Accounts _", "Closed Accounts", "Forms")
@@ -19,9 +19,9 @@ TREE_EXCLUDES = (
 YEAR = r"^(19|20)\d{2}$"
 
 
-def category_scores(text: Column, categories: Mapping[str, Sequence[str]] = DEFAULT.categories) -> Column:
+def category_scores(text: Column, categories: Mapping[str, Sequence[str]] = DEFAULT.categories, *, lowered: bool = False) -> Column:
     """Array of (score, order, category): how many keywords of each category occur in the text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    t = text if lowered else F.lower(F.coalesce(text, F.lit("")))
     rows = []
     for order, (name, words) in enumerate(categories.items()):
         score = F.lit(0)
@@ -33,8 +33,9 @@ def category_scores(text: Column, categories: Mapping[str, Sequence[str]] = DEFA
 
 def classify(text: Column, config: RoutingConfig = DEFAULT) -> Column:
     """The category with most keywords, if they are enough; the first of equals."""
-    best = F.array_max(category_scores(text, config.categories))
-    return F.when(best["score"] >= config.min_classification_score, best["category"]).otherwise(F.lit(UNCATEGORIZED))
+    scores = lambda t: F.array_max(category_scores(t, config.categories, lowered=True))
+    fits = lambda best: F.when(best["score"] >= config.min_classification_score, best["category"]).otherwise(F.lit(UNCATEGORIZED))
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), scores), fits)
 
 
 def decide(keyword: Column, verdict: Column, confidence: Column, issuer: Column, threshold: float | Column) -> Column:
