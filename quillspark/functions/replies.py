@@ -128,18 +128,16 @@ def note_for(index: Column, file_notes: Column, note: Column) -> Column:
 
 
 def intent_summary(parsed: Column, n_files: Column) -> Column:
-    listed = F.array_join(F.transform(F.array_sort(parsed["indices"]), lambda x: x.cast("string")), ",")
-    verb = (
-        F.when(parsed["action"] == "move_all", F.concat(F.lit("move ALL "), n_files.cast("string"), F.lit(" files")))
-        .when(parsed["action"] == "move_some", F.concat(F.lit("move only #"), listed))
-        .when(parsed["action"] == "skip_some", F.concat(F.lit("skip #"), listed, F.lit(" (move the rest)")))
-        .when(parsed["action"] == "park_some", F.concat(F.lit("park #"), listed, F.lit(" (keep in place)")))
-        .otherwise(F.lit("abort without moving anything"))
-    )
-    note = F.when(blank(parsed["note"]), F.lit("")).otherwise(F.concat(F.lit(' — "'), parsed["note"], F.lit('"')))
-    rules = F.transform(parsed["rules"], lambda r: F.concat(F.lit("#"), r["file_index"].cast("string"), F.lit(" "), r["kind"], F.lit("='"), r["value"], F.lit("'")))
-    shown = F.when(F.size(rules) > 0, F.concat(F.lit("  [rules: "), F.array_join(rules, ", "), F.lit("]"))).otherwise(F.lit(""))
-    return F.concat(verb, note, shown)
+    """What a reply is taken to mean, in one line."""
+    listed = F.array_join(F.transform(F.array_sort(parsed["indices"]), lambda x: x.cast("string")), ", ")
+    told = {"move_some": "Only these are moved: ", "skip_some": "All are moved but these: ", "park_some": "These stay where they are, the others are moved: "}
+    says = F.when(parsed["action"] == "move_all", F.concat(F.lit("All files are moved: "), n_files.cast("string")))
+    for action, text in told.items():
+        says = says.when(parsed["action"] == action, F.concat(F.lit(text), listed))
+    says = says.otherwise(F.lit("Nothing is moved"))
+    rule = lambda r: F.concat(r["file_index"].cast("string"), F.lit(": "), r["kind"], F.lit(" is "), r["value"])
+    rules = given(F.array_join(F.transform(parsed["rules"], rule), ", "))
+    return F.concat_ws(". ", says, F.concat(F.lit("Note: "), given(parsed["note"])), F.concat(F.lit("New rules: "), rules))
 
 
 def numbers_in(text: Column) -> Column:
@@ -174,3 +172,16 @@ def literal_reply(reply: Column, valid: Column) -> Column:
 def rule_keyword(name_stem: Column) -> Column:
     """The keyword that a category rule for this file adds."""
     return F.lower(F.trim(F.translate(name_stem, "-_", "  ")))
+
+
+def rule_key(kind: Column, name_stem: Column) -> Column:
+    """What a rule is kept under: the file's stem for an issuer, a keyword made of it for a category."""
+    return F.when(kind == "issuer", F.lower(name_stem)).when(kind == "category", F.lower(F.translate(name_stem, "-_", "  ")))
+
+
+def typed_rule(reply: Column) -> Column:
+    """A rule that was typed, ``issuer=...`` or ``category=...``: struct of kind and value, null for any other text."""
+    text = F.trim(F.coalesce(reply, F.lit("")))
+    kind = F.lower(F.substring_index(text, "=", 1))
+    value = F.trim(F.substring(text, F.length(kind) + 2, F.length(text)))
+    return F.when(F.contains(text, F.lit("=")) & kind.isin("issuer", "category"), F.struct(kind.alias("kind"), value.alias("value")))

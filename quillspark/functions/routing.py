@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.config import BANK, CREDIT_CARDS, DEFAULT, TAXES, UNCATEGORIZED, RoutingConfig
+from quillspark.config import BANK, CREDIT_CARDS, DEFAULT, MORTGAGE, TAXES, UNCATEGORIZED, RoutingConfig
 from quillspark.functions.text import base_name, blank, given, let, stem, suffix
 
 #: Folders that are no issuers, and top folders that a tree scan passes over.
@@ -175,8 +175,32 @@ def backend_badge(backend: Column, keyword: Column, verdict: Column, confidence:
     )
 
 
+#: What a document of a category is called, before and after its date, and whether its amount is told, and how.
+SUMMARIES = {
+    "Bills": ("{issuer} service bill — {date}", None),
+    CREDIT_CARDS: ("{issuer} credit card statement — {date}", ", balance "),
+    BANK: ("{issuer} bank statement — {date}", None),
+    MORTGAGE: ("{issuer} mortgage/HELOC statement — {date}", None),
+    "HSA & FSA Transactions": ("HSA/FSA transactions — {date}", None),
+    "Health Statements & Results": ("{issuer} explanation of benefits — service {date}", ", billed "),
+    "Insurance": ("{issuer} insurance policy/document — {date}", None),
+    TAXES: ("Tax document — year {year}", None),
+    "Paystubs": ("{issuer} paycheck — period {date}", ", net "),
+    "Receipts": ("{issuer} purchase receipt — {date}", ", "),
+    "Real Estate & HOA": ("{issuer} HOA document — {date}", None),
+    "Notices": ("Notice/letter — {date}", None),
+}
+OTHER_SUMMARY = "{category} document — {date}"
+
+
 def content_summary(category: Column, meta: Column) -> Column:
-    """One line about a document, by category."""
-    money = F.when(meta["amount"].isNotNull(), F.concat(meta["currency"], meta["amount"]))
-    parts = F.concat_ws(" — ", given(meta["issuer"]), given(category), money)
-    return F.when(category == TAXES, F.concat_ws(" — ", F.left(meta["date"], F.lit(4)), F.lit("tax document"))).otherwise(parts)
+    """One line about a document, by the template of its category; spaces and dashes at the ends go."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    cents = meta["amount"].try_cast("decimal(38,2)")
+    money = F.when(~blank(meta["amount"]) & cents.isNotNull(), F.concat(F.coalesce(meta["currency"], F.lit("$")), cents.cast("string")))
+    out = _lookup(category, {k: t for k, (t, _) in SUMMARIES.items()}, F.lit(OTHER_SUMMARY))
+    date = F.left(text(meta["date"]), F.lit(10))
+    for name, value in (("category", text(category)), ("issuer", text(meta["issuer"])), ("date", date), ("year", F.left(date, F.lit(4)))):
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    before = _lookup(category, {k: m for k, (_, m) in SUMMARIES.items() if m}, F.lit(None).cast("string"))
+    return F.btrim(F.concat(out, F.coalesce(F.concat(before, money), F.lit(""))), F.lit(" —"))

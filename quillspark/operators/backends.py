@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import re
 import time
 from typing import Protocol
 
@@ -31,6 +33,18 @@ class NullOpinion:
         raise RuntimeError("no model")
 
 
+class EchoOpinion:
+    """Answers as the nearest example in the prompt was decided; for tests and dry runs."""
+
+    label = "echo"
+
+    def chat(self, system: str, user: str) -> str:
+        found = re.search(r"→ category='([^'\n]*)', issuer='([^'\n]*)'", user)
+        if not found:
+            raise RuntimeError("no example")
+        return json.dumps({"category": found[1], "issuer": found[2], "confidence": 0.9, "reasons": ["as before"]})
+
+
 class NullRecognizer:
     def recognize(self, content: bytes) -> bytes | None:
         return None

@@ -59,10 +59,12 @@ def evaluate(samples: DataFrame, threshold: float | None = None, config: Routing
 
 
 def overall(audit: DataFrame) -> DataFrame:
-    """One row of totals and accuracies; the second opinion's accuracy is over the samples it gave a verdict on."""
+    """One row of totals and accuracies; the second opinion's accuracy is over the samples it gave a verdict on, and
+    its mean time, where ``audit`` has llm_duration_ms, is that of all calls over these samples."""
     done = F.col("skipped").isNull()
     share = lambda a, b: F.coalesce(F.try_divide(F.count_if(a).cast("double"), F.count_if(b).cast("double")), F.lit(0.0))
     given = done & F.col("llm_correct").isNotNull()
+    spent = F.sum(F.when(done, F.col("llm_duration_ms"))) if "llm_duration_ms" in audit.columns else F.lit(0)
     return audit.agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(done).alias("n_evaluated"),
@@ -74,6 +76,7 @@ def overall(audit: DataFrame) -> DataFrame:
         share(F.col("keyword_correct"), done).alias("keyword_accuracy"),
         share(F.col("llm_correct"), given).alias("llm_accuracy"),
         share(F.col("hybrid_correct"), done).alias("hybrid_accuracy"),
+        F.coalesce(F.try_divide(spent.cast("double"), F.count_if(given).cast("double")), F.lit(0.0)).alias("llm_mean_ms"),
     )
 
 

@@ -91,18 +91,26 @@ def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def few_shots(docs: DataFrame, decisions: DataFrame, embed, line: Column, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, shots): the lines of the ``k`` decisions with a smaller id that are nearest to a document, nearest first.
-
-    Documents are embedded by their first 2500 characters, decisions as ``index`` does; blank texts have no vector, and
-    documents without a vector or an earlier decision have no row.
+def few_shots(
+    docs: DataFrame, decisions: DataFrame, embed, line: Column, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    decision_id: str | None = None, earlier: bool = True, first_chars: int = 2500,
+) -> DataFrame:
+    """(id, shots): the lines of the ``k`` decisions that are nearest to a document, nearest first; with ``earlier``
+    only of decisions with a smaller id.
+
+    Documents are embedded by their first characters; decisions as ``index`` does, or by the vectors that they have in
+    ``embedding``.  Blank texts have no vector, and documents without a vector or a decision have no row.
     """
+    key = decision_id or id_col
     text = F.coalesce(F.col(text_col), F.lit(""))
     filled = ~blank(F.trim(text))
-    store = decisions.where(filled).select(F.col(id_col).alias("vec_id"), embed(F.left(F.trim(text), F.lit(6000))).alias("embedding"))
-    asked = docs.where(filled).select(F.col(id_col).alias("query_id"), embed(F.left(text, F.lit(2500))).alias("query"))
-    found = search_batch(materialize(store, "store"), materialize(asked, "asked"), k=k, earlier=True)
-    lines = decisions.select(F.col(id_col).alias("vec_id"), line.alias("line"))
+    if "embedding" in decisions.columns:
+        store = decisions.select(F.col(key).alias("vec_id"), "embedding")
+    else:
+        store = decisions.where(filled).select(F.col(key).alias("vec_id"), embed(F.left(F.trim(text), F.lit(6000))).alias("embedding"))
+    asked = docs.where(filled).select(F.col(id_col).alias("query_id"), embed(F.left(text, F.lit(first_chars))).alias("query"))
+    found = search_batch(materialize(store, "store"), materialize(asked, "asked"), k=k, earlier=earlier)
+    lines = decisions.select(F.col(key).alias("vec_id"), line.alias("line"))
     shots = found.join(lines, "vec_id").groupBy(F.col("query_id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("shots"))
     return shots.select(id_col, F.col("shots.line").alias("shots"))
 
@@ -117,13 +125,16 @@ def upsert(store: DataFrame, rows: DataFrame, key: tuple[str, ...] = KEY) -> Dat
 
 
 def index_outcomes(log: DataFrame, store: DataFrame) -> DataFrame:
-    """Every log record with what indexing makes of it: skipped_event, skipped_existing, skipped_empty or embedded."""
+    """Every log record with what indexing makes of it: skipped_event, skipped_existing, skipped_empty, error (where
+    the log has an ``embed_error``) or embedded."""
     known = store.select(*KEY).distinct().withColumn("_known", F.lit(True))
     joined = log.join(known, list(KEY), "left")
+    failed = F.col("embed_error").isNotNull() if "embed_error" in log.columns else F.lit(False)
     outcome = (
         F.when(~F.col("event").eqNullSafe(F.lit("confirmed")), F.lit("skipped_event"))
         .when(F.coalesce("_known", F.lit(False)), F.lit("skipped_existing"))
         .when(blank(F.trim("text_excerpt")), F.lit("skipped_empty"))
+        .when(failed, F.lit("error"))
         .otherwise(F.lit("embedded"))
     )
     return joined.withColumn("outcome", outcome).drop("_known")
@@ -131,7 +142,7 @@ def index_outcomes(log: DataFrame, store: DataFrame) -> DataFrame:
 
 def index_counters(outcomes: DataFrame) -> DataFrame:
     names = ("skipped_event", "skipped_existing", "skipped_empty", "embedded")
-    return outcomes.agg(F.count(F.lit(1)).alias("seen"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names])
+    return outcomes.agg(F.count(F.lit(1)).alias("seen"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names], F.count_if(F.col("outcome") == "error").alias("errors"))
 
 
 def index(log: DataFrame, store: DataFrame, embed, model: str = "null") -> DataFrame:
@@ -155,6 +166,13 @@ def index(log: DataFrame, store: DataFrame, embed, model: str = "null") -> DataF
     return upsert(store, rows)
 
 
+def store_info(store: DataFrame, id_cols: tuple[str, ...] = KEY, vector_col: str = "embedding") -> DataFrame:
+    """One row: examples in all, and the dimension and model of the one with the least key."""
+    model = F.col("embed_model") if "embed_model" in store.columns else F.lit(None).cast("string")
+    key = F.struct(*id_cols)
+    return store.agg(F.count(F.lit(1)).alias("total"), F.min_by(F.size(vector_col), key).alias("dim"), F.min_by(model, key).alias("embed_model"))
+
+
 def stats(store: DataFrame) -> DataFrame:
     """(category, n): examples by category, most first."""
     named = F.coalesce(given(F.col("category")), F.lit("(none)"))

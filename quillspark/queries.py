@@ -13,6 +13,7 @@ from quillspark.functions import replies as L
 from quillspark.functions import routing as R
 from quillspark.functions import text as T
 from quillspark.operators import backends, collisions, evaluation, feedback, folders, history, markers, vectors
+from quillspark.plans import plan as P
 from quillspark.plans.plan import plan
 from quillspark.plans.statements import STATEMENT_SQL, statements
 from quillspark.scratch import materialize
@@ -87,6 +88,7 @@ def _fit(m: str, d: str) -> str:
 
 
 _STEM = r"regexp_replace(filename, '\.[^.]+$', '')"
+#: Dates at the start of a file name, as the extraction reads them.
 _F1 = r"^(\d{4})(\d{2})(\d{2})(?:[_\-]|$)"
 _F2 = r"^(\d{4})[\-._](\d{1,2})[\-._](\d{1,2})(?:\D|$)"
 _F3 = r"^(\d{4})[\-._](\d{1,2})(?:\D|$)"
@@ -480,10 +482,11 @@ def history_latest(spark, sf_dir):
     return found.select("original_filename", "category", "issuer", "destination", "day", "line_no")
 
 
-_NAMES = "SELECT 'f' || CAST(c_custkey % 400 AS STRING) || '.pdf' AS name, c_custkey FROM customer"
+_NAMES = """SELECT 'f' || CAST(c_custkey % 400 AS STRING) || '.pdf' AS name, c_custkey, CASE WHEN c_custkey % 6 = 0 THEN ' ' ELSE 'text' END AS text,
+ c_custkey % 6 = 0 AS ocr_run, c_custkey % 12 = 0 AS ocr_failed, CASE WHEN c_custkey % 50 = 0 THEN 'bad file' END AS error FROM customer"""
 _LOGGED = "SELECT DISTINCT 'f' || CAST(c_custkey * 7 % 400 AS STRING) || '.pdf' AS original_filename FROM customer WHERE c_custkey % 25 = 0"
 _OUTCOMES = f"""{_LATEST}, names AS ({_NAMES}), logged AS ({_LOGGED}),
- outcomes AS (SELECT c_custkey, name, CASE WHEN name IN (SELECT original_filename FROM logged) THEN 'already_logged'
+ outcomes AS (SELECT *, CASE WHEN name IN (SELECT original_filename FROM logged) THEN 'already_logged'
   WHEN name IN (SELECT original_filename FROM latest) THEN 'matched' ELSE 'no_history_match' END AS outcome FROM names)"""
 
 
@@ -500,7 +503,9 @@ def bootstrap_join(spark, sf_dir):
 
 @query(
     f"""WITH {_OUTCOMES} SELECT count(*) AS scanned, count(*) FILTER (outcome = 'matched') AS matched, count(*) FILTER (outcome = 'matched') AS appended,
- count(*) FILTER (outcome = 'already_logged') AS already_logged, count(*) FILTER (outcome = 'no_history_match') AS no_history_match FROM outcomes"""
+ count(*) FILTER (outcome = 'already_logged') AS already_logged, count(*) FILTER (outcome = 'no_history_match') AS no_history_match,
+ count(*) FILTER (outcome = 'matched' AND text = 'text') AS text_extracted, count(*) FILTER (outcome = 'matched' AND ocr_run) AS ocr_run,
+ count(*) FILTER (outcome = 'matched' AND ocr_failed) AS ocr_failed, count(*) FILTER (outcome = 'matched' AND error IS NOT NULL) AS errors FROM outcomes"""
 )
 def bootstrap_counters(spark, sf_dir):
     return feedback.bootstrap_counters(_outcomes(spark, sf_dir))
@@ -530,7 +535,7 @@ def knn_by_category(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_VEC}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM e a, e b WHERE b.vec_id < 20),
+    f"""WITH {_VEC}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM e a, e b WHERE b.vec_id % 50 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
  SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 )
@@ -560,13 +565,14 @@ _INDEXED = "SELECT original_filename, ts FROM log WHERE seq % 5 = 0"
 
 @query(
     f"""WITH {LOG}, k AS (SELECT DISTINCT original_filename, ts FROM ({_INDEXED})),
- o AS (SELECT CASE WHEN event <> 'confirmed' THEN 'skipped_event' WHEN k.ts IS NOT NULL THEN 'skipped_existing' WHEN trim(text_excerpt) = '' THEN 'skipped_empty' ELSE 'embedded' END AS x
+ o AS (SELECT CASE WHEN event <> 'confirmed' THEN 'skipped_event' WHEN k.ts IS NOT NULL THEN 'skipped_existing' WHEN trim(text_excerpt) = '' THEN 'skipped_empty'
+  WHEN seq % 17 = 0 THEN 'error' ELSE 'embedded' END AS x
   FROM log LEFT JOIN k ON k.original_filename = log.original_filename AND k.ts = log.ts)
  SELECT count(*) AS seen, count(*) FILTER (x = 'skipped_event') AS skipped_event, count(*) FILTER (x = 'skipped_existing') AS skipped_existing,
-  count(*) FILTER (x = 'skipped_empty') AS skipped_empty, count(*) FILTER (x = 'embedded') AS embedded FROM o"""
+  count(*) FILTER (x = 'skipped_empty') AS skipped_empty, count(*) FILTER (x = 'embedded') AS embedded, count(*) FILTER (x = 'error') AS errors FROM o"""
 )
 def index_incremental(spark, sf_dir):
-    log = event_log(spark, sf_dir)
+    log = event_log(spark, sf_dir).withColumn("embed_error", F.when(F.col("seq") % 17 == 0, F.lit("down")))
     store = log.where("seq % 5 = 0").select("original_filename", "ts")
     return vectors.index_counters(vectors.index_outcomes(log, store))
 
@@ -581,7 +587,7 @@ def _samples(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("truth_category"), F.when(F.col("doc_id") % 17 != 0, F.col("text")).otherwise(F.lit("")).alias("text"),
-        F.expr(_OPINION).alias("llm_category"), F.lit(None).cast("string").alias("llm_issuer"), F.expr(_TRUST).alias("llm_confidence"),
+        (F.col("doc_id") % 100).alias("llm_duration_ms"), F.expr(_OPINION).alias("llm_category"), F.lit(None).cast("string").alias("llm_issuer"), F.expr(_TRUST).alias("llm_confidence"),
     )
 
 
@@ -609,7 +615,8 @@ def second_opinion_decision(spark, sf_dir):
     f"""WITH {_AUDIT} SELECT count(*) AS n_total, count(*) FILTER (skipped IS NULL) AS n_evaluated, count(*) FILTER (skipped IS NOT NULL) AS n_skipped,
  count(llm_correct) AS llm_attempted, count(*) FILTER (keyword_correct) AS keyword_correct, count(*) FILTER (llm_correct) AS llm_correct, count(*) FILTER (hybrid_correct) AS hybrid_correct,
  count(*) FILTER (keyword_correct) / count(*) FILTER (skipped IS NULL)::DOUBLE AS keyword_accuracy, count(*) FILTER (llm_correct) / count(llm_correct)::DOUBLE AS llm_accuracy,
- count(*) FILTER (hybrid_correct) / count(*) FILTER (skipped IS NULL)::DOUBLE AS hybrid_accuracy FROM audit"""
+ count(*) FILTER (hybrid_correct) / count(*) FILTER (skipped IS NULL)::DOUBLE AS hybrid_accuracy,
+ CAST(sum(CAST(path AS BIGINT) % 100) FILTER (skipped IS NULL) AS DOUBLE) / count(llm_correct)::DOUBLE AS llm_mean_ms FROM audit"""
 )
 def eval_overall(spark, sf_dir):
     return evaluation.overall(_audit(spark, sf_dir))
@@ -693,9 +700,38 @@ def excerpt_trim(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(L.excerpt(F.col("text")), 256).alias("excerpt"))
 
 
-@query()
+def _stub_vector(text: str) -> str:
+    """The stub's vector of a text: bytes of its digest from -1 to 1, as floats of unit length."""
+    raw = f"list_transform(range(16), lambda i: CAST(('0x' || substr(sha256({text}), 2 * i + 1, 2)) AS INTEGER) / 127.5::DOUBLE - 1.0::DOUBLE)"
+    return f"list_transform([{raw}], lambda v: list_transform(v, lambda x: CAST(CAST(x / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE)))[1]"
+
+
+_NL = "chr(10)"
+_EXCERPT = f"""CASE WHEN length({_TRIMMED}) <= 3500 THEN {_TRIMMED}
+  ELSE left({_TRIMMED}, 2500) || {_NL} || '…[' || (length({_TRIMMED}) - 3500) || ' chars omitted]…' || {_NL} || right({_TRIMMED}, 1000) END"""
+_NEAREST = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+ e AS (SELECT doc_id, {_stub_vector("left(trim(text), 6000)")} AS v, {_stub_vector("left(text, 2500)")} AS q FROM d WHERE trim(text) <> ''),
+ s AS (SELECT x.doc_id, y.doc_id AS other, round(list_dot_product(x.q, y.v) / (sqrt(list_dot_product(x.q, x.q)) * sqrt(list_dot_product(y.v, y.v))), 12) AS score
+  FROM e x JOIN e y ON @PAIRS@),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS n FROM s QUALIFY n <= 5)"""
+_LINE = f"""list_transform([replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), {_NL}, ' ')], lambda t: '- Text: ''' ||
+  CASE WHEN length(t) > 400 THEN left(t, 400) || '…' ELSE t END || '''' || {_NL} || '  → category=''' || coalesce(lang, 'None') || ''', issuer=''' || coalesce(nullif(source, ''), '—') || '''')[1]"""
+_QUOTES = '"' * 3
+
+
+@query(
+    f"""WITH {_NEAREST.replace('@PAIRS@', 'y.doc_id < x.doc_id')},
+ l AS (SELECT doc_id, {_LINE} AS line FROM d),
+ shots AS (SELECT r.doc_id, count(*) AS k, string_agg(line, {_NL} ORDER BY n) AS lines FROM r JOIN l ON l.doc_id = r.other GROUP BY r.doc_id),
+ known AS (SELECT list_sort(list(DISTINCT source) FILTER (source IS NOT NULL))[:30] AS names FROM documents),
+ p AS (SELECT d.doc_id, coalesce('Past confirmed decisions on the ' || k || ' most similar documents:' || {_NL} || lines || {_NL} || {_NL}, '') ||
+   CASE WHEN len(names) > 0 THEN 'Known issuer names: ' || array_to_string(names, ', ') || {_NL} || {_NL} ELSE '' END ||
+   'Filename: ' || d.doc_id || '.pdf' || {_NL} || 'Document text:' || {_NL} || '{_QUOTES}' || {_NL} || {_EXCERPT} || {_NL} || '{_QUOTES}' || {_NL} || {_NL} || 'Return the JSON object.' AS prompt
+  FROM d LEFT JOIN shots USING (doc_id), known)
+ SELECT doc_id, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt FROM p"""
+)
 def prompt_build(spark, sf_dir):
-    """Prompts with the nearest earlier decisions as examples, by stub vectors; held against brute force in the tests."""
+    """Prompts with the nearest earlier decisions as examples, by stub vectors."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     line = L.neighbour_line(F.col("text"), F.col("lang"), F.col("source"))
     shots = vectors.few_shots(docs, docs, backends.stub_embedding(), line)
@@ -704,6 +740,122 @@ def prompt_build(spark, sf_dir):
     return docs.join(shots, "doc_id", "left").crossJoin(F.broadcast(issuers)).select("doc_id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt"))
 
 
+@query(
+    f"""WITH {_NEAREST.replace('@PAIRS@', 'true')}, k AS (SELECT doc_id, count(*) AS shots FROM r GROUP BY doc_id),
+ b AS (SELECT d.doc_id, coalesce(shots, 0) AS shots, r.doc_id IS NOT NULL AS has, coalesce(o.lang, 'None') AS lang, coalesce(nullif(trim(o.source), ''), '—') AS source
+  FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id AND r.n = 1 LEFT JOIN d o ON o.doc_id = r.other)
+ SELECT doc_id, CASE WHEN has AND lang IN {_IN(LANGUAGES)} THEN lang END AS llm_category,
+  CASE WHEN has AND lang IN {_IN(LANGUAGES)} AND lower(source) NOT IN {_IN(L.NO_ISSUER)} THEN source END AS llm_issuer,
+  CASE WHEN has AND lang IN {_IN(LANGUAGES)} THEN 0.9::DOUBLE END AS llm_confidence,
+  CASE WHEN NOT has THEN 'no example' WHEN lang NOT IN {_IN(LANGUAGES)} THEN 'category not allowed: ' || lang END AS llm_error,
+  CAST(shots AS INTEGER) AS llm_fewshot_count FROM b"""
+)
+def llm_classify(spark, sf_dir):
+    """Every document judged with its nearest stored decisions in the prompt, by a back end that echoes the first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"))
+    embed = backends.stub_embedding()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    stored = table(spark, sf_dir, "documents").where(F.trim(text) != "")
+    stored = stored.select(
+        F.col("doc_id").alias("vec_id"), embed(F.left(F.trim(text), F.lit(6000))).alias("embedding"), F.col("text").alias("text_excerpt"),
+        F.col("lang").alias("category"), F.col("source").alias("issuer"),
+    )
+    judged = P.second_opinions(docs, stored, embed, backends.EchoOpinion(), config=LANGUAGE_CONFIG)
+    return judged.select("doc_id", "llm_category", "llm_issuer", "llm_confidence", "llm_error", "llm_fewshot_count")
+
+
+# ---------------------------------------------------------------- a batch from files to destinations
+
+_LISTED = f"SELECT parent, name, o_orderkey, parent || '/' || name || '/' || CAST(o_orderkey AS STRING) AS path FROM ({_FILES})"
+_HELD = """SELECT o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'parked' WHEN 1 THEN 'unparked' ELSE 'rule_added' END AS event,
+ CAST(o_orderkey % 997 AS STRING) || '.pdf' AS original_filename, '' AS ts, '' AS note FROM orders"""
+_OFF = f"""held AS ({_HELD}), hl AS (SELECT *, row_number() OVER (PARTITION BY original_filename ORDER BY seq DESC) AS n FROM held WHERE event <> 'rule_added'),
+ off AS (SELECT original_filename FROM hl WHERE n = 1 AND event = 'parked')"""
+
+
+@query(
+    f"""WITH f AS ({_LISTED}), {_OFF},
+ k AS (SELECT path, name, o_orderkey FROM f WHERE NOT (name LIKE '%\\_ocr.pdf' ESCAPE '\\' AND EXISTS (SELECT 1 FROM f g WHERE g.parent = f.parent AND g.name = replace(f.name, '_ocr.pdf', '.pdf')))
+  AND name NOT IN (SELECT original_filename FROM off))
+ SELECT path, name, o_orderkey, row_number() OVER (ORDER BY path) AS "index" FROM k ORDER BY path LIMIT 1000"""
+)
+def process_batch(spark, sf_dir):
+    """What a run takes up: no artefacts, nothing parked, the first 1000 by path, numbered."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    taken = feedback.batch(spark.sql(_LISTED), spark.sql(_HELD), max_files=1000)
+    return taken.select("path", "name", "o_orderkey", "index")
+
+
+@query(
+    f"""WITH {META}, {_OFF},
+ f AS (SELECT *, CAST(o_orderkey AS STRING) || '/' || filename AS path FROM meta WHERE filename NOT IN (SELECT original_filename FROM off)),
+ i AS (SELECT *, row_number() OVER (ORDER BY path) AS "index" FROM f),
+ p AS (SELECT o_orderkey, "index", category, {_ROUTE} AS destination, {_NAME} AS new_name FROM i WHERE o_orderkey % 13 <> 0),
+ c AS (SELECT *, row_number() OVER (PARTITION BY destination, new_name ORDER BY "index") AS n FROM p)
+ SELECT o_orderkey, "index", category, destination,
+  CASE WHEN n = 1 THEN new_name ELSE regexp_replace(new_name, '[.][^./]+$', '') || ' - ' || n || regexp_extract(new_name, '[.][^./]+$') END AS final_name FROM c"""
+)
+def process_plan(spark, sf_dir):
+    """Files to proposals in one call; files without text leave gaps in the numbers."""
+    made = statements(spark, sf_dir)
+    key = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 13 != 0, F.col("text")).otherwise(F.lit(""))
+    files = made.select("o_orderkey", key.alias("parent"), F.col("filename").alias("name"), F.concat_ws("/", key, "filename").alias("path"), text.alias("text"))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    proposals, _ = P.process(files, spark.sql(_HELD))
+    return proposals.select("o_orderkey", "index", "category", "destination", "final_name")
+
+
+_KINDS = "SELECT o_orderkey * 2 AS file_index, CASE o_orderkey % 3 WHEN 0 THEN 'issuer' WHEN 1 THEN 'category' ELSE 'other' END AS kind, o_orderstatus AS value FROM orders"
+
+
+@query(
+    f"""WITH {STMT}, k AS ({_KINDS}), s AS (SELECT o_orderkey, lower({_STEM}) AS stem FROM stmt)
+ SELECT o_orderkey AS "index", kind, CASE kind WHEN 'issuer' THEN stem ELSE replace(replace(stem, '-', ' '), '_', ' ') END AS key, value
+ FROM s JOIN k ON file_index = o_orderkey WHERE kind <> 'other'"""
+)
+def intent_rules(spark, sf_dir):
+    planned = statements(spark, sf_dir).select(F.col("o_orderkey").alias("index"), F.col("filename").alias("name"))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return P.intent_rules(planned, spark.sql(_KINDS))
+
+
+def _summary_sql() -> str:
+    date, money = "coalesce(left(date, 10), '')", "currency || CAST(try_cast(amount AS DECIMAL(38,2)) AS VARCHAR)"
+    cases = []
+    for name, (text, before) in R.SUMMARIES.items():
+        made = f"'{text}'"
+        for k, v in (("issuer", "coalesce(issuer, '')"), ("date", date), ("year", f"left({date}, 4)")):
+            made = f"replace({made}, '{{{k}}}', {v})"
+        cases.append(f"WHEN '{name}' THEN {made}" + (f" || coalesce('{before}' || {money}, '')" if before else ""))
+    return f"trim(CASE category {' '.join(cases)} ELSE category || ' document — ' || {date} END, ' —')"
+
+
+@query(f"WITH {META} SELECT o_orderkey, {_summary_sql()} AS summary FROM meta")
+def content_summaries(spark, sf_dir):
+    p = _planned(spark, sf_dir)
+    return p.select("o_orderkey", R.content_summary(F.col("category"), F.col("metadata")).alias("summary"))
+
+
+_FAR = """SELECT o_orderkey, 'DOB' || repeat('x', CAST(o_orderkey % 260 AS INT)) || ' 01/02/1970, ' || repeat('y', 300) || '3-4-1980 ' || repeat('z', CAST(o_orderkey % 217 AS INT)) || ' born on' AS text FROM orders"""
+
+
+@query(
+    f"""WITH f AS ({_FAR}) SELECT o_orderkey, sha256('DOB' || repeat('x', CAST(o_orderkey % 260 AS INT)) || ' ' || CASE WHEN 4 + o_orderkey % 260 <= 200 THEN repeat(' ', 10) ELSE '01/02/1970' END || ', ' ||
+ repeat('y', 300) || CASE WHEN 10 + o_orderkey % 217 <= 200 THEN repeat(' ', 8) ELSE '3-4-1980' END || ' ' || repeat('z', CAST(o_orderkey % 217 AS INT)) || ' born on') AS blanked FROM f"""
+)
+def dob_distance(spark, sf_dir):
+    """Dates up to 200 characters from a label are blanked, on either side, and those farther are not."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_FAR).select("o_orderkey", F.sha2(X.without_birth_dates(F.col("text")), 256).alias("blanked"))
+
+
+@query("SELECT count(*) AS total, CAST(arg_min(len(embedding), vec_id) AS INTEGER) AS dim, arg_min('m' || label, vec_id) AS embed_model FROM embeddings")
+def store_info(spark, sf_dir):
+    store = table(spark, sf_dir, "embeddings").withColumn("embed_model", F.concat(F.lit("m"), F.col("label").cast("string")))
+    return vectors.store_info(store, ("vec_id",))
+
+
 _ANSWER = """CASE doc_id % 6 WHEN 0 THEN '{"category": " ' || lang || ' ", "issuer": "N/A", "confidence": 0.5, "reasons": ["a ", " "], "more": 1}'
   WHEN 1 THEN '{"category": "' || lang || '", "issuer": " Bank ", "confidence": 1, "reasons": "short"}' WHEN 2 THEN '{"category": "xx", "confidence": 0.25}'
   WHEN 3 THEN '{"category": "' || lang || '", "confidence": 1.5}' WHEN 4 THEN '{"issuer": "x", "confidence": 0.5}' ELSE 'no json' END"""
@@ -770,12 +922,7 @@ def status_counts(spark, sf_dir):
     return markers.status_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@query(
-    """WITH f AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey < 400),
- s AS (SELECT i FROM f WHERE i % 3 = 0), p AS (SELECT i FROM f WHERE i % 5 = 0)
- SELECT i AS "index", i NOT IN (SELECT i FROM s) AND i NOT IN (SELECT i FROM p) AS approved FROM f"""
-)
+@query("""SELECT o_orderkey AS "index", o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS approved FROM orders""")
 def approved_set(spark, sf_dir):
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
-    left = files.exceptAll(files.where("index % 3 = 0").union(files.where("index % 5 = 0")).distinct()).withColumn("approved", F.lit(True))
-    return files.join(left, "index", "left").select("index", F.coalesce("approved", F.lit(False)).alias("approved"))
+    return P.approved(files, files.where("index % 3 = 0"), files.where("index % 5 = 0"))
