@@ -27,14 +27,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []  # paths of this process that are still there, oldest first
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared scratch folder and read it back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``drop_since``: how many scratch tables there are."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 1) -> None:
+    """Delete the scratch tables written since a mark but for the last ``keep``, once nothing reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    end = max(len(_WRITTEN) - keep, mark)
+    for path in _WRITTEN[mark:end]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    del _WRITTEN[mark:end]
+
+
 def ordinals(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df``, written, with a column ``name``: the number of each row from 0 in ``order``.
 
