@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize
+from quillspark.scratch import drop_since, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the least node that can be reached.
 
     Edges to itself and repeated edges do no harm; nulls are left out; a node with very many neighbours is a row on
-    one side of a join only.
+    one side of a join only, between two plain shuffles, where its other side is split.
     """
     now = edges.where("u is not null and v is not null and u <> v")
     now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    mark = written()
     now = materialize(now, "edges")
     state = _state(now)
     while state[0]:
         now = materialize(_small_star(materialize(_large_star(now), "large-star")), "small-star")
         new = _state(now)
+        drop_since(now.sparkSession, mark)  # all but ``now``
         if new == state:
             break
         state = new
@@ -37,13 +40,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    tied = both.join(least, both.u == least.w).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(least, "least")
+    tied = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
