@@ -1,7 +1,9 @@
 """Approximate nearest neighbours: hierarchical k-means tree, searched best bin first.
 
-The tree is learned on the driver from at most ``SAMPLE_ROWS`` vectors, so it has a bounded number of leaves; every
-row is then assigned to a leaf on the executors.  A query walks the tree through a priority queue ordered by the
+The tree is learned on the driver from at most ``SAMPLE_ROWS`` vectors; every row is then assigned to a leaf on the
+executors.  Leaves that got more than ``LEAF_ROWS`` rows are split again, each by a tree grown on an executor from at
+most ``SPLIT_SAMPLE`` of its rows, and so on, until leaves are small or the tree has ``MAX_LEAVES``, which bounds what
+the driver and every task hold of it; beyond some ``LEAF_ROWS * MAX_LEAVES`` rows leaves grow.  A query walks the tree through a priority queue ordered by the
 distance to the centres, and visits leaves in that order.  How many leaves are visited is calibrated: for at most
 ``CALIBRATION_QUERIES`` queries the true neighbours are found among all rows, and the visits are widened until the
 share of true neighbours within reach is at least ``recall``.  Visits go on past that number while the leaves
@@ -22,6 +24,7 @@ are not looked at.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +39,9 @@ from quillspark.llm.common import materialize
 
 SAMPLE_ROWS = 16_384
 LEAF_SAMPLE = 24  # sampled vectors to a leaf
+LEAF_ROWS = 2_048
+SPLIT_SAMPLE = 8_192
+MAX_LEAVES = 65_536
 BRANCHES = 8
 CALIBRATION_QUERIES = 200
 BLOCK_ROWS = 4_096
@@ -66,6 +72,24 @@ class Tree:
             todo += [(child, rows[nearest == i]) for i, child in enumerate(self.children[node])]
         return out
 
+    def graft(self, node: int, part: Tree) -> None:
+        """Put a tree in the place of a leaf, whose number is given up."""
+        shift = len(self.leaf) - 1  # the part's root takes the node's place
+        self.centres[node], self.children[node], self.leaf[node] = part.centres[0], [c + shift for c in part.children[0]], -1
+        self.centres += part.centres[1:]
+        self.children += [[c + shift for c in children] for children in part.children[1:]]
+        self.leaf += [n if n < 0 else n + self.n_leaves for n in part.leaf[1:]]
+        self.n_leaves += part.n_leaves
+
+    def in_order(self) -> list[int]:
+        """Leaves, those of a subtree next to each other."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            todo += reversed(self.children[node])
+            out += [self.leaf[node]] * (self.leaf[node] >= 0)
+        return out
+
     def visits(self, q: np.ndarray) -> Iterator[int]:
         """Leaves in best-bin-first order."""
         heap: list[tuple[float, int]] = [(0.0, 0)]
@@ -167,21 +191,19 @@ def search(
         return _empty(asked)
     tree = grow(unit(np.array(sample.tolist(), np.float64)))
 
-    def assigned(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
-            leaf = tree.assign(unit(_matrix(b.column("v"))))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column("ids"), b.column("v")], names=["leaf", "ids", "v"])
-
     types = dict(entries.dtypes)
-    indexed = materialize(entries.mapInArrow(assigned, f"leaf int, ids {types['ids']}, v {types['v']}"), "indexed")
-    filled = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()  # a row per leaf
-    size = {r.leaf: r.n for r in filled}
-    held = {r.leaf: r.m for r in filled}
+    while True:
+        indexed = _assigned(entries, tree)
+        filled = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()  # a row per leaf
+        size = {r.leaf: r.n for r in filled}
+        held = {r.leaf: r.m for r in filled}
+        if not _deepened(tree, indexed, size):
+            break
 
     test = asked.groupBy("q").agg(F.first("v").alias("v"), F.min("id").alias("own")).orderBy(F.xxhash64("q")).limit(CALIBRATION_QUERIES).toPandas()
     width = _calibrate(indexed, test, tree, size, k, recall)
 
-    group = _packed(size)
+    group = _packed([leaf for leaf in tree.in_order() if leaf in size], size)
 
     def reached(q: np.ndarray) -> dict[int, list[int]]:
         """The leaves to visit, by group."""
@@ -246,10 +268,49 @@ def search(
     return out.where(F.col("rank") <= k)
 
 
-def _packed(size: dict[int, int]) -> dict[int, int]:
-    """Leaves by number, so neighbours in the tree, put into groups of at most ``BLOCK_ROWS`` rows, or of one leaf."""
+def _assigned(entries: DataFrame, tree: Tree) -> DataFrame:
+    """(leaf, ids, v) of every entry."""
+    types = dict(entries.dtypes)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            leaf = tree.assign(unit(_matrix(b.column("v"))))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column("ids"), b.column("v")], names=["leaf", "ids", "v"])
+
+    return materialize(entries.mapInArrow(batches, f"leaf int, ids {types['ids']}, v {types['v']}"), "indexed")
+
+
+def _deepened(tree: Tree, indexed: DataFrame, size: dict[int, int]) -> bool:
+    """Split the leaves that hold too many rows; whether any was split."""
+    large = {leaf: n for leaf, n in size.items() if n > LEAF_ROWS}
+    room, rows = MAX_LEAVES - tree.n_leaves, sum(large.values())
+    wanted = {leaf: min(-(-4 * n // LEAF_ROWS), room * n // rows) for leaf, n in large.items()}
+    take = [(leaf, min(SPLIT_SAMPLE, LEAF_SAMPLE * n)) for leaf, n in wanted.items() if n > 1]
+    if not take:
+        return False
+    asked = indexed.sparkSession.createDataFrame(take, "leaf int, take int")
+    nth = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("v")))
+    sample = indexed.select("leaf", "v").withColumn("nth", nth).where(F.col("nth") <= SPLIT_SAMPLE)
+    sample = sample.join(F.broadcast(asked), "leaf").where(F.col("nth") <= F.col("take")).select("leaf", "v")  # a row per leaf
+
+    def grown(rows: pd.DataFrame) -> pd.DataFrame:
+        part = grow(unit(np.array(rows["v"].tolist(), np.float64)))
+        return pd.DataFrame({"leaf": rows["leaf"].iloc[:1].to_numpy(), "part": [pickle.dumps(part)]})
+
+    nodes = {leaf: node for node, leaf in enumerate(tree.leaf) if leaf >= 0}
+    split = False
+    for r in sample.groupBy("leaf").applyInPandas(grown, "leaf int, part binary").orderBy("leaf").collect():  # MAX_LEAVES in all
+        part = pickle.loads(bytes(r.part))
+        if 1 < part.n_leaves <= MAX_LEAVES - tree.n_leaves:
+            tree.graft(nodes[r.leaf], part)
+            split = True
+    return split
+
+
+def _packed(leaves: list[int], size: dict[int, int]) -> dict[int, int]:
+    """Leaves, neighbours in the tree next to each other, put into groups of at most ``BLOCK_ROWS`` rows, or of one."""
     out, group, rows = {}, 0, 0
-    for leaf in sorted(size):
+    for leaf in leaves:
         if rows and rows + size[leaf] > BLOCK_ROWS:
             group, rows = group + 1, 0
         out[leaf] = group

@@ -85,3 +85,35 @@ def test_huge_tiny_long_and_clashing(spark):
     assert [s for *_, s in got] == [1.0, 1.0, round(0.5**0.5, 12), 0.0]
     rng = np.random.default_rng(4)
     assert recall_of(spark, [(i, rng.normal(size=3000)) for i in range(120)]) == 1.0
+
+
+@pytest.mark.parametrize("most", [1000, 30])
+def test_leaves_that_hold_too_much_are_split_again(spark, monkeypatch, most):
+    rng = np.random.default_rng(6)
+    for name, value in (("SAMPLE_ROWS", 100), ("LEAF_ROWS", 60), ("SPLIT_SAMPLE", 200), ("MAX_LEAVES", most)):
+        monkeypatch.setattr(neighbours, name, value)
+    sizes, packed = {}, neighbours._packed
+
+    def watched(leaves, size):
+        sizes.update(size)
+        assert sorted(leaves) == sorted(size)
+        return packed(leaves, size)
+
+    monkeypatch.setattr(neighbours, "_packed", watched)
+    centres = rng.normal(size=(20, 8))
+    assert recall_of(spark, [(i, centres[i % 20] + 0.3 * rng.normal(size=8)) for i in range(4000)]) >= 0.9
+    assert sum(sizes.values()) == 4000
+    assert max(sizes.values()) <= 60 if most == 1000 else len(sizes) <= 30
+
+
+def test_grafted_trees_assign_and_visit_every_leaf():
+    rng = np.random.default_rng(7)
+    x = neighbours.unit(rng.normal(size=(500, 5)))
+    tree, part = neighbours.grow(x[:80]), neighbours.grow(x[80:300])
+    node = next(i for i, leaf in enumerate(tree.leaf) if leaf >= 0)
+    gone, before = tree.leaf[node], tree.n_leaves
+    tree.graft(node, part)
+    leaves = set(tree.in_order())
+    assert len(leaves) == before - 1 + part.n_leaves and gone not in leaves
+    assert set(tree.assign(x).tolist()) <= leaves and set(tree.visits(x[0])) == leaves
+    assert next(tree.visits(x[0])) in leaves
