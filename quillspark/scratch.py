@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +28,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []  # paths of this process that are still there, oldest first
+_LOCAL = threading.local()  # queries of several threads do not see each other's tables
+
+
+def _written() -> list[str]:
+    """Paths that this thread has written and that are still there, oldest first."""
+    if not hasattr(_LOCAL, "paths"):
+        _LOCAL.paths = []
+    return _LOCAL.paths
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,23 +43,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
     """A mark for ``drop_since``: how many scratch tables there are."""
-    return len(_WRITTEN)
+    return len(_written())
 
 
 def drop_since(spark: SparkSession, mark: int, keep: int = 1) -> None:
     """Delete the scratch tables written since a mark but for the last ``keep``, once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    end = max(len(_WRITTEN) - keep, mark)
-    for path in _WRITTEN[mark:end]:
+    paths = _written()
+    end = max(len(paths) - keep, mark)
+    for path in paths[mark:end]:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    del _WRITTEN[mark:end]
+    del paths[mark:end]
 
 
 def ordinals(df: DataFrame, order: list[Column], name: str) -> DataFrame:

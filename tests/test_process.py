@@ -12,7 +12,7 @@ from quillspark.functions import replies as L
 from quillspark.functions import routing as R
 from quillspark.operators import backends, collisions, feedback, services, vectors
 from quillspark.plans import plan as P
-from quillspark.scratch import ordinals
+from quillspark.scratch import drop_since, materialize, ordinals, written
 
 CONFIG = RoutingConfig(categories={"Bills": ("amount due", "due date"), "Receipts": ("subtotal", "order number")})
 
@@ -151,3 +151,16 @@ def test_ordinals(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     assert sorted((r.k, r.n) for r in ordinals(df, [F.col("k")], "n").collect()) == [(i, i) for i in range(1000)]
     assert ordinals(df.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_superseded_scratch_tables_go(spark):
+    before, mark = materialize(spark.range(3), "kept"), written()
+    tables = [materialize(spark.range(n), "step") for n in range(1, 4)]
+    other = []
+    thread = threading.Thread(target=lambda: other.append(materialize(spark.range(5), "other")))
+    thread.start()
+    thread.join()
+    drop_since(spark, mark)
+    assert written() == mark + 1 and [df.count() for df in (before, tables[2], other[0])] == [3, 3, 5]
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|FAILED_READ"):
+        tables[0].count()
