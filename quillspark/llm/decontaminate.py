@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import ascii_lower, materialize, numbered, text_key
 
 BROADCAST_WINDOWS = 500_000  # of at most ``span`` words each
+BROADCAST_SUSPECTS = 500_000  # of two numbers
 BROADCAST_TEXTS, BROADCAST_CHARS = 100_000, 16_000_000  # texts with hits, and the characters of their items
 #: Words before lower-casing A-Z: the same words, as capitals are no bounds either way.  Java matches a class of
 #: listed ranges several times faster than the equal class of all others.
@@ -108,7 +109,8 @@ def find_hits(
     prints = _prints(read, lengths, span, gram).where(F.size("h") >= shortest)
     prints = prints.select("key_a", "key_b", F.explode(F.array_distinct(F.flatten("prints"))).alias("print"))
     suspects = prints.join(sent(windows.select("print").distinct()), "print", "left_semi").select("key_a", "key_b").distinct()
-    again = read.join(suspects, ["key_a", "key_b"], "left_semi")
+    suspects = materialize(suspects, "suspects")
+    again = read.join(F.broadcast(suspects) if suspects.count() <= BROADCAST_SUSPECTS else suspects, ["key_a", "key_b"], "left_semi")
     again = _prints(again.withColumn("w", _words(F.col("t"))), lengths, span, gram)
     starts = F.flatten(F.array(*[_starts(F.col("prints")[i], n) for i, n in enumerate(lengths)]))
     known = sent(windows.select("print", "length").distinct())

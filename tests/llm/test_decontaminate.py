@@ -50,6 +50,7 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     check(spark, docs, [(1, docs[0]), (2, "TWO")])
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SUSPECTS", 0)
     check(spark, docs, [(1, docs[0]), (2, "TWO")])
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
