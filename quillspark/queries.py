@@ -735,7 +735,8 @@ def prompt_build(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     line = L.neighbour_line(F.col("text"), F.col("lang"), F.col("source"))
     shots = vectors.few_shots(docs, docs, backends.stub_embedding(), line)
-    issuers = docs.select("source").distinct().agg(F.array_sort(F.collect_set("source")).alias("issuers"))
+    names = docs.select("source").where("source is not null").distinct().orderBy("source").limit(30)  # as many as a prompt holds
+    issuers = names.agg(F.collect_set("source").alias("issuers"))
     prompt = L.user_prompt(F.col("text"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("shots"), F.col("issuers"))
     return docs.join(shots, "doc_id", "left").crossJoin(F.broadcast(issuers)).select("doc_id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt"))
 
