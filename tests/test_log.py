@@ -164,7 +164,7 @@ def test_vectors(spark):
     )
     for c in ("final_category", "final_issuer", "final_folder", "final_filename", "backend"):
         events = events.withColumn(c, F.lit("z"))
-    assert tuple(vectors.index_counters(vectors.index_outcomes(events, store)).first()) == (5, 1, 1, 1, 2)
+    assert tuple(vectors.index_counters(vectors.index_outcomes(events, store)).first()) == (5, 1, 1, 1, 2, 0)
     merged = vectors.index(events, store, backends.stub_embedding(4), "stub")
     assert merged.count() == 4 and merged.where("original_filename = 'n1'").first().text_excerpt == "later"
 
