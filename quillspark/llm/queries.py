@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, repeats, tokens, urlfilter
+from quillspark.llm import collocations, decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, repeats, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -253,6 +253,37 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"), top=2000, least=30, longest=4, share=80)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g FROM p, range(1, 5) AS x(k) WHERE len(w) >= k),
+f AS (SELECT lang, g, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, g, k, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT u.lang, u.g, u.k, u.a, u.cut, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * u.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM u JOIN f x ON x.lang = u.lang AND x.g = array_to_string(w[1:cut], ' ')
+    JOIN f y ON y.lang = u.lang AND y.g = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+i AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS g, m, a AS above
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) AS y(m) WHERE m < k)),
+j AS (SELECT lang, g, max(above) AS above FROM i GROUP BY lang, g),
+r AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a, l, r, score
+  FROM b LEFT JOIN j ON j.lang = b.lang AND j.g = b.g WHERE NOT coalesce(100 * above::HUGEINT >= 80 * a::HUGEINT, false))
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
@@ -264,5 +295,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_collocations": op11_collocations,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL}
