@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import collocations, decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, repeats, tokens, urlfilter
+from quillspark.llm import collocations, conversations, decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, repeats, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -284,6 +284,83 @@ SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN n ON n.lang = r.lang
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, repaired = conversations.repair(conversations.damage(rows))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = rows.select("conv_id").distinct().withColumnRenamed("conv_id", "id")
+    done = found.join(conversations.digests(repaired).withColumnRenamed("conv_id", "made"), F.col("conv_id").eqNullSafe(F.col("made")), "left")
+    joined = every.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    return joined.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+_BARE = "rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_CRC_BYTE = "list_reduce([xor(c, b) & 255] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+
+
+def _least_of(*ways: str) -> str:
+    return f"list_min([w FOR w IN [{', '.join(ways)}] IF w.c IS NOT NULL])"
+
+
+def _way(state: str, cost: str, letter: str, made: str = "''", ok: str = "true") -> str:
+    """A way to a state in SQL: cost and letters so far, and the rows made."""
+    row = f"m: p.{state}.m || CASE WHEN p.{state}.m <> '' AND {made} <> '' THEN chr(10) ELSE '' END || {made}"
+    return f"CASE WHEN {ok} AND p.{state}.c IS NOT NULL THEN {{c: p.{state}.c + {cost}, a: p.{state}.a || '{letter}', {row}}} END"
+
+
+def _turn_sql() -> str:
+    """What a turn makes of the cheapest way to each grammar state; adding a turn never pays, as deleting one is cheaper."""
+    stays, goes = "NOT r.gone", "CASE WHEN r.truncated THEN 5 ELSE 0 END"
+    keep = lambda q, x: _way(q, goes, "K", "r.role || ':' || r.text", f"{stays} AND left(r.role, 1) = '{x}'")
+    change = lambda q, x: _way(q, f"1 + {goes}", "R", f"'{x}:' || r.text", stays)
+    cut = lambda q: _way(q, "2", "D")
+    to_u = [f(q, x) for q in ("z", "s", "a") for f, x in ((keep, "u"), (change, "user"))]
+    return (
+        f"{cut('z')} AS z, {_least_of(cut('s'), keep('z', 's'))} AS s, {_least_of(cut('u'), *to_u)} AS u, "
+        f"{_least_of(cut('a'), keep('u', 'a'), change('u', 'assistant'))} AS a"
+    )
+
+
+OP12_SQL = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(4294967295, list_reduce([4294967295] || [CAST(ascii(k[i]) AS BIGINT) FOR i IN range(1, length(k) + 1)],
+    lambda c, b: xor(c >> 8, {_CRC_BYTE}))) % 20 AS h FROM o),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+f AS (
+  SELECT *, {_BARE} = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    right({_BARE}, 1) NOT IN ('.', '!', '?') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+r AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND cut AS truncated FROM f),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS size FROM r GROUP BY conv_id),
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, {{c: 0, a: '', m: ''}} AS z, {{c: NULL::INTEGER, a: '', m: ''}} AS s, {{c: NULL::INTEGER, a: '', m: ''}} AS u,
+    {{c: NULL::INTEGER, a: '', m: ''}} AS a FROM c
+  UNION ALL
+  SELECT p.conv_id, r.i, {_turn_sql()} FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1),
+e AS (SELECT p.conv_id, {_least_of('p.z', 'p.a')} AS w FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.size = p.i)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.a, '') AS audit,
+  sha256(coalesce(w.m, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+  LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
@@ -296,5 +373,6 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL, "op12_conversation_repair": OP12_SQL}
