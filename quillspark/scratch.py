@@ -54,13 +54,17 @@ def written() -> int:
 
 def drop_since(spark: SparkSession, mark: int, keep: int = 1) -> None:
     """Delete the scratch tables written since a mark but for the last ``keep``, once nothing reads them any more."""
+    drop_range(spark, mark, max(len(_written()) - keep, mark))
+
+
+def drop_range(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the scratch tables written from one mark up to another, once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     paths = _written()
-    end = max(len(paths) - keep, mark)
-    for path in paths[mark:end]:
+    for path in paths[first:last]:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    del paths[mark:end]
+    del paths[first:last]
 
 
 def ordinals(df: DataFrame, order: list[Column], name: str) -> DataFrame:
