@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import collocations, conversations, decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, quality, repeats, tokens, urlfilter
+from quillspark.llm import collocations, conversations, decontaminate, linededup, mainhtml, mixing, nearjoin, neighbours, private, quality, repeats, tokens, urlfilter
 from quillspark.llm.common import read_table
 
 MIX_SEED = 7
@@ -361,6 +361,106 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN c ON c.conv_id IS
 """
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private.find_private(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("private.base", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(private.KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in private.KINDS]
+    base, spans = (private.named_spans(F.col(f"private.{x}")) for x in ("base", "spans"))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+#: The contract's base patterns as they stand, and the operator's strings like numbers and addresses.
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_PII_RUN = r"[0-9+][0-9 ().+-]*"
+_PII_ADDRESS = r"[A-Za-z0-9._%+-]+ ?(@|[(\[]at[)\]]) ?[A-Za-z0-9-]+( ?(\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)*"
+
+
+def _pii_passes(kind: str, v: str) -> str:
+    d = f"regexp_replace({v}, '[^0-9]', '', 'g')"
+    doubled = f"CAST({d}[i] AS INTEGER) * 2 - CASE WHEN CAST({d}[i] AS INTEGER) > 4 THEN 9 ELSE 0 END"
+    luhn = f"list_sum([CASE WHEN (length({d}) - i) % 2 = 1 THEN {doubled} ELSE CAST({d}[i] AS INTEGER) END FOR i IN range(1, length({d}) + 1)]) % 10 = 0"
+    return {
+        "email": "true",
+        "ip": f"coalesce(list_bool_and([coalesce(TRY_CAST(q AS HUGEINT) <= 255, false) FOR q IN string_split({v}, '.')]), false)",
+        "card": f"CASE WHEN length({d}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"length({d}) BETWEEN 10 AND 15",
+    }[kind]
+
+
+def _pii_placed(pattern: str, text: str, source: str) -> str:
+    """Matches of a pattern: v, s, and the texts around, from rows (id, ``text``)."""
+    return f"""
+  SELECT id, i, v[i] AS v, g[i] AS before, g[i + 1] AS after, len(v) AS n,
+    CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN v[1:i - 1]]), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM (
+    SELECT id, regexp_extract_all({text}, '{pattern}') AS v, string_split_regex({text}, '{pattern}') AS g FROM {source}))"""
+
+
+def _pii_sql() -> str:
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = lambda x: f"[w FOR w IN regexp_split_to_array({low(x)}, '[ \\x09-\\x0D]+') IF w <> '']"
+    base = " UNION ALL ".join(f"SELECT id, {k} AS kind, s, s + length(v) AS e FROM b{k} WHERE {_pii_passes(kind, 'v')}" for k, kind in enumerate(_PII))
+    seeds = " ".join(f"WHEN {'address AND ' if k == 0 else 'NOT address AND '}regexp_full_match(v, '{p}') AND {_pii_passes(kind, 'v')} THEN {k}" for k, (kind, p) in enumerate(_PII.items()))
+    inside = " OR ".join(f"len([q FOR q IN regexp_extract_all(v, '{_PII[kind]}') IF {_pii_passes(kind, 'q')}]) > 0" for kind in ("ip", "card", "phone"))
+    quad, line, digits = (f"regexp_full_match(v, '{_PII['ip']}')", f"regexp_full_match(v, '{_PII['card']}')", "length(regexp_replace(v, '[^0-9]', '', 'g'))")
+    shapes = f"""[k FOR k IN [CASE WHEN address AND NOT regexp_matches(v, '{_PII['email']}') THEN 0 END, CASE WHEN NOT address AND {quad} THEN 1 END,
+      CASE WHEN NOT address AND {line} AND {digits} BETWEEN 12 AND 19 THEN 2 END, CASE WHEN NOT address AND NOT {quad} AND {digits} BETWEEN 7 AND 15 THEN 3 END]
+      IF k IS NOT NULL]"""
+    rounds = ["f0 AS (SELECT '' AS v, false AS address, 0 AS kind, 0 AS score WHERE false)"]
+    for i in range(1, private.ROUNDS + 1):
+        rounds.append(f"""
+c{i} AS (
+  SELECT pattern, kind, (1000 * seeds + more) // (n + 1) AS score FROM (
+    SELECT pt.pattern, pt.kind, pt.n, pt.seeds, coalesce(sum(f.score), 0) AS more, count(f.v) AS new
+    FROM pt LEFT JOIN (SELECT u.pattern, u.kind, u.v, f.score FROM u JOIN f{i - 1} f USING (v, address, kind)) f ON f.pattern = pt.pattern AND f.kind = pt.kind
+    GROUP BY ALL) WHERE seeds + new >= {private.LEAST} AND (1000 * seeds + more) // (n + 1) >= {private.TRUSTED}),
+f{i} AS (
+  SELECT v, address, kind, score FROM u JOIN c{i} USING (pattern, kind)
+  QUALIFY row_number() OVER (PARTITION BY v, address ORDER BY score DESC, kind) = 1)""")
+    placed = ",".join(f"\nb{k} AS ({_pii_placed(p, 't', 'd')})" for k, p in enumerate(_PII.values()))
+    named = " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(_PII))
+    joined = lambda t: f"string_agg(CASE {t}.kind {named} END || ':' || {t}.s || ':' || {t}.e, ',' ORDER BY {t}.s, {t}.kind, {t}.e)"
+    return f"""
+WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),{placed},
+base AS ({base}),
+r AS ({_pii_placed(_PII_RUN, 't', 'd')}),
+ad AS ({_pii_placed(_PII_ADDRESS, 't', 'd')}),
+sl AS (
+  SELECT id, {low("rtrim(v, ' ().+-')")} AS v, s, s + length(rtrim(v, ' ().+-')) AS e, false AS address, before, after, i, n FROM r
+  WHERE rtrim(v, ' ().+-') <> '' AND NOT regexp_matches(right(before, 1), '[A-Za-z_@\\x{{80}}-\\x{{10FFFF}}]')
+    AND (rtrim(v, ' ().+-') <> v OR NOT regexp_matches(left(after, 1), '[A-Za-z_@\\x{{80}}-\\x{{10FFFF}}]'))
+  UNION ALL SELECT id, {low("v")}, s, s + length(v), true, before, after, i, n FROM ad),
+w AS (
+  SELECT *, {words("CASE WHEN i = 1 THEN '^ ^ ' ELSE '# # ' END || right(before, 64)")} AS le,
+    {words("left(after, 64) || CASE WHEN i = n THEN ' $ $' ELSE ' # #' END")} AS ri FROM sl),
+ed AS (
+  SELECT DISTINCT v, address, unnest(['L ' || le[-2] || ' ' || le[-1], 'M ' || le[-1] || ' ' || ri[1], 'R ' || ri[1] || ' ' || ri[2]]) AS pattern FROM w),
+ev AS (SELECT DISTINCT v, address FROM ed),
+es AS (SELECT v, address, CASE {seeds} END AS seed, {shapes} AS shapes, NOT address AND ({inside}) AS holds FROM ev),
+eg AS (SELECT ed.v, ed.address, pattern, seed, CASE WHEN seed IS NULL AND NOT holds THEN shapes ELSE [] END AS shapes FROM ed JOIN es USING (v, address)),
+pn AS (SELECT pattern, count(*) AS n FROM eg GROUP BY pattern HAVING count(*) >= {private.LEAST}),
+pt AS (
+  SELECT pn.pattern, n, k.kind, (SELECT count(*) FROM eg WHERE eg.pattern = pn.pattern AND eg.seed = k.kind) AS seeds FROM pn, range({len(_PII)}) AS k(kind)),
+u AS (SELECT v, address, pattern, unnest(shapes) AS kind FROM eg WHERE pattern IN (SELECT pattern FROM pn)),
+{",".join(rounds)},
+new AS (SELECT DISTINCT id, kind, s, e FROM sl JOIN f{private.ROUNDS} USING (v, address)),
+every AS (SELECT id, kind, s, e FROM base UNION SELECT id, kind, s, e FROM new),
+x AS (SELECT id, {joined('base')} AS a, {', '.join(f'count(*) FILTER (kind = {k}) AS n_{kind}' for k, kind in enumerate(_PII))} FROM base GROUP BY id),
+y AS (SELECT id, {joined('every')} AS a FROM every GROUP BY id)
+SELECT d.id AS doc_id, {', '.join(f'CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}' for kind in _PII)},
+  sha256(coalesce(x.a, '')) AS base_sha256, coalesce(y.a, '') AS spans
+FROM d LEFT JOIN x ON x.id = d.id LEFT JOIN y ON y.id = d.id
+"""
+
+
+OP13_SQL = _pii_sql()
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
@@ -374,5 +474,6 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_collocations": op11_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_private_data": op13_private_data,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_private_data": OP13_SQL}
