@@ -2,7 +2,7 @@
 
 Spans of fixed patterns (e-mail, IP, card, phone) are the base.  Every number and every address-like string of the corpus is
 an instance; the two words before it, the word before and after it, and the two words after it are its patterns, cut off at
-other identifiers.  Base strings are seeds.  Spark scores the graph of patterns and distinct instances in rounds: a
+other identifiers; one word at least is needed.  Base strings are seeds.  Spark scores the graph of patterns and distinct instances in rounds: a
 pattern's confidence for a kind is the score of its instances over their number plus one, so that whatever else stands
 there counts against it; an instance that is no seed, but has the kind's shape, takes the greatest confidence among the
 patterns that are trusted: those with ``LEAST`` scored instances and ``TRUSTED`` parts in a thousand.  Scores are whole
@@ -48,6 +48,7 @@ ADDRESS = (
     r"(?:\x20?+(?:\.|[(\[]dot[)\]])\x20?+[A-Za-z0-9-]++)*+"
 )
 _SPACE = r"[\x20\x09-\x0D]+"
+_MARKS = r"\A[LMR] [\^#$] [\^#$]\z"  # a pattern without any word
 _IN_WORD = r"[A-Za-z_@\x{80}-\x{10FFFF}]"
 _ADDRESS_SIGNS = ("@", "(at)", "[at]")
 
@@ -140,7 +141,8 @@ def _contexts(m: Column, n: Column) -> Column:
         F.concat_ws(" ", F.lit("M"), F.element_at(le, -1), ri[0]),
         F.concat_ws(" ", F.lit("R"), ri[0], ri[1]),
     )
-    return let(_words_of(left), lambda le: let(_words_of(right), lambda ri: named(le, ri)))
+    worded = lambda found: F.filter(found, lambda p: ~p.rlike(_MARKS))
+    return worded(let(_words_of(left), lambda le: let(_words_of(right), lambda ri: named(le, ri))))
 
 
 def _slots(text: Column) -> Column:

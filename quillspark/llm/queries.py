@@ -439,7 +439,8 @@ w AS (
   SELECT *, {words("CASE WHEN i = 1 THEN '^ ^ ' ELSE '# # ' END || right(before, 64)")} AS le,
     {words("left(after, 64) || CASE WHEN i = n THEN ' $ $' ELSE ' # #' END")} AS ri FROM sl),
 ed AS (
-  SELECT DISTINCT v, address, unnest(['L ' || le[-2] || ' ' || le[-1], 'M ' || le[-1] || ' ' || ri[1], 'R ' || ri[1] || ' ' || ri[2]]) AS pattern FROM w),
+  SELECT * FROM (SELECT DISTINCT v, address, unnest(['L ' || le[-2] || ' ' || le[-1], 'M ' || le[-1] || ' ' || ri[1], 'R ' || ri[1] || ' ' || ri[2]]) AS pattern FROM w)
+  WHERE NOT regexp_full_match(pattern, '[LMR] [#$^] [#$^]')),
 ev AS (SELECT DISTINCT v, address FROM ed),
 es AS (SELECT v, address, CASE {seeds} END AS seed, {shapes} AS shapes, NOT address AND ({inside}) AS holds FROM ev),
 eg AS (SELECT ed.v, ed.address, pattern, seed, CASE WHEN seed IS NULL AND NOT holds THEN shapes ELSE [] END AS shapes FROM ed JOIN es USING (v, address)),
