@@ -21,18 +21,17 @@ their names, take no part; ties in rank are broken by count, then by the bytes o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize
-from quillspark.scratch import drop_since, ordinals, written
+from quillspark.scratch import drop_range, drop_since, ordinals, written
 
 BLOCK = 1_000_000  # words
 BROADCAST_NAMES = 1_000_000  # of two numbers or a word, and a number
@@ -47,7 +46,7 @@ _BYTES = bytes(
 )
 _END, _NONE = 0, -1  # numbers of an end of a piece, and of nothing between two spaces
 
-_BLOCKS = "block long, lang string, own long, codes binary, words array<string>, counts array<long>"
+_BLOCKS = "block long, lang string, own long, width int, codes binary, words array<string>, counts array<long>"
 _NAMED = "block long, lang string, own long, width int, ids binary"
 
 
@@ -79,12 +78,12 @@ class _Buffer:
         own = len(every) if own is None else own
         counts = np.bincount(every[:own], minlength=len(self.codes) - 1)[1:]
         words = [w for w, c in self.codes.items() if c > 0]
-        return {"block": number, "lang": lang, "own": own, "codes": every.tobytes(), "words": [w.decode("utf-8", "replace") for w in words], "counts": counts.tolist()}
+        return {"block": number, "lang": lang, "own": own, "codes": every, "words": [w.decode("utf-8", "replace") for w in words], "counts": counts.tolist()}
 
 
 def _blocks(block: int, ahead: int):
     schema = pa.schema(
-        [("block", pa.int64()), ("lang", pa.string()), ("own", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+        [("block", pa.int64()), ("lang", pa.string()), ("own", pa.int64()), ("width", pa.int32()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,21 +120,27 @@ def _blocks(block: int, ahead: int):
 
 def _used(row: dict) -> dict:
     """A block's row with the words only that stand in it (a long text's blocks share one list of words)."""
-    codes = np.frombuffer(row["codes"], np.int32)
+    codes = row["codes"]
     used = np.unique(codes)
     used = used[used > 0]
     again = np.zeros(len(row["words"]) + 1, np.int32)
     again[used] = np.arange(1, len(used) + 1)
-    return row | {"codes": again[codes].tobytes(), "words": [row["words"][i - 1] for i in used], "counts": [row["counts"][i - 1] for i in used]}
+    width, packed = _packed(again[codes])
+    return row | {"width": width, "codes": packed, "words": [row["words"][i - 1] for i in used], "counts": [row["counts"][i - 1] for i in used]}
+
+
+_TYPES = {2: np.uint16, 4: np.int32, 8: np.int64}
 
 
 def _packed(ids: np.ndarray) -> tuple[int, bytes]:
-    wide = len(ids) > 0 and ids.max() >= 2**31
-    return (8, ids.astype(np.int64).tobytes()) if wide else (4, ids.astype(np.int32).tobytes())
+    """Numbers from 0 in the narrowest type that holds them."""
+    most = ids.max(initial=0)
+    width = 2 if most < 2**16 else 4 if most < 2**31 else 8
+    return width, ids.astype(_TYPES[width]).tobytes()
 
 
 def _unpacked(width: int, ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, np.int64 if width == 8 else np.int32).astype(np.int64)
+    return np.frombuffer(ids, _TYPES[width]).astype(np.int64)
 
 
 def _out(rows: list[tuple[int, str, int, np.ndarray]]) -> pa.RecordBatch:
@@ -160,11 +165,11 @@ def _word_names(table):
         known = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                number, lang, own, codes = (batch.column(k)[i].as_py() for k in range(4))
-                words = batch.column(4)[i].values
+                number, lang, own, width, codes = (batch.column(k)[i].as_py() for k in range(5))
+                words = batch.column(5)[i].values
                 names = np.zeros(len(words) + 1, np.int64)
                 if table is None:
-                    at, ids = batch.column(5)[i], batch.column(6)[i]
+                    at, ids = batch.column(6)[i], batch.column(7)[i]
                     if at.is_valid:
                         names[at.values.to_numpy() + 1] = ids.values.to_numpy()
                 else:
@@ -174,7 +179,7 @@ def _word_names(table):
                     found = pc.index_in(words, value_set=own_names["word"])
                     ok = found.is_valid().to_numpy(zero_copy_only=False)
                     names[1:][ok] = own_names["id"].to_numpy()[found.drop_null().to_numpy()]
-                yield _out([(number, lang, own, names[np.frombuffer(codes, np.int32)])])
+                yield _out([(number, lang, own, names[_unpacked(width, codes)])])
 
     return run
 
@@ -264,28 +269,30 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    start = written()
     blocks = materialize(read.mapInArrow(_blocks(BLOCK, longest - 1), _BLOCKS), "word-blocks")
     counted = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
     counted = materialize(counted.agg(F.sum("w.counts").alias("f")), "word-counts")
-    totals = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
+    totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = ordinals(counted.where(F.col("f") >= least), [F.col("lang"), F.col("word")], "id")
     words = materialize(frequent.withColumn("id", F.col("id") + 1), "words")
     n_words = words.count()
-    mark = written()
     table = _sent(words, n_words, "lang", "word", "id")
     named = blocks
     if table is None:
         own = blocks.select("block", "lang", F.posexplode("words").alias("at", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
         own = own.groupBy("block").agg(F.collect_list("at").cast("array<long>").alias("at"), F.collect_list("id").alias("ids"))  # a block's words
         named = blocks.join(own, "block", "left")
-    named = named.select("block", "lang", "own", "codes", "words", *([] if table else ["at", "ids"]))
+    named = named.select("block", "lang", "own", "width", "codes", "words", *([] if table else ["at", "ids"]))
     named = materialize(named.mapInArrow(_word_names(table), _NAMED), "named-1")
+    drop_range(spark, start, start + 1)  # the blocks of word numbers
+    mark = written() - 1
     one = F.array("f")
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("heads"), one.alias("tails"))
-    n_level, levels = n_words, []
+    n_level, levels, at = n_words, [], mark
     for k in range(2, longest + 1):
         pairs = named.mapInArrow(_count_pairs, "block long, x long, y long, n long")
-        found = pairs.groupBy("x", "y").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        found = materialize(_frequent(pairs, n_level, least), f"frequent-{k}")
         found = ordinals(found, [F.col("x"), F.col("y")], "id").withColumn("id", F.col("id") + 1)
         found = materialize(found, f"pairs-{k}")
         left = _few(level.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("head"), "heads"), n_level)
@@ -307,6 +314,8 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                 own = own.groupBy("block").agg(*[F.collect_list(c).alias(f"own_{c}") for c in ("x", "y", "id")])  # a block's pairs
                 named = named.join(own, "block", "left").select("block", "lang", "own", "width", "ids", "own_x", "own_y", "own_id")
             named = materialize(named.mapInArrow(_pair_names(table), _NAMED), f"named-{k}")
+            drop_range(spark, at, at + 1)  # the names of the level before
+            at = written() - 1
     parts = []
     for at, (k, level) in enumerate(levels):
         scored = level.select("id", "lang", "phrase", F.lit(k).alias("k"), F.col("f").alias("a"), _lowest_cut().alias("c"))
@@ -321,11 +330,20 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = materialize(out, "phrases")
-    drop_since(spark, mark)  # all but these rows
+    totals, out = materialize(totals, "word-totals"), materialize(out, "phrases")
+    drop_since(spark, start, 2)  # all but these rows
     return out, totals
 
 
+def _frequent(pairs: DataFrame, names: int, least: int) -> DataFrame:
+    """(x, y, f) of the pairs that occur often enough, counted by one number where two names fit into one."""
+    if (names + 1) ** 2 >= 2**63:
+        return pairs.groupBy("x", "y").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    key = (F.col("x") * (names + 1) + F.col("y")).alias("key")
+    counted = pairs.groupBy(key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return counted.select(F.expr(f"key div {names + 1}L").alias("x"), (F.col("key") % (names + 1)).alias("y"), "f")
+
+
 def _lowest_cut():
     """The cut with the lowest score, the first of equal ones, in exact arithmetic."""
     score = f"(cast(f as decimal(20,0)) * {SCALE}) div (cast(c.heads as decimal(20,0)) + cast(c.tails as decimal(20,0)))"
@@ -336,6 +354,9 @@ def collocations(docs: DataFrame, *, top: int = 2000, **options) -> DataFrame:
     """Each language's ``top`` phrases that no longer one subsumes, by score, count and phrase: lang, rank, phrase, a, l, r,
     n, score, k and cut."""
     found, totals = phrases(docs, **options)
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = found.where(~F.col("subsumed")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "k", "cut")
+    # numbered over ranges of the order, so that no task holds a language
+    order = [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    numbered = materialize(ordinals(found.where(~F.col("subsumed")), order, "nth"), "numbered")
+    first = numbered.groupBy("lang").agg(F.min("nth").alias("first"))
+    ranked = numbered.join(first.join(totals, "lang"), "lang").withColumn("rank", F.col("nth") - F.col("first") + 1).where(F.col("rank") <= top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "k", "cut")

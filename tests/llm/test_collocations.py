@@ -69,6 +69,7 @@ def test_names_of_any_size():
     import numpy as np
 
     ids = np.array([2**40, 2**41, 0, 2**40, 2**41, 2**41])
+    assert [collocations._packed(np.array(x))[0] for x in ([], [65_535], [65_536], [2**31])] == [2, 2, 4, 8]
     assert (collocations._unpacked(*collocations._packed(ids)) == ids).all()
     x, y, n, places, which = collocations._pairs(ids, 4)
     assert sorted(zip(x, y, n, strict=True)) == [(2**40, 2**41, 2), (2**41, 2**41, 0)] and list(places) == [0, 3, 4]
@@ -76,6 +77,12 @@ def test_names_of_any_size():
     assert list(names.of(x, y)[which]) == [2**42, 2**42, 0]
 
 
+def test_pairs_of_more_names_than_one_number_holds(spark):
+    pairs = spark.createDataFrame([(2**40, 5, 3), (2**40, 5, 4), (7, 2**41, 1)], "x long, y long, n long")
+    assert [tuple(r) for r in collocations._frequent(pairs, 2**42, 7).collect()] == [(2**40, 5, 7)]
+    assert [tuple(r) for r in collocations._frequent(pairs.where("x < 10 and y < 10 or n < 5").selectExpr("x % 1000 + 1 as x", "y % 1000 + 1 as y", "n"), 1000, 7).collect()] == [(777, 6, 7)]
+
+
 def test_empty_and_nothing_frequent(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(none).collect() == []
