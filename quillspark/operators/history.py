@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.scan import running
+
 #: The headings and cells of the format.
 DAY = (r"^##\s+(\d{4}-\d{2}-\d{2})\b", r"^##\s+.*?(\d{4}-\d{2}-\d{2})")
 RUN = r"^###\s+\d{1,2}:\d{2}\s+[—-]\s+\d+\s+file\(s\)\s+(moved|renamed in place)\s*$"
@@ -29,25 +31,30 @@ def parse(lines: DataFrame) -> DataFrame:
     A day heading sets the day, makes the action a move and ends a skipped section.  Another third-level heading
     sets the action; a skipped section's leaves it as it was.  Rows are tables of seven cells and more that start
     with a number and whose destination is no deletion.
+
+    Headings are state changes that leave out what they do not set, so that a range of lines adds up to one change.
+    Ranges are summed up, the sums carried over later ranges, and applied (``scan.running``): a file of any length
+    is spread.
     """
     t = lines.select("file", "line_no", F.rtrim("line").alias("line"))
     day = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in DAY])
     heading, skipped = F.startswith("line", F.lit("###")), F.col("line").rlike(SKIPPED_SECTION)
-    t = t.withColumn("new_day", F.when(~heading, day))
+    t = t.withColumn("new_day", F.when(~heading & F.startswith("line", F.lit("##")), day))
     other = heading & ~skipped & F.col("new_day").isNull()
     run = F.when(F.regexp_extract("line", RUN, 1) == "renamed in place", F.lit("rename")).otherwise(F.lit("move"))
     t = t.withColumn("new_action", F.when(F.col("new_day").isNotNull(), F.lit("move")).when(other, run))
     skip = F.when(F.col("new_day").isNotNull() | other, F.lit(False)).when(heading & skipped, F.lit(True))
     t = t.withColumn("new_skip", skip)
-    so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda c: F.last(c, ignorenulls=True).over(so_far)
-    t = t.select(
+    row = F.startswith("line", F.lit("|")) & ~F.col("line").rlike(RULE)
+    t = t.where(F.col("new_skip").isNotNull() | row)  # a day or another heading always says whether to skip
+    carried = {"last_day": F.col("new_day"), "last_action": F.col("new_action"), "last_skip": F.col("new_skip")}
+    t = running(t, ["file"], ["line_no"], last=carried, name="history").select(
         "file",
         "line_no",
         "line",
-        F.coalesce(carried("new_day"), F.lit("")).alias("day"),
-        F.coalesce(carried("new_action"), F.lit("move")).alias("action_mode"),
-        F.coalesce(carried("new_skip"), F.lit(False)).alias("skip"),
+        F.coalesce("last_day", F.lit("")).alias("day"),
+        F.coalesce("last_action", F.lit("move")).alias("action_mode"),
+        F.coalesce("last_skip", F.lit(False)).alias("skip"),
     )
     t = t.where(~F.col("skip") & F.startswith("line", F.lit("|")) & ~F.col("line").rlike(RULE))
     inner = F.btrim(F.replace("line", F.lit("\\|"), F.lit("\x01")), F.lit("|"))

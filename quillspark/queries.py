@@ -360,6 +360,30 @@ def collision_names(spark, sf_dir):
     return collisions.resolve(batch).select("o_orderkey", "dest_dir", "resolved")
 
 
+_BATCH = """SELECT o_orderkey, CAST(o_custkey % 400 AS STRING) AS dest_dir, CAST(1992 + o_orderkey % 2 AS STRING) || CASE o_orderkey % 7
+  WHEN 0 THEN ' - ' || CAST(2 + o_orderkey % 4 AS STRING) WHEN 1 THEN ' - 2 - ' || CAST(2 + o_orderkey % 2 AS STRING) ELSE '' END || '.pdf' AS filename FROM orders"""
+_THERE = """SELECT CAST(c_custkey % 400 AS STRING) AS dest_dir, CASE c_custkey % 3 WHEN 0 THEN '1992 - ' || CAST(2 + c_custkey % 5 AS STRING) WHEN 1 THEN '1993' ELSE '1992 - 2' END || '.pdf' AS filename
+  FROM customer"""
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT *, regexp_extract(filename, '^(.*)[.]pdf$', 1) AS s, row_number() OVER (PARTITION BY dest_dir ORDER BY o_orderkey) AS n FROM ({_BATCH})),
+ e AS (SELECT dest_dir, list(filename) AS names FROM ({_THERE}) GROUP BY dest_dir),
+ w AS (SELECT d.dest_dir, 0::BIGINT AS n, coalesce(names, []::VARCHAR[]) AS taken, NULL::BIGINT AS o_orderkey, NULL::VARCHAR AS resolved FROM (SELECT DISTINCT dest_dir FROM b) d LEFT JOIN e USING (dest_dir)
+  UNION ALL SELECT dest_dir, n, list_append(taken, r) AS taken, o_orderkey, r AS resolved FROM (
+   SELECT w.dest_dir, b.n, w.taken, b.o_orderkey, CASE WHEN NOT list_contains(w.taken, b.filename) THEN b.filename ELSE
+     list_filter(list_transform(range(2, len(w.taken) + 3), lambda k: b.s || ' - ' || k || '.pdf'), lambda c: NOT list_contains(w.taken, c))[1] END AS r
+   FROM w JOIN b ON b.dest_dir = w.dest_dir AND b.n = w.n + 1))
+ SELECT o_orderkey, dest_dir, resolved FROM w WHERE n > 0"""
+)
+def collision_walk(spark, sf_dir):
+    """Names that are there already, and names asked for that equal generated ones."""
+    for t in ("orders", "customer"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    batch = spark.sql(_BATCH).withColumn("batch_index", F.col("o_orderkey"))
+    return collisions.resolve(batch, spark.sql(_THERE)).select("o_orderkey", "dest_dir", "resolved")
+
+
 # ---------------------------------------------------------------- filters and the log
 
 _FILES = """SELECT CAST(o_custkey % 10 AS STRING) AS parent, CAST(o_orderkey - o_orderkey % 3 AS STRING) || CASE o_orderkey % 3 WHEN 1 THEN '_ocr.pdf' ELSE '.pdf' END AS name,
