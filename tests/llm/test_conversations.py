@@ -106,7 +106,16 @@ def test_equals_brute_force(spark, monkeypatch, costs):
     checked(spark, made_up(costs.rerole), costs)
 
 
-def test_a_long_conversation_in_many_ranges(spark):
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_long_conversation_in_many_ranges(spark, many_ranges):
     rng = random.Random(5)
     rows = [(7, t, rng.choice(["user", "user", "assistant", "tool"]), rng.choice(["a.", "b", f"{t}!", ""])) for t in range(400)]
     rows += [(7, t, "user", "same.") for t in range(30)] * 2 + [(c, 1, "user", "x.") for c in range(20)]
