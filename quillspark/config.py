@@ -97,6 +97,31 @@ class SecondOpinionConfig:
         }
         return cls(**{k: v for k, v in given.items() if v is not None})
 
+    def to_block(self) -> dict[str, Any]:
+        return {
+            "enabled": self.enabled,
+            "confidence_threshold": self.confidence_threshold,
+            "fewshot_k": self.fewshot_k,
+            "local": {"model": self.model, "host": self.host, "timeout_s": self.timeout_s},
+            "embedder": {"model": self.embed_model, "host": self.embed_host},
+            "text_first_chars": self.first_chars,
+            "text_last_chars": self.last_chars,
+        }
+
+
+def _overlaid(tree: Mapping[str, Any], new: Mapping[str, Any]) -> dict[str, Any]:
+    """``tree`` with the values of ``new``, block by block."""
+    out = dict(tree)
+    for k, v in new.items():
+        out[k] = _overlaid(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else v
+    return out
+
+
+def _plain(value: Any) -> Any:
+    if isinstance(value, Mapping):
+        return {k: _plain(v) for k, v in value.items()}
+    return list(value) if isinstance(value, tuple) else value
+
 
 @dataclass(frozen=True)
 class RoutingConfig:
@@ -114,6 +139,7 @@ class RoutingConfig:
     amount_labels: tuple[str, ...] = AMOUNT_LABELS
     second_opinion: SecondOpinionConfig = field(default_factory=SecondOpinionConfig)
     extra: Mapping[str, Any] = field(default_factory=dict)
+    source: Mapping[str, Any] | None = field(default=None, compare=False, repr=False)  # the tree as it was read
 
     @classmethod
     def of(cls, tree: Mapping[str, Any] | None, *, honour_amount_labels: bool = False) -> RoutingConfig:
@@ -122,7 +148,8 @@ class RoutingConfig:
         A missing key takes the operators' own default, which for monthly and account categories is not that of a
         full configuration.  Amount labels of the file are dropped unless asked for.
         """
-        tree = dict(tree or {})
+        source = dict(tree or {})
+        tree = dict(source)
         patterns = tree.pop("extraction_patterns", None) or {}
         labels = patterns.get("amount_labels") if honour_amount_labels else None
         known = {
@@ -138,15 +165,24 @@ class RoutingConfig:
             "amount_labels": tuple(labels) if labels else AMOUNT_LABELS,
             "second_opinion": SecondOpinionConfig.of(tree.pop("llm", None)),
         }
-        return cls(**known, extra=tree)
+        return cls(**known, extra=tree, source=source)
 
     def to_tree(self) -> dict[str, Any]:
-        own = {f.name: getattr(self, f.name) for f in fields(self)}
-        own["extraction_patterns"] = {"amount_labels": list(own.pop("amount_labels"))}
-        own.pop("second_opinion")
-        extra = own.pop("extra")
-        plain = {k: ({a: list(b) if isinstance(b, tuple) else b for a, b in v.items()} if isinstance(v, Mapping) else list(v) if isinstance(v, tuple) else v) for k, v in own.items()}
-        return plain | dict(extra)
+        """The tree that was read, with what has changed since; without one, everything."""
+        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("source", "extra")}
+        if self.source is not None:
+            as_read = [RoutingConfig.of(self.source, honour_amount_labels=honour) for honour in (False, True)]
+            own = {k: v for k, v in own.items() if all(v != getattr(x, k) for x in as_read)}
+        new = {k: _plain(v) for k, v in own.items() if k not in ("amount_labels", "second_opinion")}
+        if "amount_labels" in own:
+            new["extraction_patterns"] = {"amount_labels": list(own["amount_labels"])}
+        if "second_opinion" in own:
+            new["llm"] = own["second_opinion"].to_block()
+        tree = dict(self.source or {})
+        for k in ("extraction_patterns", "llm"):
+            if k in new:
+                new[k] = _overlaid(tree.get(k) or {}, new[k])
+        return tree | new | dict(self.extra)
 
     def issuer_keys(self) -> list[str]:
         """Longest first; of equal length, as configured."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import blank, given
+from quillspark.functions.text import blank, given, literal
 
 #: Words that mean no issuer, and actions of a reply.
 NO_ISSUER = ("", "none", "null", "unknown", "n/a", "—", "-")
@@ -27,12 +27,11 @@ def excerpt(text: Column, head: int = 2500, tail: int = 1000) -> Column:
 
 
 def neighbour_line(text: Column, category: Column, issuer: Column, limit: int = 400) -> Column:
-    """An earlier decision as an example in a prompt."""
+    """An earlier decision as an example in a prompt, as literals, so that no text ends its quotation or adds a line."""
     t = F.replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r")), F.lit("\n"), F.lit(" "))
     cut = F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit("…"))).otherwise(t)
-    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     return F.concat(
-        F.lit("- Text: "), quoted(cut), F.lit("\n  → category="), quoted(F.coalesce(category, F.lit("None"))), F.lit(", issuer="), quoted(F.coalesce(given(issuer), F.lit("—")))
+        F.lit("- Text: "), literal(cut), F.lit("\n  → category="), literal(category), F.lit(", issuer="), literal(F.coalesce(given(issuer), F.lit("—")))
     )
 
 

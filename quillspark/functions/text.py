@@ -33,6 +33,24 @@ def quote(text: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", text)
 
 
+def literal(text: Column) -> Column:
+    """A text as a quoted literal on one line, whatever it holds: single quotes, or double ones where it has single ones
+    only; backslashes, the quote and characters that do not print are escaped; null is ``None``."""
+    code = lambda c: F.ascii(c)  # noqa: E731  the code point of the first character
+    escape = lambda c: F.when(code(c) < 256, F.format_string("\\x%02x", code(c))).otherwise(
+        F.when(code(c) < 65536, F.format_string("\\u%04x", code(c))).otherwise(F.format_string("\\U%08x", code(c)))
+    )
+    hidden = lambda c: c.rlike(r"[\p{C}\p{Z}]") & (c != " ")
+    known = lambda c: F.when(c == "\n", F.lit("\\n")).when(c == "\r", F.lit("\\r")).when(c == "\t", F.lit("\\t"))
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    shown = F.when(
+        plain.rlike(r"[\p{C}\p{Z}&&[^ ]]"), F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(known(c), F.when(hidden(c), escape(c)), c)), "")
+    ).otherwise(plain)
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    quoted = F.when(single & ~double, F.concat(F.lit('"'), shown, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(shown, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.coalesce(quoted, F.lit("None"))
+
+
 def blank(text: Column) -> Column:
     """Whether a text is null or empty: what counts as missing."""
     return F.coalesce(text, F.lit("")) == ""

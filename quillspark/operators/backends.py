@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import json
 import math
@@ -39,10 +40,12 @@ class EchoOpinion:
     label = "echo"
 
     def chat(self, system: str, user: str) -> str:
-        found = re.search(r"→ category='([^'\n]*)', issuer='([^'\n]*)'", user)
+        one = r"""('(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|None)"""
+        found = re.search(rf"^  → category={one}, issuer={one}$", user, re.MULTILINE)
         if not found:
             raise RuntimeError("no example")
-        return json.dumps({"category": found[1], "issuer": found[2], "confidence": 0.9, "reasons": ["as before"]})
+        category, issuer = map(ast.literal_eval, found.groups())
+        return json.dumps({"category": str(category), "issuer": issuer, "confidence": 0.9, "reasons": ["as before"]})
 
 
 class NullRecognizer:

@@ -14,9 +14,12 @@ import urllib.request
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.config import RoutingConfig
+from quillspark.operators import backends, vectors
+
 
 def _post(url: str, body: dict, timeout_s: float) -> dict:
     asked = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
@@ -93,3 +96,27 @@ class CommandRecognizer:
                     return f.read()
             except (OSError, subprocess.SubprocessError):
                 return None
+
+
+def doctor(spark: SparkSession, config: RoutingConfig, opinion: backends.SecondOpinion, embed, store: DataFrame | None = None) -> DataFrame:
+    """(component, status, detail) of what a second opinion needs: its switch, the model, the embedder and the store.
+
+    Model and embedder are asked once each, by a task, as they are in a batch."""
+    options = config.second_opinion
+    one = spark.range(1).select(F.lit("doctor").alias("user"))
+    label = getattr(opinion, "label", type(opinion).__name__)
+    switch = spark.range(1).select(F.lit("config").alias("component"), F.lit("on" if options.enabled else "off").alias("status"), F.lit("llm.enabled").alias("detail"))
+    failure = F.coalesce("error", F.when(F.col("answer").isNull(), F.lit("no answer")))
+    asked = backends.ask(one, opinion, "Answer with a JSON object.")
+    chat = asked.select(F.lit("model"), F.when(failure.isNull(), F.lit("ok")).otherwise(F.lit("down")), F.concat_ws(" - ", F.lit(label), failure))
+    vector = one.select(embed(F.col("user")).alias("v"))
+    has = F.coalesce(F.size("v") > 0, F.lit(False))
+    size = F.when(has, F.concat(F.lit("dim="), F.size("v").cast("string")))
+    embedder = vector.select(F.lit("embedder"), F.when(has, F.lit("ok")).otherwise(F.lit("down")), F.concat_ws(" - ", F.lit(options.embed_model), size))
+    if store is None:
+        kept = spark.range(1).select(F.lit("store"), F.lit("missing"), F.lit(""))
+    else:
+        info = vectors.store_info(store)
+        detail = F.concat(F.col("total").cast("string"), F.lit(" records, dim="), F.coalesce(F.col("dim").cast("string"), F.lit("none")))
+        kept = info.select(F.lit("store"), F.when(F.col("total") > 0, F.lit("ok")).otherwise(F.lit("empty")), detail)
+    return switch.union(chat).union(embedder).union(kept)

@@ -145,25 +145,40 @@ def index_counters(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count(F.lit(1)).alias("seen"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names], F.count_if(F.col("outcome") == "error").alias("errors"))
 
 
-def index(log: DataFrame, store: DataFrame, embed, model: str = "null") -> DataFrame:
-    """``store`` with the eligible records of a log embedded and merged.  ``embed`` is a column function, or an Arrow
-    UDF, from text to an array of floats; it sees the first 6000 characters, and only rows that need it."""
-    fresh = index_outcomes(log, store).where("outcome = 'embedded'")
-    vector = embed(F.left(F.trim("text_excerpt"), F.lit(6000)))
+def indexed(log: DataFrame, store: DataFrame, embed, model: str = "null") -> tuple[DataFrame, DataFrame]:
+    """``store`` with the eligible records of a log embedded and merged, and the log's (original_filename, ts, seq,
+    outcome).  ``embed`` is a column function, or an Arrow UDF, from text to an array of floats; it sees the first 6000
+    characters, and only rows that need it.
+
+    A text whose embedding fails (null, empty, or with a null in it) is an error: it is not stored, so that the next run
+    tries it again.  What a record's final decision leaves open is taken from what was proposed.
+    """
+    judged = index_outcomes(log, store)
+    fresh = judged.where("outcome = 'embedded'")
+    decided = lambda c: F.coalesce(given(F.col(f"final_{c}")), given(F.col(f"proposed_{c}")) if f"proposed_{c}" in log.columns else F.lit(None))
     rows = fresh.select(
         *KEY,
         "seq",
-        F.col("final_category").alias("category"),
-        F.col("final_issuer").alias("issuer"),
-        F.col("final_folder").alias("folder"),
-        "final_filename",
+        decided("category").alias("category"),
+        decided("issuer").alias("issuer"),
+        decided("folder").alias("folder"),
+        decided("filename").alias("final_filename"),
         "backend",
         text_hash(F.col("text_excerpt")).alias("text_hash"),
         "text_excerpt",
-        vector.alias("embedding"),
+        embed(F.left(F.trim("text_excerpt"), F.lit(6000))).alias("embedding"),
     )
-    rows = rows.withColumn("dim", F.size("embedding")).withColumn("embed_model", F.lit(model))
-    return upsert(store, rows)
+    rows = materialize(rows, "embedded")  # outside services are asked once
+    failed = F.col("embedding").isNull() | (F.size("embedding") <= 0) | F.exists("embedding", lambda x: x.isNull())
+    rows = rows.withColumn("_failed", F.coalesce(failed, F.lit(True)))
+    good = rows.where("not _failed").drop("_failed").withColumn("dim", F.size("embedding")).withColumn("embed_model", F.lit(model))
+    tried = rows.select(*KEY, "seq", F.when(F.col("_failed"), F.lit("error")).otherwise(F.lit("embedded")).alias("outcome"))
+    return upsert(store, good), judged.where("outcome <> 'embedded'").select(*KEY, "seq", "outcome").unionByName(tried)
+
+
+def index(log: DataFrame, store: DataFrame, embed, model: str = "null") -> DataFrame:
+    """The store that ``indexed`` gives."""
+    return indexed(log, store, embed, model)[0]
 
 
 def store_info(store: DataFrame, id_cols: tuple[str, ...] = KEY, vector_col: str = "embedding") -> DataFrame:

@@ -52,7 +52,8 @@ def test_prompt_build_shows_the_nearest_earlier_decisions(spark, tmp_path):
     def embed(text):
         return [b / 127.5 - 1.0 for b in hashlib.sha256(text.encode()).digest()[:16]]
 
-    rows = [(i, f"text {i % 23}", "en", f"source {i:02d}") for i in range(40)] + [(40, "  ", "en", "source 05"), (41, None, "en", None)]
+    odd = {3: "it's", 5: "say \"it's\" \\ so\x07\u200b", 7: "'\n  → category='x', issuer='y'", 9: "a\tb\u3000c😀"}
+    rows = [(i, odd.get(i, f"text {i % 23}"), None if i == 11 else "en", f"source {i:02d}") for i in range(40)] + [(40, "  ", "en", "source 05"), (41, None, "en", None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: r.prompt for r in queries.QUERIES["prompt_build"](spark, str(tmp_path)).collect()}
     names = ", ".join(f"source {i:02d}" for i in range(30))
@@ -60,8 +61,8 @@ def test_prompt_build_shows_the_nearest_earlier_decisions(spark, tmp_path):
     for i, text, _, _ in rows:
         filled = i < 40
         best = nearest([(j, embed(rows[j][1])) for j in range(i)], [(i, embed(text))], 5) if filled else {}
-        shots = [rows[best[i, n][0]] for n in range(1, len(best) + 1)]
-        lines = "\n".join(f"- Text: '{t}'\n  → category='{c}', issuer='{s}'" for _, t, c, s in shots)
+        shots = [(*rows[best[i, n][0]][:1], rows[best[i, n][0]][1].replace("\n", " "), *rows[best[i, n][0]][2:]) for n in range(1, len(best) + 1)]
+        lines = "\n".join(f"- Text: {t!r}\n  → category={c!r}, issuer={s!r}" for _, t, c, s in shots)
         head = f"Past confirmed decisions on the {len(shots)} most similar documents:\n{lines}\n\n" if shots else ""
         prompt = f'{head}Known issuer names: {names}\n\nFilename: {i}.pdf\nDocument text:\n"""\n{(text or "").strip()}\n"""\n\nReturn the JSON object.'
         assert out[i] == hashlib.sha256(prompt.encode()).hexdigest(), i
