@@ -9,10 +9,13 @@ Score of a path: characters of running text and of headings below it, less twice
 pieces; articles and main parts count half as much again.  Menus, headers, footers, comments, scripts and the like are
 left out before scoring, by tag and role; of a header inside an article the headings stay.
 
-Forms, and parts whose class or id holds a word for sidebars, notices, adverts and so on, are suspects only: templates
-wrap whole pages in such parts, too.  A page takes a suspect for content if an article or main part lies in it, or if
-there is none elsewhere and it holds most of the page's text and few links.  That is a vote as well: a host's pages
-decide together which suspect paths are left out.
+Class and id names are read word by word.  A name that is made of words for sidebars, notices, adverts and so on, with
+words for structure at most, makes its part a suspect, and so does a form; templates wrap whole pages in such parts,
+too.  A page takes a suspect for content if an article or main part lies in it, or if there is none elsewhere and it
+holds most of the page's text and few links.  A name that has other words besides (``related-work``, ``search-tips``) is a
+weaker hint: such a part is content if an article lies in it, or if it is running text with few links.  These are votes as
+well: a host's pages decide together which suspect paths are left out, and weak suspects whose text is the same on pages
+that differ otherwise are left out with them.  Only parts named for reader comments and nothing else go at once.
 
 Text: character references are decoded, a line break and cell bounds are white space, white space within a block
 becomes one space, blocks are trimmed and joined in page order by an empty line.  Nothing else is dropped.
@@ -20,7 +23,7 @@ becomes one space, blocks are trimmed and joined in page order by an empty line.
 Defined cases: null and empty pages give an empty text; a page without a container counts as one; null URLs and URLs
 without ``://`` share the host ''; a part left open ends with its parent or the page, an open script or comment with
 the page; repeated pages vote as often as they occur; of equally scored paths the deepest wins; pages may be of any
-length; columns of ``pages`` pass through whatever their names, but for one that is called like the result, which
+length and depth, as time and memory grow in proportion; columns of ``pages`` pass through whatever their names, but for one that is called like the result, which
 takes its place; an empty table stays empty.
 """
 
@@ -28,9 +31,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +48,8 @@ BROADCAST_HOSTS = 100_000  # hosts with paths up to MAX_PATH_CHARS are broadcast
 MAX_BROADCAST_CHARS = 64_000_000
 SHORT = 40
 FAIR_SHARE = 0.2  # of the score of a page's own best path, for a winning path to be taken
-MAIN, CONTENT, CLUTTER = range(3)  # what a vote says of a path
+MAIN, CONTENT, CLUTTER, PROSE = range(4)  # what a vote says of a path
+REPEATED_ON = 3  # different pages, for a text that stays the same to be told from content
 
 #: What HTML's elements are.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -64,11 +70,17 @@ SUSPECT_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager toolbar widget "
     "search skip".split()
 )
+STRUCTURE_WORDS = frozenset(
+    "area bar block body bottom box button buttons card cell center col column container content count cta element entry fixed floating form global grid group head heading "
+    "icon icons image inline inner item items js label layout left level line link links list main page panel part post primary reader readers right row secondary section "
+    "site slot static sticky tab table text thread title top unit user users view wide wrap wrapper x".split()
+)
 HEADER_WORDS = frozenset(["header"])
 #: Parts that only a whole name can leave out, those names, and words that turn a name into a remark.
 WHOLE = frozenset("html body article main".split())
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
-COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+WEAK_WORDS = frozenset(["discussion"])
 QUALIFIERS = frozenset("has with without no is".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""")
@@ -78,54 +90,93 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+_STRONG, _WEAK = 1, 2
+_MASK = (1 << 64) - 1
+
+
+def hash64(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+def path_key(parent: str, name: str) -> str:
+    """128 bits that stand for a path, from its parent's and its last tag with classes."""
+    return xxhash.xxh3_128_hexdigest(f"{parent}/{name}".encode("utf-8", "replace"))
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if "=" in text else {}
 
 
 class Page:
-    """Blocks of one page: (path number, text, characters inside links, whether it is a heading); paths by number, with
-    their parents.  Suspects are known by number: their path, whether an article is inside."""
+    """Blocks of one page: (path number, text, characters inside links, whether it is a heading).
+
+    Paths are numbers, with their parent, depth, last tag, whether they lie in an article, and a digest of the tags and
+    classes from the root, which stands for the path on other pages.  Suspects are numbers, too: their path, the suspect
+    around them, whether an article is inside, whether they are weak.  What lies below is summed up from the last to the
+    first, as parents come before their children, so that work does not grow with depth.
+    """
 
     def __init__(self, source: str | None):
-        self.paths: list[str] = [""]
-        self.parents: list[int] = [-1]
+        self.keys: list[str] = [""]
+        self.parents, self.depths, self.tags, self.in_article = [-1], [0], [""], [False]
         self.numbers: dict[tuple[int, str], int] = {}
         self.every: list[tuple[int, str, int, bool]] = []
-        self.within: list[tuple[int, ...]] = []  # by block, the suspects around it
-        self.suspects: list[tuple[str, list[bool]]] = []
+        self.within: list[int] = []  # by block, the innermost suspect around it, or -1
+        self.suspects: list[tuple[str, int, bool]] = []
+        self.with_article: list[bool] = []
         if source:
             self._read(source)
         self.blocks = self.every
-        self.judged = self._judged()
-
-    def _judged(self) -> dict[str, bool]:
-        """By path of a suspect, whether it is content, as far as this page can tell."""
-        if not self.suspects:
-            return {}
-        plain, linked, total, outside = [0] * len(self.suspects), [0] * len(self.suspects), 0, False
-        for (path, text, links, _), around in zip(self.every, self.within, strict=True):
-            total += max(len(text) - links, 0)
-            outside = outside or not around and self._in_article(path)
-            for i in around:
-                plain[i] += max(len(text) - links, 0)
-                linked[i] += links
-        found: dict[str, bool] = {}
-        for i, (path, article) in enumerate(self.suspects):
-            content = article[0] or (not outside and 2 * plain[i] > total and linked[i] < plain[i])
-            found[path] = found.get(path, False) or content
-        return found
-
-    def settle(self, content: dict[str, bool]) -> None:
+        self.print = sum(hash64(text) for _, text, _, _ in self.every) & _MASK
+        self.judged, self.prints = self._judged()
+
+    def _judged(self) -> tuple[dict[str, int], dict[str, int]]:
+        """By path of a suspect, what this page says of it, and a digest of its text."""
+        n = len(self.suspects)
+        plain, linked, running, digest, article = [0] * n, [0] * n, [0] * n, [0] * n, self.with_article
+        total, outside = 0, False
+        for (path, text, links, heading), i in zip(self.every, self.within, strict=True):
+            own = max(len(text) - links, 0)
+            total += own
+            if i < 0:
+                outside = outside or self.in_article[path]
+                continue
+            plain[i], linked[i], digest[i] = plain[i] + own, linked[i] + links, digest[i] + hash64(text)
+            running[i] += own if heading or len(text) >= SHORT else 0
+        for i in range(n - 1, -1, -1):
+            around = self.suspects[i][1]
+            if around >= 0:
+                for sums in (plain, linked, running, digest):
+                    sums[around] += sums[i]
+                article[around] = article[around] or article[i]
+        found, prints = {}, {}
+        for i, (key, _, weak) in enumerate(self.suspects):
+            if article[i]:
+                says = CONTENT
+            elif weak:
+                says = PROSE if 2 * linked[i] < plain[i] and 2 * running[i] >= plain[i] else CLUTTER
+            else:
+                says = CONTENT if not outside and 2 * plain[i] > total and linked[i] < plain[i] else CLUTTER
+            before = found.get(key, CLUTTER)
+            found[key] = says if before == CLUTTER else before
+            prints[key] = (prints.get(key, 0) + digest[i]) & _MASK
+        return found, prints
+
+    def settle(self, content: set[str]) -> None:
         """Leave out the blocks in suspects that are no content."""
-        fine = [content.get(path, False) for path, _ in self.suspects]
-        self.blocks = [b for b, around in zip(self.every, self.within, strict=True) if all(fine[i] for i in around)]
+        fine: list[bool] = []
+        for key, around, _ in self.suspects:
+            fine.append(key in content and (around < 0 or fine[around]))
+        self.blocks = [b for b, i in zip(self.every, self.within, strict=True) if i < 0 or fine[i]]
 
-    def _in_article(self, path: int) -> bool:
-        return any(x in ("article", "main") for x in re.split(r"[/.]", self.paths[path]))
+    def own_content(self) -> set[str]:
+        return {key for key, says in self.judged.items() if says != CLUTTER}
 
     def _read(self, source: str) -> None:
-        # an open element: tag, path number, left out (0 no, 1 but for headings, 2 yes), suspects around
-        stack: list[tuple[str, int, int, tuple[int, ...]]] = [("", 0, 0, ())]
+        # an open element: tag, path number, left out (0 no, 1 but for headings, 2 yes), the innermost suspect around
+        stack: list[tuple[str, int, int, int]] = [("", 0, 0, -1)]
+        opened: Counter[str] = Counter()
+        endless: set[str] = set()  # inline tags that have no end tag any more
         pieces: list[str] = []
         links: list[str] = []
         in_link = False
@@ -173,10 +224,13 @@ class Page:
             if tag in INLINE:
                 if tag == "a":
                     in_link = not closing
-                if not closing and stack[-1][2] < 2 and found[3] and (self._left_out(tag, found[3]) or self._suspect(tag, found[3])):
+                if not closing and tag not in endless and stack[-1][2] < 2 and found[3] and (self._left_out(tag, found[3]) or self._suspect(tag, found[3]) == _STRONG):
                     # an inline part that is left out lasts to its own end tag
                     close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = close.end() if close else at
+                    if close:
+                        at = close.end()
+                    else:
+                        endless.add(tag)
                 continue
             if tag in SPACES and (tag not in LEAVES or tag in ("td", "th")):
                 pieces.append(" ")
@@ -185,9 +239,10 @@ class Page:
                 continue
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
+                while opened[tag]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
                         break
                 in_link = False
                 continue
@@ -196,24 +251,26 @@ class Page:
             while stack[-1][0] in LEAVES and (tag not in LEAVES or stack[-1][0] not in ("li", "dd", "tbody", "thead", "tfoot") or stack[-1][0] == tag):
                 if stack[-1][0] in ("li", "dd") and tag not in LEAVES:
                     break  # lists and parts may stand inside a list item
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             _, path, out, around = stack[-1]
             out = max(out, self._left_out(tag, found[3], path)) if out < 2 else out
             if out == 1 and tag in HEADINGS:
                 out = 0
             own = self._path(path, tag, found[3]) if tag not in LEAVES else path
-            if out < 2 and self._suspect(tag, found[3]):
+            suspect = self._suspect(tag, found[3]) if out < 2 else 0
+            if suspect:
                 named = own if own != path else self._path(path, tag, found[3])
-                around = (*around, len(self.suspects))
-                self.suspects.append((self.paths[named], [False]))
-            if out < 2 and tag in ("article", "main"):
-                for i in around:
-                    self.suspects[i][1][0] = True
+                self.suspects.append((self.keys[named], around, suspect == _WEAK))
+                self.with_article.append(False)
+                around = len(self.suspects) - 1
+            if out < 2 and around >= 0 and tag in ("article", "main"):
+                self.with_article[around] = True
             stack.append((tag, own, out, around))
+            opened[tag] += 1
         flush()
 
     @staticmethod
-    def _text(text: str, top: tuple[str, int, int, tuple[int, ...]], pieces: list[str], links: list[str], in_link: bool) -> None:
+    def _text(text: str, top: tuple[str, int, int, int], pieces: list[str], links: list[str], in_link: bool) -> None:
         if top[2]:
             return
         if "&" in text:
@@ -226,7 +283,7 @@ class Page:
         if tag in LEFT_OUT_TAGS:
             return 2
         if tag == "header":
-            return 1 if self._in_article(path) else 2
+            return 1 if self.in_article[path] else 2
         if not attributes or "=" not in attributes:
             return 0
         named = _attributes(attributes)
@@ -234,109 +291,124 @@ class Page:
             return 2
         if tag in WHOLE:
             return 2 if COMMENT_NAMES & {n.lower() for n in self._names(named)} else 0
-        words = self._words(named)
+        words, _ = self._words(named)
         if words & COMMENT_WORDS:
             return 2
         found = words & SUSPECT_WORDS
-        return 1 if found and found <= HEADER_WORDS and self._in_article(path) else 0
+        return 1 if found and found <= HEADER_WORDS and self.in_article[path] else 0
 
-    def _suspect(self, tag: str, attributes: str) -> bool:
+    def _suspect(self, tag: str, attributes: str) -> int:
         if tag in SUSPECT_TAGS:
-            return True
+            return _STRONG
         if tag in WHOLE or not attributes or "=" not in attributes:
-            return False
+            return 0
         named = _attributes(attributes)
-        return bool(self._words(named) & SUSPECT_WORDS) or named.get("role", "").lower() == "form"
+        words, weak = self._words(named)
+        return _STRONG if words or named.get("role", "").lower() == "form" else _WEAK if weak else 0
 
     @staticmethod
     def _names(named: dict[str, str]) -> list[str]:
         return [n for k in ("class", "id") if k in named for n in named[k].split()]
 
-    def _words(self, named: dict[str, str]) -> set[str]:
-        """The words of class and id, but for names with a word that turns them into a remark."""
-        words: set[str] = set()
+    def _words(self, named: dict[str, str]) -> tuple[set[str], bool]:
+        """The words of names that are made of suspect words and words for structure, and whether there are names of
+        suspect words and others; names with a word that turns them into a remark do not count."""
+        words, weak = set(), False
         for name in self._names(named):
             own = {w.lower() for w in _WORD.findall(name)}
-            if not own & QUALIFIERS:
+            if own & QUALIFIERS or not own & SUSPECT_WORDS:
+                continue
+            if own <= SUSPECT_WORDS | STRUCTURE_WORDS and not own & WEAK_WORDS:
                 words |= own
-        return words
+            else:
+                weak = True
+        return words, weak
 
     def _path(self, parent: int, tag: str, attributes: str) -> int:
         classes = sorted({_DIGITS.sub("#", c) for c in _attributes(attributes).get("class", "").split()})
         name = ".".join([tag, *classes])
         key = (parent, name)
         if key not in self.numbers:
-            self.numbers[key] = len(self.paths)
-            self.paths.append(f"{self.paths[parent]}/{name}")
+            self.numbers[key] = len(self.keys)
+            self.keys.append(path_key(self.keys[parent], name))
             self.parents.append(parent)
+            self.depths.append(self.depths[parent] + 1)
+            self.tags.append(tag)
+            self.in_article.append(self.in_article[parent] or tag in ("article", "main") or "article" in classes or "main" in classes)
         return self.numbers[key]
 
     def scores(self) -> dict[int, float]:
         """Score of every path that has text below it."""
-        found: dict[int, float] = {}
+        sums, below = [0.0] * len(self.keys), [False] * len(self.keys)
         for path, text, linked, heading in self.blocks:
             plain = max(len(text) - linked, 0)
             good = plain if len(text) >= SHORT or heading else 0
-            gain = good - 2.0 * (min(linked, len(text)) + (0 if good or text[-1:] in ".!?:;" else min(plain, SHORT) / 4))
-            while path >= 0:
-                found[path] = found.get(path, 0.0) + gain
-                path = self.parents[path]
-        for path, score in found.items():
-            if score > 0 and self.paths[path].rpartition("/")[2].split(".")[0] in ("article", "main"):
-                found[path] = 1.5 * score
-        return found
+            sums[path] += good - 2.0 * (min(linked, len(text)) + (0 if good or text[-1:] in ".!?:;" else min(plain, SHORT) / 4))
+            below[path] = True
+        for path in range(len(sums) - 1, 0, -1):
+            if below[path]:
+                parent = self.parents[path]
+                sums[parent] += sums[path]
+                below[parent] = True
+        lifted = lambda p: 1.5 if sums[p] > 0 and self.tags[p] in ("article", "main") else 1.0
+        return {p: lifted(p) * sums[p] for p in range(len(sums)) if below[p]}
 
     def best(self, scores: dict[int, float] | None = None) -> tuple[str, float] | None:
         """The best path and its score; of equal ones the deepest."""
         scores = self.scores() if scores is None else scores
         if not scores:
             return None
-        top = max(scores, key=lambda p: (scores[p], self.paths[p].count("/"), self.paths[p]))
-        return self.paths[top], scores[top]
+        top = max(scores, key=lambda p: (scores[p], self.depths[p], self.keys[p]))
+        return self.keys[top], scores[top]
 
-    def text_under(self, path: str) -> str:
-        inside = [False] * len(self.paths)
-        for i, p in enumerate(self.paths):
-            inside[i] = p == path or (self.parents[i] >= 0 and inside[self.parents[i]])
+    def text_under(self, key: str) -> str:
+        inside = [False] * len(self.keys)
+        for i, p in enumerate(self.keys):
+            inside[i] = p == key or (self.parents[i] >= 0 and inside[self.parents[i]])
         return "\n\n".join(text for at, text, *_ in self.blocks if inside[at])
 
 
 def votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, says, votes, score): on how many pages of the host this is the best path, or a suspect that is
-    content, or one that is not."""
+    """(host, path, says, print, rest, votes, score): on how many pages of the host this is the best path, or a suspect
+    that is content, clutter, or running text; of the last the digests of that text and of the rest of the page."""
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    kinds = {"host": pa.string(), "path": pa.string(), "says": pa.int32(), "print": pa.int64(), "rest": pa.int64(), "score": pa.float64()}
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             rows = [(h, *vote) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for vote in _page_votes(t)]
-            host, path, says, score = zip(*rows, strict=True) if rows else ((), (), (), ())
-            arrays = [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(says, pa.int32()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "says", "score"])
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    cast = read.mapInArrow(batches, "host string, path string, says int, score double")
-    return cast.groupBy("host", "path", "says").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
+    cast = read.mapInArrow(batches, "host string, path string, says int, print long, rest long, score double")
+    return cast.groupBy("host", "path", "says", "print", "rest").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
 
 
-def _page_votes(source: str | None) -> Iterator[tuple[str, int, float]]:
+def _page_votes(source: str | None) -> Iterator[tuple[str, int, int, int, float]]:
     page = Page(source)
-    for path, content in page.judged.items():
-        yield path, CONTENT if content else CLUTTER, 0.0
-    page.settle(page.judged)
+    for path, says in page.judged.items():
+        own = page.prints[path] if says == PROSE else 0
+        rest = (page.print - own) & _MASK if says == PROSE else 0
+        yield path, says, own >> 1, rest >> 1, 0.0
+    page.settle(page.own_content())
     best = page.best()
     if best:
-        yield best[0], MAIN, best[1]
+        yield best[0], MAIN, 0, 0, best[1]
 
 
 def winning_paths(cast: DataFrame) -> DataFrame:
     """(host, paths, content): the paths with at least ``MIN_SHARE`` of the host's votes, most votes first, and the
-    suspects that most pages take for content."""
+    suspects that most pages take for content, but for those whose text is much the same on pages that are not."""
     main = cast.where(F.col("says") == MAIN)
     total = main.groupBy("host").agg(F.sum("votes").alias("total"))
     won = main.join(total, "host").where(F.col("votes") >= F.col("total") * MIN_SHARE)
     ordered = F.sort_array(F.collect_list(F.struct("votes", "score", "path")), asc=False)
     won = won.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
-    sided = F.sum(F.when(F.col("says") == CONTENT, F.col("votes")).otherwise(-F.col("votes")))
-    fine = cast.where(F.col("says") != MAIN).groupBy("host", "path").agg(sided.alias("more")).where("more > 0")
+    prose = F.col("says") == PROSE
+    sided = F.sum(F.when(F.col("says") == CLUTTER, -F.col("votes")).otherwise(F.col("votes")))
+    told = F.count_distinct(F.when(prose, F.col("print"))).alias("texts"), F.count_distinct(F.when(prose, F.col("rest"))).alias("pages")
+    fine = cast.where(F.col("says") != MAIN).groupBy("host", "path").agg(sided.alias("more"), *told)
+    fine = fine.where((F.col("more") > 0) & ~((F.col("pages") >= REPEATED_ON) & (2 * F.col("texts") <= F.col("pages"))))
     fine = fine.groupBy(F.col("host").alias("fine_host")).agg(F.array_sort(F.collect_list("path")).alias("content"))
     joined = won.join(fine, F.col("host") == F.col("fine_host"), "left")
     return joined.select("host", "paths", F.coalesce("content", F.array().cast("array<string>")).alias("content"))
@@ -369,12 +441,12 @@ def main_text(source: str | None, paths: list[str] | tuple[str, ...], content: l
     """The text of a page by a host's winning paths and the suspects that are content there; without a host's, by the
     page's own."""
     page = Page(source)
-    page.settle(page.judged if content is None else dict.fromkeys(content, True))
+    page.settle(page.own_content() if content is None else set(content))
     scores = page.scores()
     own = page.best(scores)
     if not own:
         return ""
-    known = {page.paths[i]: score for i, score in scores.items()}
+    known = {page.keys[i]: score for i, score in scores.items()}
     for path in paths:
         if path in known and (known[path] >= FAIR_SHARE * own[1] or path == own[0]):
             return page.text_under(path)

@@ -113,3 +113,51 @@ def test_whole_table_against_the_articles(spark):
         blocks = [entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))) for x in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
         assert r.n_chars == len(r.text)
+
+
+def real(i, middle, names="post"):
+    return page(f"<div id=wrap><div class='site-header'><a href=/>home</a></div><div class='{names}'><h1>Head {i}</h1><p>{LONG} {i}</p>{middle}<p>{LONG} End {i}.</p></div><div class=footer><a href=x>link</a></div></div>")
+
+
+@pytest.mark.parametrize(
+    "middle",
+    [
+        "<section class=discussion><p>{} We discuss.</p></section>", "<div id='official-reply'><p>{} They reply.</p></div>", "<p>{} <span class='code-comment'>so it says</span></p>",
+        "<section class='related-work'><p>{} Others did.</p></section>", "<div class='search-tips'><p>{} Try this.</p></div>",
+    ],
+)
+def test_names_that_hold_a_suspect_word_among_others(spark, middle):
+    """Real class names, on twenty pages of a host each."""
+    inside = [middle.format(f"{LONG} {i}") for i in range(20)]
+    rows = [(i, "http://h.org/a", real(i, inside[i], "post comments-open")) for i in range(20)]
+    rows += [(100 + i, "http://g.org/a", page(f"<article><h1>Head {i}</h1><p>{LONG} {i}</p>{inside[i]}<p>{LONG} End {i}.</p></article>")) for i in range(20)]
+    out = {r.page_id: r.main_text for r in mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in out.items():
+        kept = re.sub(r"<[^>]*>", "", inside[i % 100])
+        assert text == f"Head {i % 100}\n\n{LONG} {i % 100}\n\n{kept}\n\n{LONG} End {i % 100}."
+
+
+def test_what_stays_the_same_and_what_is_clutter_goes(spark):
+    extra = (
+        f"<div class='newsletter-fancy'><p>{LONG} Join us now.</p></div><div class='comments-area'><article class=comment><p>{LONG} I think.</p></article></div>"
+        f"<div class='related-posts'><a href=x>{LONG}</a></div><div class='promo-summer'><p><a href=y>{LONG}</a></p></div>"
+    )
+    rows = [(i, "http://h.org/a", real(i, extra)) for i in range(20)]
+    out = mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.main_text for r in out} == {f"Head {i}\n\n{LONG} {i}\n\n{LONG} End {i}." for i in range(20)}
+
+
+def test_depth_costs_no_more_than_length():
+    import resource
+    import time
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    sources = [
+        "<div>" * 200_000 + LONG, "<div class=ad>" * 60_000 + f"<p>{LONG}</p>", "<div>" * 100_000 + "</p></section>" * 100_000 + LONG, "<span class=ad>x " * 60_000,
+        "".join(f"<div class=c{'x' * (i % 7)}><p>{LONG}</p>" for i in range(20_000)),
+    ]
+    for source in sources:
+        began = time.time()
+        assert mainhtml.main_text(source, ())
+        assert time.time() - began < 20
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
