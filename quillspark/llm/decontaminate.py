@@ -8,7 +8,8 @@ lengths that occur.  Texts with a shared fingerprint are read again, and each of
 fingerprint is extended to its words and joined with the benchmark windows of the same words.
 
 Fingerprints of the benchmark are broadcast only when their counted number is within ``BROADCAST_WINDOWS``;
-beyond that the same joins shuffle.
+beyond that a blocked Bloom filter of them is, and the same joins shuffle what it lets pass: fingerprints, and windows
+cut from texts with a fingerprint of the benchmark, never a text for each of its places.
 
 Defined cases: null texts and texts without words have no windows and no hits; repeated rows and copies of a text
 share one result; items that repeat or share windows are all reported; a null item id counts as no item, though its
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, materialize, numbered, text_key
+from quillspark.llm.urlfilter import bloom_filter, may_hold
 
 BROADCAST_WINDOWS = 500_000  # of at most ``span`` words each
 BROADCAST_SUSPECTS = 500_000  # of two numbers
@@ -108,17 +110,24 @@ def find_hits(
     read = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("t"))
     prints = _prints(read, lengths, span, gram).where(F.size("h") >= shortest)
     prints = prints.select("key_a", "key_b", F.explode(F.array_distinct(F.flatten("prints"))).alias("print"))
+    if not small:
+        known_prints = windows.select(F.col("print").alias("key_hash")).distinct()
+        bits, blocks = bloom_filter(known_prints, known_prints.count())
+        bits = materialize(bits, "print-filter")  # one row of at most FILTER_BLOCKS words
+        prints = prints.crossJoin(F.broadcast(bits)).where(may_hold(F.col("bits"), F.col("print"), blocks)).drop("bits")
     suspects = prints.join(sent(windows.select("print").distinct()), "print", "left_semi").select("key_a", "key_b").distinct()
     suspects = materialize(suspects, "suspects")
     again = read.join(F.broadcast(suspects) if suspects.count() <= BROADCAST_SUSPECTS else suspects, ["key_a", "key_b"], "left_semi")
     again = _prints(again.withColumn("w", _words(F.col("t"))), lengths, span, gram)
     starts = F.flatten(F.array(*[_starts(F.col("prints")[i], n) for i, n in enumerate(lengths)]))
-    known = sent(windows.select("print", "length").distinct())
-    placed = again.select("key_a", "key_b", "w", F.explode(starts).alias("x"))
-    placed = placed.select("key_a", "key_b", "w", "x.print", "x.start", "x.length").join(known, ["print", "length"], "left_semi")
-    placed = placed.select(
-        "key_a", "key_b", "print", "start", "length", _window(F.col("w"), F.col("start"), F.col("length")).alias("window")
-    )
+    if small:
+        placed = again.select("key_a", "key_b", "w", F.explode(starts).alias("x")).select("key_a", "key_b", "w", "x.print", "x.start", "x.length")
+        placed = placed.join(sent(windows.select("print", "length").distinct()), ["print", "length"], "left_semi")
+        placed = placed.select("key_a", "key_b", "print", "start", "length", _window(F.col("w"), F.col("start"), F.col("length")).alias("window"))
+    else:  # windows are cut where the words are at hand, for what the filter lets pass
+        cut = lambda x: F.struct(x["print"].alias("print"), x["start"].alias("start"), x["length"].alias("length"), _window(F.col("w"), x["start"], x["length"]).alias("window"))
+        passing = F.filter(starts, lambda x: may_hold(F.col("bits"), x["print"], blocks))
+        placed = again.crossJoin(F.broadcast(bits)).select("key_a", "key_b", F.inline(F.transform(passing, cut))).distinct()
     hits = placed.join(sent(windows), ["print", "length", "window"])
     return hits.select("key_a", "key_b", "start", "length", "item").distinct()
 

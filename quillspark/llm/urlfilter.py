@@ -87,6 +87,11 @@ def bloom_filter(keys: DataFrame, n_entries: int) -> tuple[DataFrame, int]:
     return words.agg(ordered.alias("w")).select(F.col("w.word").alias("bits")), blocks
 
 
+def may_hold(bits: Column, key_hash: Column, blocks: int) -> Column:
+    """Whether a filter's bits allow for a key; always true for keys that are in it."""
+    return F.get(bits, _block(key_hash, blocks)).bitwiseAND(_mask(key_hash)) == _mask(key_hash)
+
+
 def _possible(host: Column, path: Column, is_rule: bool, labels: int, lengths: list[int]) -> Column:
     """The keys that entries of one kind could have to fit."""
     parts = F.split(host, r"\.")
@@ -121,7 +126,7 @@ def judge(urls: DataFrame, entries: DataFrame, *, url_col: str = "url") -> DataF
     every = F.concat(*keys) if keys else F.array().cast("array<struct<r: boolean, h: string, p: string, k: bigint>>")
     # one row of at most FILTER_BLOCKS words
     probed = read.crossJoin(F.broadcast(materialize(bits, "filter")))
-    passes = lambda x: F.get(F.col("bits"), _block(x["k"], blocks)).bitwiseAND(_mask(x["k"])) == _mask(x["k"])
+    passes = lambda x: may_hold(F.col("bits"), x["k"], blocks)
     passed = probed.select("url", F.explode(F.filter(every, passes)).alias("x")).distinct()
     sent = F.broadcast(listed) if total <= BROADCAST_ROWS else listed
     exact = (F.col("x.r") == F.col("is_rule")) & (F.col("x.h") == F.col("host")) & (F.col("x.p") == F.col("path"))

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 from quillspark.llm import decontaminate
+from quillspark.llm.common import materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,6 +59,34 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     assert decontaminate.contamination(d, items.limit(0)).first().contamination.n_hit == 0
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    jvm = spark.sparkContext._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_do_not_travel_with_fingerprints(spark, monkeypatch):
+    for bound in ("BROADCAST_WINDOWS", "BROADCAST_TEXTS", "BROADCAST_SUSPECTS"):
+        monkeypatch.setattr(decontaminate, bound, 0)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(30)]
+    docs = [(i, " ".join([*(word() for _ in range(4000)), items[i][1], *(word() for _ in range(4000))])) for i in range(20)]
+    size = sum(len(t) for _, t in docs)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    d, b = materialize(d, "docs"), materialize(b, "items")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        found = decontaminate.contamination(d, b).select("doc_id", "contamination").collect()
+        assert all(r.contamination.n_hit == 40 and r.contamination["items"] == [str(r.doc_id)] for r in found) and len(found) == 20
+        assert shuffled(spark) - before < 3 * size
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_python_on_the_main_path(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumn("z", F.lit(1))
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
