@@ -257,16 +257,23 @@ def _plain(text: str) -> str:
     return " ".join(out.split())
 
 
-def issuer(text: Column, name: Column, issuers: Mapping[str, str] = DEFAULT.known_issuers) -> Column:
-    """The issuer whose key starts a word in the header, the footer or the file name; the longest key first."""
+def places(text: Column, name: Column) -> Column:
+    """Where an issuer is looked for: header, footer and file name, normalized, a line each."""
     t = F.coalesce(text, F.lit(""))
-    places = F.array(
+    parts = F.array(
         normalized(F.left(t, F.lit(HEADER_CHARS))),
         F.when(F.length(t) > HEADER_CHARS, normalized(F.right(t, F.lit(FOOTER_CHARS)))).otherwise(F.lit("")),
         normalized(F.coalesce(name, F.lit(""))),
     )
+    return F.array_join(parts, "\n")
+
+
+def issuer(text: Column, name: Column, issuers: Mapping[str, str] = DEFAULT.known_issuers) -> Column:
+    """The issuer whose key starts a word in the header, the footer or the file name; the longest key first.
+
+    Every key is an expression; for tables of them see ``operators.lookups.issuers_by``."""
     # keys hold no line end, so no match reaches across
-    return let(F.array_join(places, "\n"), lambda p: _first_issuer(p, issuers))
+    return let(places(text, name), lambda p: _first_issuer(p, issuers))
 
 
 def _first_issuer(places: Column, issuers: Mapping[str, str]) -> Column:

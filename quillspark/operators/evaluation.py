@@ -8,23 +8,47 @@ from pyspark.sql import functions as F
 from quillspark.config import DEFAULT, RoutingConfig
 from quillspark.functions.routing import classify, decide
 from quillspark.functions.text import blank, confidence
+from quillspark.scratch import materialize
+
+BIN_ROWS = 100_000  # of a category that are ranked in one task
+BIN_DIGITS = 3  # of a hash, per histogram
 
 
 def stratified_sample(rows: DataFrame, category: str, key: str, n: int | None, seed: int = 42) -> DataFrame:
     """About ``n`` rows in proportion to their categories, at least one of each, chosen by a hash of seed and key.
 
-    Rows are ranked within categories, whose shares are rounded half to even; then the first ``n`` by hash stay."""
+    Of every category its share, rounded half to even, of rows with the least hashes is taken; then the first ``n`` by
+    hash stay.  A category's last hash is found by histograms: the digit of the hash at which its share ends, then the
+    next digits within that bin, until a bin has ``BIN_ROWS`` rows at most.  Only these are ranked, so that no task holds
+    a category."""
     if n is None:
         return rows
-    sizes = rows.groupBy(category).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = rows.groupBy(F.col(category).alias("_category")).agg(F.count(F.lit(1)).alias("_size"))
     total = sizes.agg(F.sum("_size").alias("_total"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ranked = rows.withColumn("_hash", order)
-    place = F.row_number().over(Window.partitionBy(category).orderBy("_hash", key))
-    ranked = ranked.withColumn("_place", place).join(F.broadcast(sizes.crossJoin(total)), category)  # a row per category
     share = F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("_size") / F.col("_total")).cast("long"))
-    chosen = ranked.where((F.col("_total") <= n) | (F.col("_place") <= share))
-    return chosen.orderBy("_hash", key).limit(max(n, 0)).drop("_hash", "_place", "_size", "_total")
+    wanted = sizes.crossJoin(F.broadcast(total))  # one row
+    wanted = wanted.select("_category", "_size", F.when(F.col("_total") <= n, F.col("_size")).otherwise(F.least(share, "_size")).alias("_share"))
+    hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_hash", F.coalesce("_hash", F.lit("")))
+    # by category: the hashes below ``_from`` are taken, of those that start with it ``_left`` are still to be
+    cut = wanted.select("_category", F.lit("").alias("_from"), F.col("_share").alias("_left"), F.col("_size").alias("_open"))
+    cut = materialize(cut, "sample-cuts")
+    for digits in range(BIN_DIGITS, 32 + 1, BIN_DIGITS):
+        if cut.where(F.col("_open") > BIN_ROWS).isEmpty():
+            break
+        inside = hashed.join(cut.where(F.col("_open") > BIN_ROWS), F.col(category).eqNullSafe(F.col("_category")) & F.startswith("_hash", "_from"))
+        bins = inside.groupBy("_category", "_left", F.left("_hash", F.lit(digits)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+        so_far = Window.partitionBy("_category").orderBy("_bin")  # 16 ** BIN_DIGITS bins at most
+        bins = bins.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
+        ends = bins.where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_n") >= F.col("_left")))
+        ends = ends.select("_category", F.col("_bin").alias("_from"), (F.col("_left") - F.col("_before")).alias("_left"), F.col("_n").alias("_open"))
+        cut = materialize(cut.where(F.col("_open") <= BIN_ROWS).unionByName(ends), "sample-cuts")
+    judged = hashed.join(cut, F.col(category).eqNullSafe(F.col("_category")))
+    judged = judged.where((F.col("_hash") < F.col("_from")) | F.startswith("_hash", "_from"))
+    below = judged.where(~F.startswith("_hash", "_from"))
+    place = F.row_number().over(Window.partitionBy("_category").orderBy("_hash", key))
+    last = judged.where(F.startswith("_hash", "_from")).withColumn("_place", place).where(F.col("_place") <= F.col("_left"))
+    chosen = below.select(*rows.columns, "_hash").unionByName(last.select(*rows.columns, "_hash"))
+    return chosen.orderBy("_hash", key).limit(max(n, 0)).drop("_hash")
 
 
 def evaluate(samples: DataFrame, threshold: float | None = None, config: RoutingConfig = DEFAULT, keyword: Column | None = None) -> DataFrame:

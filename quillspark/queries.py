@@ -12,7 +12,7 @@ from quillspark.functions import extraction as X
 from quillspark.functions import replies as L
 from quillspark.functions import routing as R
 from quillspark.functions import text as T
-from quillspark.operators import backends, collisions, evaluation, feedback, folders, history, markers, vectors
+from quillspark.operators import backends, collisions, evaluation, feedback, folders, history, lookups, markers, vectors
 from quillspark.plans import plan as P
 from quillspark.plans.plan import plan
 from quillspark.plans.statements import STATEMENT_SQL, statements
@@ -248,6 +248,51 @@ def category_scores(spark, sf_dir):
     return docs.where("s.score >= 2").select("doc_id", "s.category", F.col("s.score").cast("long").alias("score"))
 
 
+def _runs_sql(text: str, n: int) -> str:
+    """The different runs of so many digits, every rule of the tables below ending in one."""
+    runs = f"regexp_extract_all({text}, '[0-9]{{{n},}}')"
+    return f"list_distinct(flatten([[r[i:i + {n - 1}] FOR i IN range(1, length(r) - {n - 2})] FOR r IN {runs}]))"
+
+
+_KEYWORDS = """SELECT c_mktsegment AS category, CASE c_custkey % 3 WHEN 0 THEN 'XXXX' WHEN 1 THEN 'ending in ' ELSE '# 12-' END || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') AS keyword,
+  c_custkey AS "order" FROM customer"""
+
+
+@query(
+    f"""WITH {STMT}, k AS (SELECT category, lower(keyword) AS word FROM ({_KEYWORDS})), t AS MATERIALIZED (SELECT o_orderkey, lower(text) AS low FROM stmt),
+ x AS (SELECT o_orderkey, low, unnest({_runs_sql('low', 4)}) AS run FROM t)
+ SELECT o_orderkey, category, count(*) AS score FROM x JOIN k ON run = right(word, 4) WHERE contains(low, word) GROUP BY o_orderkey, category"""
+)
+def category_scores_by_table(spark, sf_dir):
+    """Scores with a keyword of every customer, from a table."""
+    found = lookups.keyword_scores(statements(spark, sf_dir), _keywords(spark, sf_dir), id_col="o_orderkey")
+    return found.select("o_orderkey", "category", "score")
+
+
+def _keywords(spark, sf_dir) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(_KEYWORDS.replace('"order"', "`order`"))
+
+
+_ISSUER_KEYS = """SELECT CASE c_custkey % 4 WHEN 0 THEN 'ending-in ' WHEN 1 THEN 'XXXX' WHEN 2 THEN '# 12-' ELSE 'card ending, in ' END || lpad(CAST(c_custkey % 10000 AS STRING), 4 - CAST(c_custkey % 5 = 0 AS INT), '0') AS key,
+  'Customer ' || CAST(c_custkey AS STRING) AS issuer, c_custkey AS "order" FROM customer"""
+_PLACES = r"trim(regexp_replace(translate(translate(lower(%s), '&-', ''), '.,', '  '), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH {STMT}, k AS (SELECT *, {_PLACES % 'key'} AS plain FROM ({_ISSUER_KEYS})),
+ p AS MATERIALIZED (SELECT o_orderkey, {_PLACES % 'left(text, 1500)'} || chr(10) || CASE WHEN length(text) > 1500 THEN {_PLACES % 'right(text, 1000)'} ELSE '' END || chr(10) || {_PLACES % 'filename'} AS places FROM stmt),
+ x AS (SELECT *, unnest({_runs_sql('places', 3)}) AS run FROM p)
+ SELECT o_orderkey, arg_max(issuer, (length(key), -"order")) AS issuer FROM x JOIN k ON run = right(plain, 3)
+ WHERE CASE WHEN contains(places, plain) THEN regexp_matches(places, '\\b' || plain) ELSE false END GROUP BY o_orderkey"""
+)
+def issuer_by_table(spark, sf_dir):
+    """Issuers with a key of every customer, from a table."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    keys = spark.sql(_ISSUER_KEYS.replace('"order"', "`order`"))
+    return lookups.issuers_by(statements(spark, sf_dir), keys, id_col="o_orderkey", name_col="filename")
+
+
 _SEG = lambda e: f"array_to_string(list_filter(regexp_split_to_array({e}, '[/\\\\]'), lambda p: p <> '' AND p <> 'Unknown'), '\\')"
 _TEMPLATE = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ROUTE_TEMPLATES.items() if k != "default") + f" ELSE '{C.ROUTE_TEMPLATES['default']}' END"
 
@@ -986,6 +1031,22 @@ def marker_scan(spark, sf_dir):
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "reason")
 
 
+_DENIED = """SELECT CASE c_custkey % 2 WHEN 0 THEN '(?i)xxxx' ELSE '[0-9]+ ?12-' END || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') || CASE c_custkey % 3 WHEN 0 THEN '$' ELSE '' END AS pattern,
+  c_mktsegment || ' ' || CAST(c_custkey % 10000 AS STRING) AS reason, lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') AS literal FROM customer"""
+
+
+@query(
+    f"""WITH {STMT}, k AS ({_DENIED}), l AS (SELECT o_orderkey, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM stmt),
+ x AS (SELECT *, unnest({_runs_sql('line', 4)}) AS run FROM l)
+ SELECT o_orderkey, CAST(line_no AS INTEGER) AS line_no, reason FROM x JOIN k ON run = literal WHERE regexp_matches(line, pattern)"""
+)
+def marker_scan_by_table(spark, sf_dir):
+    """Lines that match the pattern of a customer, from a table."""
+    docs = statements(spark, sf_dir)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return markers.scan_by(docs, spark.sql(_DENIED), id_col="o_orderkey").select("o_orderkey", "line_no", "reason")
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def status_counts(spark, sf_dir):
     return markers.status_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
