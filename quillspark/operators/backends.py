@@ -7,7 +7,12 @@ import hashlib
 import json
 import math
 import re
+import threading
 import time
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -53,7 +58,80 @@ class NullRecognizer:
         return None
 
 
-def ask(prompts: DataFrame, backend: SecondOpinion, system: str, *, user: str = "user") -> DataFrame:
+@dataclass(frozen=True)
+class Calls:
+    """How a task asks a service: so many calls at once, attempts with growing pauses, and a deadline for each row.
+
+    After ``breaker`` failed rows in a row the service counts as down: rows fail at once, and every ``cool_s`` one is
+    tried.  The bound holds for a task; a service sees that many calls from each task that runs."""
+
+    in_flight: int = 8
+    attempts: int = 3
+    pause_s: float = 0.5
+    deadline_s: float = 120.0
+    breaker: int = 10
+    cool_s: float = 30.0
+
+
+class _Caller:
+    """A task's calls: results in the order of the rows, errors by row."""
+
+    def __init__(self, call, calls: Calls) -> None:
+        self.call, self.calls, self.lock = call, calls, threading.Lock()
+        self.failed, self.open_until = 0, 0.0
+
+    def _may(self) -> bool:
+        with self.lock:
+            if self.failed < self.calls.breaker:
+                return True
+            now = time.monotonic()
+            if now < self.open_until:
+                return False
+            self.open_until = now + self.calls.cool_s  # one row tries
+            return True
+
+    def _settle(self, ok: bool) -> None:
+        with self.lock:
+            self.failed = 0 if ok else self.failed + 1
+            if self.failed == self.calls.breaker:
+                self.open_until = time.monotonic() + self.calls.cool_s
+
+    def one(self, text: str) -> tuple[str | None, str | None, int]:
+        began = time.monotonic()
+        spent = lambda: time.monotonic() - began
+        if not self._may():
+            return None, "service down", 0
+        error = None
+        for attempt in range(max(self.calls.attempts, 1)):
+            try:
+                answer = self.call(text)
+                self._settle(True)
+                return answer, None, int(1000 * spent())
+            except Exception as problem:  # noqa: BLE001
+                error = str(problem) or type(problem).__name__
+            pause = self.calls.pause_s * 2**attempt
+            if attempt + 1 < self.calls.attempts and spent() + pause < self.calls.deadline_s:
+                time.sleep(pause)
+            else:
+                break
+        self._settle(False)
+        return None, error, int(1000 * spent())
+
+    def all(self, texts) -> Iterator[tuple[str | None, str | None, int]]:
+        pool = ThreadPoolExecutor(max(self.calls.in_flight, 1))
+        try:
+            for found in [pool.submit(self.one, text) for text in texts]:
+                try:
+                    yield found.result(timeout=2 * self.calls.deadline_s)
+                except FutureTimeout:
+                    found.cancel()
+                    self._settle(False)
+                    yield None, "no answer in time", int(2000 * self.calls.deadline_s)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+
+def ask(prompts: DataFrame, backend: SecondOpinion, system: str, *, user: str = "user", calls: Calls = Calls()) -> DataFrame:
     """``prompts`` with answer, error and duration_ms; a failure is that row's.  The null backend asks nobody."""
     if isinstance(backend, NullOpinion):
         none = F.lit(None).cast("string")
@@ -61,15 +139,9 @@ def ask(prompts: DataFrame, backend: SecondOpinion, system: str, *, user: str =
     schema = prompts.schema.simpleString()
 
     def run(batches):
+        caller = _Caller(lambda text: backend.chat(system, text), calls)
         for b in batches:
-            rows = []
-            for text in b[user]:
-                began = time.monotonic()
-                try:
-                    answer, error = backend.chat(system, text), None
-                except Exception as problem:  # noqa: BLE001
-                    answer, error = None, str(problem) or type(problem).__name__
-                rows.append((answer, error, int(1000 * (time.monotonic() - began))))
+            rows = list(caller.all(b[user]))
             yield b.assign(**dict(zip(("answer", "error", "duration_ms"), map(list, zip(*rows, strict=True)) if rows else ([], [], []), strict=True)))
 
     fields = schema[len("struct<") : -1]
