@@ -10,6 +10,8 @@ from quillspark.scratch import materialize
 
 KEY = ("original_filename", "ts")
 BLOCK_ROWS = 256
+MAX_PIVOTS = 1024
+SLACK = 1e-5  # more than rounding takes from a distance
 
 
 def norm(v: Column) -> Column:
@@ -30,65 +32,189 @@ def search(examples: DataFrame, query: Column, *, k: int = 5, category: str | No
     return kept.withColumn("score", cosine(F.col(vector_col), query)).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _blocks(rows: DataFrame, id_col: str, vector_col: str, names: tuple[str, str]) -> DataFrame:
-    """Ids and vectors as arrays of about ``BLOCK_ROWS`` rows of one length."""
-    n = F.lit(max(1, -(-rows.count() // BLOCK_ROWS)))
-    keyed = rows.where(F.size(vector_col) > 0).select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-    grouped = keyed.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("i"), n).alias("block")).agg(F.collect_list(F.struct("i", "v")).alias("rows"))
-    return grouped.select(F.col("rows.i").alias(names[0]), F.flatten("rows.v").alias(names[1]))
-
-
 def _best_of_blocks(k: int, earlier: bool):
+    """Rows (query_ids, queries, ids, vectors): a block of queries and one of examples; gives each query's ``k`` best."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def first(ids, score):
-            """The ``k`` best of every row: by score, then by id."""
-            at = np.argsort(ids, axis=1, kind="stable")
-            ids, score = np.take_along_axis(ids, at, 1), np.take_along_axis(score, at, 1)
-            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            return np.take_along_axis(ids, at, 1), np.take_along_axis(score, at, 1)
-
-        best, kinds = {}, None  # by block of queries
         for batch in batches:
             kinds = [batch.schema.field(c).type.value_type for c in (0, 2)]
             for i in range(batch.num_rows):
                 query_ids, q, ids, e = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4))
-                if len(q) * len(ids) != len(e) * len(query_ids):  # vectors of other lengths
-                    continue
                 q, e = q.reshape(len(query_ids), -1), e.reshape(len(ids), -1)
                 length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(e, axis=1)[None, :]
                 with np.errstate(all="ignore"):
                     score = np.where(length > 0, (q @ e.T) / length, 0.0).round(12)
                 if earlier:
                     score[ids[None, :] >= query_ids[:, None]] = -np.inf
-                found = first(np.broadcast_to(ids, score.shape), score)
-                key = tuple(query_ids.tolist())
-                if key in best:
-                    found = first(*(np.concatenate(x, axis=1) for x in zip(best[key], found)))
-                best[key] = found
-        for key, (ids, score) in best.items():
-            row, at = np.nonzero(score > -np.inf)
-            columns = [pa.array(key, kinds[0]).take(pa.array(row)), pa.array(ids[row, at], kinds[1]), pa.array(score[row, at])]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+                at = np.argsort(ids, kind="stable")  # by score, then by id
+                ids, score = ids[at], score[:, at]
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(score, best, 1)
+                row, column = np.nonzero(score > -np.inf)
+                columns = [pa.array(query_ids, kinds[0]).take(pa.array(row)), pa.array(ids, kinds[1]).take(pa.array(best[row, column])), pa.array(score[row, column])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
+    return run
+
+
+def _unit(values, n: int):
+    """Vectors of one length as rows, and the same with a length of one (or as they are, where they have none)."""
+    import numpy as np
+
+    v = values.reshape(n, -1)
+    with np.errstate(all="ignore"):
+        length = np.linalg.norm(v, axis=1)
+        ok = np.isfinite(length) & (length > 0)
+        return v, np.where(ok[:, None], v / np.where(ok, length, 1.0)[:, None], 0.0), ok
+
+
+def _by_dimension(batch):
+    """(dimension, row numbers, vectors one after the other) of a batch whose second column has the vectors."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dim)
+        yield int(dim), rows, batch.column(1).take(rows).flatten().to_numpy(zero_copy_only=False)
+
+
+def _distances(u, pivots):
+    import numpy as np
+
+    return np.sqrt(np.maximum(2.0 - 2.0 * (u @ pivots.T), 0.0))
+
+
+def _celled(pivots):
+    """Examples (i, v) to (dim, cell, r, i, v): the nearest pivot and the distance to it; what has no direction is in
+    cell -1."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for dim, rows, values in _by_dimension(batch):
+                _, u, ok = _unit(values, len(rows))
+                d = _distances(u, pivots.value[dim])
+                cell = np.where(ok, d.argmin(axis=1), -1).astype(np.int32)
+                r = np.where(ok, d.min(axis=1), 0.0)
+                taken = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(cell), pa.array(r), taken.column(0), taken.column(1)], ["dim", "cell", "r", "i", "v"])
+
+    return run
+
+
+def _visits(pivots, cells, need: int, second: bool):
+    """Queries (i, v[, bound]) to the blocks (dim, cell, part) that they meet: first the cells that may be nearest, with
+    ``need`` examples; then those of the others that may hold something as near as ``bound``."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for dim, rows, values in _by_dimension(batch):
+                if dim not in cells.value:
+                    continue
+                number, count, low, high, parts = cells.value[dim]
+                _, u, _ = _unit(values, len(rows))
+                plain = number >= 0
+                least = np.full((len(rows), len(number)), np.sqrt(2.0))  # what has no direction scores 0
+                d = _distances(u, pivots.value[dim])[:, number[plain]]
+                least[:, plain] = np.maximum(np.maximum(d - high[plain], low[plain] - d), 0.0)
+                order = np.argsort(least, axis=1, kind="stable")
+                before = np.cumsum(count[order], axis=1) - count[order]
+                first = np.zeros(least.shape, bool)
+                np.put_along_axis(first, order, before < need, axis=1)
+                met = first
+                if second:
+                    bound = batch.column(2).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(float)
+                    met = ~first & (least <= np.where(np.isnan(bound), np.inf, bound)[:, None])
+                at, cell = np.nonzero(met)
+                times = parts[cell]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                out.append((np.repeat(rows[at], times), dim, np.repeat(number[cell], times), part))
+            for at, dim, cell, part in out:
+                taken = batch.take(pa.array(at))
+                names = ["dim", "cell", "part", "i", "v"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), taken.column(0), taken.column(1)], names)
 
     return run
 
 
-def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", earlier: bool = False) -> DataFrame:
+def _partitioned(rows: DataFrame) -> tuple[DataFrame, object, object]:
+    """Examples (i, v) in blocks by the nearest of some pivots, the pivots, and what is known of each cell, both broadcast.
+
+    Pivots are examples, ``MAX_PIVOTS`` of a dimension at most, chosen by a hash; a cell is dealt out into parts of about
+    ``BLOCK_ROWS``."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    sizes = {r.dim: r.n for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row to a dimension
+    pivots = {}
+    for dim, n in sizes.items():
+        wanted = min(MAX_PIVOTS, max(1, n // BLOCK_ROWS))
+        own = rows.where(F.size("v") == dim).where(norm(F.col("v")) > 0).orderBy(F.xxhash64("i"), "i").limit(wanted).select("v").collect()
+        _, u, ok = _unit(np.array([r.v for r in own], float).ravel(), len(own)) if own else (None, np.ones((1, dim)) / np.sqrt(dim), np.array([True]))
+        pivots[dim] = u[ok] if ok.any() else np.ones((1, dim)) / np.sqrt(dim)
+    pivots = spark.sparkContext.broadcast(pivots)
+    kinds = rows.schema["i"].dataType.simpleString()
+    celled = materialize(rows.mapInArrow(_celled(pivots), f"dim int, cell int, r double, i {kinds}, v array<double>"), "cells")
+    known = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # MAX_PIVOTS rows to a dimension
+    cells = {}
+    for dim in sizes:
+        own = sorted(((r.cell, r.n, r.low, r.high) for r in known if r.dim == dim))
+        number, count, low, high = (np.array(c) for c in zip(*own, strict=True))
+        cells[dim] = number, count, low, high, -(-count // BLOCK_ROWS)
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))
+    counts = F.broadcast(spark.createDataFrame([(r.dim, r.cell, r.n) for r in known], "dim int, cell int, n long").select("dim", "cell", parts.alias("parts")))
+    dealt = celled.join(counts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+    blocks = dealt.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("i", "v")).alias("rows"))  # about BLOCK_ROWS
+    blocks = blocks.select("dim", "cell", "part", F.col("rows.i").alias("ids"), F.flatten("rows.v").alias("vectors"))
+    return materialize(blocks, "blocks"), pivots, spark.sparkContext.broadcast(cells)
+
+
+def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", earlier: bool = False, met: dict | None = None) -> DataFrame:
     """The ``k`` most similar examples of every query, by scores rounded to 12 places, ties by id; with ``earlier``
-    (ids are numbers) of the examples with a smaller id than the query.
+    (ids are numbers) of the examples with a smaller id than the query.  The result is exact.
 
-    Blocks of queries meet blocks of examples; each task keeps no more than ``k`` rows per query.
+    Examples are put into cells, by the nearest of some pivots.  A query first meets the cells that may be nearest; its
+    ``k``-th score there bounds how far a better example can be.  By the triangle inequality, on vectors of length one,
+    a cell is at least as far as the difference between the query's distance to the pivot and those of the cell's
+    examples; cells beyond the bound are never met.  ``met`` is filled with how many blocks were, of how many pairs.
     """
-    wanted = _blocks(queries.where(norm(F.col(query_col)) > 0), query_id, query_col, ("query_ids", "queries"))
-    pairs = wanted.crossJoin(_blocks(examples, id_col, vector_col, ("ids", "vectors")))
     kinds = queries.schema[query_id].dataType.simpleString(), examples.schema[id_col].dataType.simpleString()
-    best = pairs.mapInArrow(_best_of_blocks(k, earlier), f"query_id {kinds[0]}, id {kinds[1]}, score double")
-    best = best.toDF(query_id, id_col, "score")
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    read = examples.where(F.size(vector_col) > 0).select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.where(norm(F.col(query_col)) > 0).select(F.col(query_id).alias("i"), F.col(query_col).cast("array<double>").alias("v"))
+    if read.isEmpty():
+        return queries.select(query_id).limit(0).select(query_id, F.lit(None).cast(kinds[1]).alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    blocks, pivots, cells = _partitioned(materialize(read, "examples"))
+    asked = materialize(asked, "asked-vectors")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+
+    def best(visits: DataFrame) -> DataFrame:
+        dealt = visits.groupBy("dim", "cell", "part", F.pmod(F.xxhash64("i"), F.lit(max(1, -(-asked.count() // BLOCK_ROWS)))).alias("_block"))
+        held = dealt.agg(F.collect_list(F.struct("i", "v")).alias("rows"))  # about BLOCK_ROWS of the queries
+        held = held.select("dim", "cell", "part", F.col("rows.i").alias("query_ids"), F.flatten("rows.v").alias("queries"))
+        pairs = held.join(blocks, ["dim", "cell", "part"]).select("query_ids", "queries", "ids", "vectors")
+        found = pairs.mapInArrow(_best_of_blocks(k, earlier), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+    visited = f"dim int, cell int, part int, i {kinds[0]}, v array<double>"
+    first = materialize(asked.mapInArrow(_visits(pivots, cells, max(4 * k, BLOCK_ROWS // 4), False), visited), "first-visits")
+    near = materialize(best(first), "first-found")
+    last = near.where(F.col("rank") == k).select(F.col("query_id").alias("i"), (F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) + SLACK).alias("bound"))
+    second = asked.join(last, "i", "left").select("i", "v", "bound").mapInArrow(_visits(pivots, cells, max(4 * k, BLOCK_ROWS // 4), True), visited)
+    second = materialize(second, "second-visits")
+    if met is not None:
+        met["met"], met["pairs"] = first.count() + second.count(), asked.count() * blocks.count()
+    both = near.drop("rank").unionByName(best(second).drop("rank")).withColumn("rank", place).where(F.col("rank") <= k)
+    return both.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
 def few_shots(

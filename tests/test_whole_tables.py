@@ -4,6 +4,9 @@ import hashlib
 import math
 import random
 
+import numpy as np
+import pytest
+
 from quillspark import queries
 from quillspark.operators import vectors
 
@@ -66,3 +69,32 @@ def test_prompt_build_shows_the_nearest_earlier_decisions(spark, tmp_path):
         head = f"Past confirmed decisions on the {len(shots)} most similar documents:\n{lines}\n\n" if shots else ""
         prompt = f'{head}Known issuer names: {names}\n\nFilename: {i}.pdf\nDocument text:\n"""\n{(text or "").strip()}\n"""\n\nReturn the JSON object.'
         assert out[i] == hashlib.sha256(prompt.encode()).hexdigest(), i
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+def test_pruned_search_is_exact(spark, monkeypatch, earlier):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, (centres[i % 12] + 0.05 * rng.normal(size=6)).tolist()) for i in range(900)]
+    rows += [(900 + i, rng.normal(size=6).tolist()) for i in range(60)] + [(960 + i, [0.0] * 6) for i in range(20)] + [(980 + i, rng.normal(size=3).tolist()) for i in range(20)]
+    rows += [(1000 + i, rows[i][1]) for i in range(10)]
+    examples = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    wanted = [r for r in rows if r[0] % 7 == 0] + [(5000, (-centres[3]).tolist()), (5001, [0.0] * 6), (5002, [1.0] * 4)]
+    met = {}
+    found = vectors.search_batch(examples, spark.createDataFrame(wanted, "query_id long, query array<double>"), k=5, earlier=earlier, met=met).collect()
+    out = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in found}
+    expected = {}
+    for q in wanted:
+        expected |= nearest([r for r in rows if not earlier or r[0] < q[0]], [q], 5)
+    assert out == expected
+    assert earlier or met["met"] < met["pairs"] / 3
+
+
+def test_search_in_nothing(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0])], "query_id long, query array<double>")
+    assert vectors.search_batch(none, one).count() == 0
+    zeros = spark.createDataFrame([(1, [0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vectors.search_batch(zeros, one).collect()] == [(1, 1, 0.0, 1)]
+    assert vectors.search_batch(zeros, one.limit(0)).count() == 0
