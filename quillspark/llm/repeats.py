@@ -7,9 +7,9 @@ repeats without a comparison.  Those whose surroundings differ are grouped by an
 is sorted by the difference-cover algorithm (``suffixes``) down to ``length`` bytes; windows that agree with a
 neighbour in that order are repeats.
 
-Anchors that extremely many different surroundings share are dealt out by what stands around them: every window
-around the anchor falls into one of several ranges, and all windows of a range have a longer string in common.  In
-periodic text, where that does not hold, the windows of such anchors are dealt out each on its own, by 128 bits.
+The windows of anchors that more than ``CROWDED`` different surroundings share, as in a licence text that millions of
+documents quote, are dealt out each on its own, by 128 bits, and merged where they are before they meet, so that no group
+is larger than that.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; texts may be of any length; rows that
 repeat are copies of each other and lose everything of at least ``length`` bytes; results depend on the text alone;
@@ -38,7 +38,7 @@ GRAM = 64
 CHUNK = 1 << 20  # bytes of one text hashed at a time
 SORTED_BYTES = 2_000_000  # surroundings sorted at a time; a group is not divided
 PARTS = 10  # ranges of windows around an anchor that are judged each on its own
-CROWDED = 50_000  # different surroundings of one anchor, from where they are dealt out
+CROWDED = 50_000  # different surroundings of one anchor, from where their windows are dealt out
 BROADCAST_ROWS = 300_000  # anchors
 _BASE = 0x5851F42D4C957F2D
 _powers: dict[str, np.ndarray] = {}
@@ -148,9 +148,9 @@ def _anchor_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> DataFrame:
-    """One row per entry of ``wanted`` and range of windows: g, the group it is sorted in, where it is from, its bytes,
-    where in them the anchor is, and how far before the anchor windows start."""
-    per_text = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "place", "many", "ranges", "loose")).alias("places"))
+    """One row per entry of ``wanted``: g, the anchor it is sorted with, where it is from, its bytes, where in them the
+    anchor is, and how far before the anchor windows start."""
+    per_text = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "place", "many", "loose")).alias("places"))
     per_text = per_text.select(F.col("key_a").alias("want_a"), F.col("key_b").alias("want_b"), "places")
     key_a, key_b = text_key(F.col(text_col))
     read = docs.select(key_a, key_b, F.col(text_col).alias("text"))
@@ -167,19 +167,12 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, text_col: str, length: int
             for key_a, key_b, text, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode("utf-8", "replace")
                 for x in places:
-                    place, n = x["place"], x["ranges"]
-                    for low, high in _ranges(0, spread, n):
-                        first, last = max(low, place + length - len(raw)), min(high, place)
-                        if first > last:
-                            continue  # no window so far from the anchor
-                        g = x["h"]
-                        if n > 1:
-                            core = raw[place - low : place - high + length]
-                            g = np.uint64(xxhash.xxh3_64_intdigest(core, seed=low)).view(np.int64).item()
-                        start = place - last
-                        row = (g, key_a, key_b, start, x["many"], raw[start : place - first + length], -1 if x["loose"] else place - start, low, high)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
+                    place = x["place"]
+                    first, last = max(0, place + length - len(raw)), min(spread, place)
+                    start = place - last
+                    row = (x["h"], key_a, key_b, start, x["many"], raw[start : place - first + length], -1 if x["loose"] else place - start, 0, spread)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
     return read.mapInArrow(
@@ -360,17 +353,15 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "place")).alias("at"), F.max("loose").alias("loose")
     )
     mixed = materialize(mixed, "mixed")
-    crowd = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("loose").alias("x")).where(F.col("m") > CROWDED)
-    crowd = materialize(crowd.select(F.col("h").alias("full"), "m", "x"), "crowd")
+    crowd = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWDED)
+    crowd = materialize(crowd.select(F.col("h").alias("full")), "crowd")
     wanted = mixed.join(F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd, F.col("h") == F.col("full"), "left")
-    periodic = F.coalesce(F.col("x") == 1, F.lit(False))
-    ranges = F.when(F.col("m").isNull() | periodic, 1).when(F.col("m") > 20 * CROWDED, length - GRAM + 1).otherwise(8)
-    wanted = wanted.select("at.key_a", "at.key_b", "at.place", "h", (F.col("n") > 1).alias("many"), ranges.alias("ranges"), "loose", periodic.alias("periodic"))
-    # the least place of equal surroundings stands for them, but only places as such tell windows in periodic text apart
-    parts = _surroundings(docs, wanted.where("not periodic"), text_col, length).repartition("g").sortWithinPartitions("g")
+    # the least place of equal surroundings stands for them
+    wanted = wanted.select("at.key_a", "at.key_b", "at.place", "h", (F.col("n") > 1).alias("many"), "loose", F.col("full").isNotNull().alias("crowded"))
+    parts = _surroundings(docs, wanted.where("not crowded"), text_col, length).repartition("g").sortWithinPartitions("g")
     fine = materialize(_sorted_spans(parts, length), "fine")
-    wanted = wanted.where("periodic")
-    if not wanted.isEmpty():
+    wanted = wanted.where("crowded")
+    if not crowd.isEmpty():
         fine = fine.unionByName(_single_windows(_surroundings(docs, wanted, text_col, length), length))
 
     often = mixed.where("n > 1").select(F.col("h").alias("r"), F.col("c").alias("s"))

@@ -103,6 +103,19 @@ def test_crowded_periodic_text(spark, monkeypatch):
     check(spark, texts)
 
 
+@pytest.mark.parametrize("n", [400, 800])
+def test_a_passage_that_many_documents_share_is_no_group(spark, monkeypatch, n):
+    monkeypatch.setattr(repeats, "CROWDED", 20)
+    rng = random.Random(n)
+    words = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+    notice = words(60)
+    groups = []
+    real = repeats._sorted_spans
+    monkeypatch.setattr(repeats, "_sorted_spans", lambda rows, length: groups.extend(r["count"] for r in rows.groupBy("g").count().collect()) or real(rows, length))
+    check(spark, [f"{words(10)} {notice} {words(10)}" for _ in range(n)])
+    assert max(groups, default=0) <= 20
+
+
 def test_very_long_text_and_clashing_names(spark):
     rng = random.Random(8)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
