@@ -94,15 +94,23 @@ def read_store(spark: SparkSession, root: str, version: int | None = None, categ
     return kept if category is None else kept.where(F.col("category") == category)
 
 
-def merge_store(rows: DataFrame, root: str, *, key: tuple[str, ...] = vectors.KEY, n_buckets: int = BUCKETS, before_publishing=None) -> int:
+def merged_batch(spark: SparkSession, root: str, stream: str) -> int:
+    """The number of the last batch of a stream that the store has; -1 before the first."""
+    return _version(_Files(spark, root), latest_version(spark, root)).get("batches", {}).get(stream, -1)
+
+
+def merge_store(rows: DataFrame, root: str, *, key: tuple[str, ...] = vectors.KEY, n_buckets: int = BUCKETS, batch: tuple[str, int] | None = None, before_publishing=None) -> int:
     """Add rows, or put them in the place of those with the same key; gives the number of the version that has them.
 
-    ``n_buckets`` counts for the first merge.  ``before_publishing`` is called with the number that is tried (tests)."""
+    ``n_buckets`` counts for the first merge.  ``batch``, a stream and the number of its batch, is published with the
+    rows; a batch that is there already is not merged again.  ``before_publishing`` is called with the number that is tried (tests)."""
     spark = rows.sparkSession
     files = _Files(spark, root)
     for _ in range(TRIES):
         number = latest_version(spark, root)
         held = _version(files, number)
+        if batch and held.get("batches", {}).get(batch[0], -1) >= batch[1]:
+            return number
         bucketed = rows.withColumn("_bucket", _bucket(held["n_buckets"] if number else n_buckets, key))
         touched = [str(r["_bucket"]) for r in bucketed.select("_bucket").distinct().collect()]  # as many as buckets at most
         if not touched:
@@ -116,7 +124,7 @@ def merge_store(rows: DataFrame, root: str, *, key: tuple[str, ...] = vectors.KE
         buckets = held["buckets"] | {b: f"{folder}/bucket={b}" for b in touched}
         if before_publishing:
             before_publishing(number + 1)
-        if files.publish(f"versions/{number + 1:012}.json", json.dumps({"n_buckets": n, "buckets": buckets})):
+        if files.publish(f"versions/{number + 1:012}.json", json.dumps({"n_buckets": n, "buckets": buckets, "batches": held.get("batches", {}) | dict([batch] if batch else [])})):
             return number + 1
         files.fs.delete(files.path(folder), True)
     raise RuntimeError(f"others have published {TRIES} versions meanwhile")
