@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import history, vectors
-from quillspark.scratch import ordinals
+from quillspark.scratch import materialize, ordinals
 from quillspark.sources.readers import MANIFEST_SCHEMA, exists, read_log
+from quillspark.sources.store import Files
 
 CSV_COLUMNS = ("filename", "category", "issuer", "owner", "account", "date", "amount", "ocr_confidence", "routed_to", "timestamp")
 
@@ -35,33 +36,38 @@ def append_manifest(entries: DataFrame, csv_path: str, json_path: str, columns:
 def append_log(records: DataFrame, path: str) -> int:
     """Append records as JSON lines, to a folder, with ``seq`` that goes on from the last; returns how many.
 
-    Records are ordered by seq, time and name, as far as they have them.  One writer at a time is assumed."""
-    last = read_log(records.sparkSession, path).agg(F.max("seq")).first()[0]
+    Records are ordered by seq, time and name, as far as they have them.  Numbers are reserved before anything is
+    written, by a file in ``_seq`` that only one writer can make, so that writers at once get numbers of their own, and
+    what is there is read only where nothing was reserved yet.  An append that is cut short leaves out its numbers."""
     order = [F.col(c) for c in ("seq", "ts", "original_filename") if c in records.columns]
-    numbered = ordinals(records, order, "log_line")
-    written = numbered.withColumn("seq", F.col("log_line") + F.lit(-1 if last is None else last) + 1).drop("log_line")
-    written.write.mode("append").json(path)
-    return numbered.count()
+    numbered = materialize(ordinals(records, order, "log_line"), "log-lines")
+    n = numbered.count()
+    if not n:
+        return 0
+    files = Files(records.sparkSession, path)
+    while True:
+        held = sorted(x for x in files.names("_seq") if not x.startswith("."))
+        last = int(files.read(f"_seq/{held[-1]}")) if held else read_log(records.sparkSession, path).agg(F.max("seq")).first()[0]
+        first = 0 if last is None else last + 1
+        if files.publish(f"_seq/{first:020}", str(first + n - 1)):
+            break
+    numbered.withColumn("seq", F.col("log_line") + F.lit(first)).drop("log_line").write.mode("append").json(path)
+    return n
 
 
 def write_history(entries: DataFrame, path: str, *, title: str = "# Processed PDFs") -> None:
     """Add the entries of a run to one Markdown file: a title if it is new, a heading for a day that has none, and the
     run's section at the end of its day.
 
-    A run is what one person has approved; its sections, one row per day and run, come to the driver.  The file is
-    written beside the old one, then takes its place.
+    A run is what one person has approved; its sections, one row per day and run, come to the driver.  The file may lie
+    on any file system that Spark writes; the new text takes the place of the old at once.  One run at a time is assumed.
     """
-    text = f"{title}\n"
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
+    folder, _, name = path.rpartition("/")
+    files = Files(entries.sparkSession, folder or ".")
+    text = files.read(name) if files.fs.exists(files.path(name)) else f"{title}\n"
     for day, body in history.to_markdown(entries).select("day", "body").orderBy("day").collect():
         text = history.with_section(text, day, body)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    beside = f"{path}.{uuid.uuid4().hex}"
-    with open(beside, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(beside, path)
+    files.replace(name, text)
 
 
 def merge_examples(rows: DataFrame, path: str) -> None:

@@ -21,7 +21,7 @@ BUCKETS = 64
 TRIES = 20
 
 
-class _Files:
+class Files:
     """The few file operations needed, on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -43,6 +43,21 @@ class _Files:
         finally:
             stream.close()
 
+    def replace(self, name: str, text: str) -> None:
+        """A file with all of the text, in the place of one of that name: readers see the old text or the new."""
+        beside = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}" if "/" in name else f".{uuid.uuid4().hex}"
+        self.fs.mkdirs(self.path(name).getParent())
+        stream = self.fs.create(self.path(beside), False)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        hadoop = self.jvm.org.apache.hadoop.fs
+        how = SparkSession.active().sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        whole = self.fs.makeQualified
+        hadoop.FileContext.getFileContext(whole(self.path("")).toUri(), self.fs.getConf()).rename(whole(self.path(beside)), whole(self.path(name)), how)
+
     def publish(self, name: str, text: str) -> bool:
         """A new file with all of the text, or nothing and false where there is one of that name."""
         beside = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}"
@@ -70,10 +85,10 @@ class _Files:
 
 def latest_version(spark: SparkSession, root: str) -> int:
     """The number of the latest version; 0 before the first."""
-    return max((int(n[: -len(".json")]) for n in _Files(spark, root).names("versions") if n.endswith(".json") and not n.startswith(".")), default=0)
+    return max((int(n[: -len(".json")]) for n in Files(spark, root).names("versions") if n.endswith(".json") and not n.startswith(".")), default=0)
 
 
-def _version(files: _Files, number: int) -> dict:
+def _version(files: Files, number: int) -> dict:
     return json.loads(files.read(f"versions/{number:012}.json")) if number else {"n_buckets": BUCKETS, "buckets": {}}
 
 
@@ -90,13 +105,13 @@ def read_store(spark: SparkSession, root: str, version: int | None = None, categ
     number = latest_version(spark, root) if version is None else version
     if not number:
         raise FileNotFoundError(f"no store in {root}")
-    kept = _read(spark, root, sorted(_version(_Files(spark, root), number)["buckets"].values()))
+    kept = _read(spark, root, sorted(_version(Files(spark, root), number)["buckets"].values()))
     return kept if category is None else kept.where(F.col("category") == category)
 
 
 def merged_batch(spark: SparkSession, root: str, stream: str) -> int:
     """The number of the last batch of a stream that the store has; -1 before the first."""
-    return _version(_Files(spark, root), latest_version(spark, root)).get("batches", {}).get(stream, -1)
+    return _version(Files(spark, root), latest_version(spark, root)).get("batches", {}).get(stream, -1)
 
 
 def merge_store(rows: DataFrame, root: str, *, key: tuple[str, ...] = vectors.KEY, n_buckets: int = BUCKETS, batch: tuple[str, int] | None = None, before_publishing=None) -> int:
@@ -105,7 +120,7 @@ def merge_store(rows: DataFrame, root: str, *, key: tuple[str, ...] = vectors.KE
     ``n_buckets`` counts for the first merge.  ``batch``, a stream and the number of its batch, is published with the
     rows; a batch that is there already is not merged again.  ``before_publishing`` is called with the number that is tried (tests)."""
     spark = rows.sparkSession
-    files = _Files(spark, root)
+    files = Files(spark, root)
     for _ in range(TRIES):
         number = latest_version(spark, root)
         held = _version(files, number)
@@ -132,7 +147,7 @@ def merge_store(rows: DataFrame, root: str, *, key: tuple[str, ...] = vectors.KE
 
 def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
     """Forget all versions but the last ``keep``, and delete what none of these names; for times without writers."""
-    files = _Files(spark, root)
+    files = Files(spark, root)
     numbers = sorted(int(n[: -len(".json")]) for n in files.names("versions") if n.endswith(".json") and not n.startswith("."))
     kept = numbers[-keep:]
     used = {f.split("/")[1] for n in kept for f in _version(files, n)["buckets"].values()}
