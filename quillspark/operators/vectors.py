@@ -176,7 +176,7 @@ def _partitioned(rows: DataFrame) -> tuple[DataFrame, object, object]:
     dealt = celled.join(counts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
     blocks = dealt.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("i", "v")).alias("rows"))  # about BLOCK_ROWS
     blocks = blocks.select("dim", "cell", "part", F.col("rows.i").alias("ids"), F.flatten("rows.v").alias("vectors"))
-    return materialize(blocks, "blocks"), pivots, spark.sparkContext.broadcast(cells)
+    return blocks, pivots, spark.sparkContext.broadcast(cells)
 
 
 def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", earlier: bool = False, met: dict | None = None) -> DataFrame:
@@ -186,19 +186,20 @@ def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col:
     Examples are put into cells, by the nearest of some pivots.  A query first meets the cells that may be nearest; its
     ``k``-th score there bounds how far a better example can be.  By the triangle inequality, on vectors of length one,
     a cell is at least as far as the difference between the query's distance to the pivot and those of the cell's
-    examples; cells beyond the bound are never met.  ``met`` is filled with how many blocks were, of how many pairs.
+    examples; cells beyond the bound are never met.  Examples and queries are read several times, so written tables suit
+    best.  ``met`` is filled with how many blocks were met, of how many pairs.
     """
     kinds = queries.schema[query_id].dataType.simpleString(), examples.schema[id_col].dataType.simpleString()
     read = examples.where(F.size(vector_col) > 0).select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = queries.where(norm(F.col(query_col)) > 0).select(F.col(query_id).alias("i"), F.col(query_col).cast("array<double>").alias("v"))
     if read.isEmpty():
         return queries.select(query_id).limit(0).select(query_id, F.lit(None).cast(kinds[1]).alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    blocks, pivots, cells = _partitioned(materialize(read, "examples"))
-    asked = materialize(asked, "asked-vectors")
+    blocks, pivots, cells = _partitioned(read)
+    n_asked = asked.count()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
 
     def best(visits: DataFrame) -> DataFrame:
-        dealt = visits.groupBy("dim", "cell", "part", F.pmod(F.xxhash64("i"), F.lit(max(1, -(-asked.count() // BLOCK_ROWS)))).alias("_block"))
+        dealt = visits.groupBy("dim", "cell", "part", F.pmod(F.xxhash64("i"), F.lit(max(1, -(-n_asked // BLOCK_ROWS)))).alias("_block"))
         held = dealt.agg(F.collect_list(F.struct("i", "v")).alias("rows"))  # about BLOCK_ROWS of the queries
         held = held.select("dim", "cell", "part", F.col("rows.i").alias("query_ids"), F.flatten("rows.v").alias("queries"))
         pairs = held.join(blocks, ["dim", "cell", "part"]).select("query_ids", "queries", "ids", "vectors")
@@ -206,13 +207,12 @@ def search_batch(examples: DataFrame, queries: DataFrame, *, k: int = 5, id_col:
         return found.withColumn("rank", place).where(F.col("rank") <= k)
 
     visited = f"dim int, cell int, part int, i {kinds[0]}, v array<double>"
-    first = materialize(asked.mapInArrow(_visits(pivots, cells, max(4 * k, BLOCK_ROWS // 4), False), visited), "first-visits")
+    first = asked.mapInArrow(_visits(pivots, cells, max(4 * k, BLOCK_ROWS // 4), False), visited)
     near = materialize(best(first), "first-found")
     last = near.where(F.col("rank") == k).select(F.col("query_id").alias("i"), (F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) + SLACK).alias("bound"))
     second = asked.join(last, "i", "left").select("i", "v", "bound").mapInArrow(_visits(pivots, cells, max(4 * k, BLOCK_ROWS // 4), True), visited)
-    second = materialize(second, "second-visits")
     if met is not None:
-        met["met"], met["pairs"] = first.count() + second.count(), asked.count() * blocks.count()
+        met["met"], met["pairs"] = first.count() + second.count(), n_asked * blocks.count()
     both = near.drop("rank").unionByName(best(second).drop("rank")).withColumn("rank", place).where(F.col("rank") <= k)
     return both.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
